@@ -113,8 +113,8 @@ def observation_totals(spark, sf):
 
 OBSERVATION_TOTALS = sql(
     """
-SELECT company_id, sum(5 + 2 + CASE WHEN co % 8 = 0 THEN 1 ELSE 0 END) AS observations_total,
-  sum(5 + CASE WHEN co % 25 = 0 THEN 0 ELSE 2 END) AS observations_mapped FROM ann GROUP BY 1
+SELECT company_id, CAST(sum(5 + 2 + CASE WHEN co % 8 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS observations_total,
+  CAST(sum(5 + CASE WHEN co % 25 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS observations_mapped FROM ann GROUP BY 1
 """
 )
 
@@ -125,7 +125,7 @@ def currency_mismatches(spark, sf):
 
 CURRENCY = sql(
     """
-SELECT company_id, 'revenue' AS metric_id, 'EUR' AS currency, sum(4 + CASE WHEN co % 5 = 0 AND net <> net_r THEN 1 ELSE 0 END) AS n FROM ann WHERE co % 10 = 3 GROUP BY 1
+SELECT company_id, 'revenue' AS metric_id, 'EUR' AS currency, CAST(sum(4 + CASE WHEN co % 5 = 0 AND net <> net_r THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ann WHERE co % 10 = 3 GROUP BY 1
 UNION ALL SELECT company_id, 'cost_of_revenue', 'EUR', 4 * count(*) FROM ann WHERE co % 10 = 3 GROUP BY 1
 """
 )

@@ -33,8 +33,8 @@ def fact_nodes(facts: DataFrame) -> DataFrame:
 
 def simple_nodes(df: DataFrame, node_id: str | Column, kind: str, label: str | Column) -> DataFrame:
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    return df.select(as_col(node_id).alias("node_id"), F.lit(kind).alias("kind"), as_col(label).alias("label"),
-                     F.create_map().cast("map<string,string>").alias("attributes")).distinct()
+    distinct = df.select(as_col(node_id).alias("node_id"), F.lit(kind).alias("kind"), as_col(label).alias("label")).distinct()
+    return distinct.withColumn("attributes", F.create_map().cast("map<string,string>"))
 
 
 def build_edges(documents: DataFrame, facts: DataFrame, analytics: DataFrame | None = None, forecast: DataFrame | None = None,
