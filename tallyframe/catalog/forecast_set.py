@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, lineage
 from ..plans import forecast, projection
+from ..session import stage
 from ..sources import tables
 from .common import annual, dbl, frameworks, sql
-from .facts_set import _CUM, _SWING, _events
+from .facts_set import _SWING
 
 HORIZON = 3
 
@@ -109,9 +110,11 @@ UNION ALL SELECT company_id, 'base', 'free_cash_flow', any_value(base_y) + k, ro
 
 def _driver_run(spark, sf):
     metrics = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"]
-    facts = annual(spark, sf, metrics)
-    rated = analytics.analytic_values(_events(spark, sf, metrics, ["operating_margin", "pretax_conversion", "effective_tax_rate"]))
-    return forecast.run_forecast(facts, frameworks(), rates=lineage.facts_under(rated, depth=1), years=HORIZON, only=("net_income",))
+    facts = stage(annual(spark, sf, metrics), "facts")
+    gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
+    events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), ["operating_margin", "pretax_conversion", "effective_tax_rate"])
+    rates = lineage.facts_under(analytics.analytic_values(events), depth=0)
+    return forecast.run_forecast(facts, frameworks(), rates=rates, years=HORIZON, only=("net_income",))
 
 
 def forecast_drivers(spark, sf):

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import named
 from ..functions.text import endpoint_of
 from ..session import spec_frame
 from ..sources.specs import Framework
@@ -65,7 +66,7 @@ def search(index: DataFrame, queries: DataFrame, limit: int = 8, aliases: DataFr
             .when(F.startswith(name, low) | F.startswith(F.lower("ticker"), low), 1).when(F.contains(name, low), 2)
         )
 
-    hits = F.filter(F.transform("asked", lambda q: F.struct(q.alias("query"), tier(q).alias("tier"))), lambda h: h["tier"].isNotNull())
+    hits = F.filter(F.transform("asked", lambda q: named(query=q, tier=tier(q))), lambda h: h["tier"].isNotNull())
     matched = other.crossJoin(F.broadcast(nested)).select("position", "ticker", "name", F.explode(hits).alias("h")).select("position", "ticker", "name", "h.*")
     best = Window.partitionBy("query").orderBy("tier", "position")
     return matched.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("query", "place", "ticker", "name", "tier")

@@ -149,15 +149,19 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def facts_under(values: DataFrame, depth: int = 6) -> DataFrame:
     """Analytic values with the facts under them, directly or through other analytics (`fact_ids`).
 
-    Only values that stand on other values walk; a framework nests analytics a few levels deep.
+    Only values that stand on other values walk, at most `depth` levels; a framework nests analytics a few levels deep.
+    With depth 0 every value stands on facts alone and nothing needs to be joined.
     """
+    shown = ["company_id", "analytic_id", "fiscal_year", "value", "fact_ids"]
+    if depth == 0:
+        return values.withColumn("fact_ids", F.array_sort(F.array_distinct("input_fact_ids"))).select(*shown)
     direct = values.select("value_id", F.explode("input_fact_ids").alias("fact_id"))
     links = edges_from(values, "value_id", F.col("input_value_ids"))
     nested = values.filter("size(input_value_ids) > 0")
     walked = reach(nested.select(F.col("value_id").alias("origin"), F.col("value_id").alias("node")), links, max_depth=depth)
     through = walked.join(direct, walked.node == direct.value_id).select(F.col("origin").alias("value_id"), "fact_id")
     facts = direct.unionByName(through).groupBy("value_id").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))
-    return values.join(facts, "value_id").select("company_id", "analytic_id", "fiscal_year", "value", "fact_ids")
+    return values.join(facts, "value_id").select(*shown)
 
 
 def source_urls(origins: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -81,11 +81,9 @@ def entities_of(submissions: DataFrame) -> DataFrame:
 
 def filing_index(submissions: DataFrame) -> DataFrame:
     """Parallel arrays to one row per filing."""
-    recent = F.arrays_zip(
-        F.col("filings.recent.accessionNumber").alias("accession"), F.col("filings.recent.form").alias("form"), F.col("filings.recent.filingDate").alias("filed"),
-    )
+    recent = F.arrays_zip("filings.recent.accessionNumber", "filings.recent.form", "filings.recent.filingDate")
     return submissions.select(cik10(F.col("cik")).alias("cik"), F.explode(recent).alias("f")).select(
-        "cik", "f.accession", "f.form", F.col("f.filed").try_cast("date").alias("filed")
+        "cik", F.col("f.accessionNumber").alias("accession"), "f.form", F.col("f.filingDate").try_cast("date").alias("filed")
     )
 
 
