@@ -72,7 +72,7 @@ def invalid_snapshots(snapshots: DataFrame) -> DataFrame:
 
 def entities_of(submissions: DataFrame) -> DataFrame:
     return submissions.select(
-        cik10(F.col("cik")).alias("cik"), "name", F.transform(F.coalesce("tickers", F.array().cast("array<string>")), F.upper).alias("tickers"),
+        cik10(F.col("cik")).alias("cik"), "name", F.transform(F.coalesce("tickers", F.array().cast("array<string>")), lambda t: F.upper(t)).alias("tickers"),
         F.filter(F.coalesce("exchanges", F.array().cast("array<string>")), lambda e: e.isNotNull() & (e != "")).alias("exchanges"),
         F.trim("sic").try_cast("int").alias("sic"), F.nullif("sicDescription", F.lit("")).alias("sic_description"),
         fye_month_from_mmdd(F.trim("fiscalYearEnd")).alias("fye_month"),
