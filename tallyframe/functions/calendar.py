@@ -79,7 +79,7 @@ def period_rank(fiscal_period: Column) -> Column:
 
 def fye_month_from_mmdd(mmdd: Column) -> Column:
     """'1231' -> 12, '0103' -> 12, '0628' -> 6; null when it is not a valid month and day."""
-    day = F.try_to_date(F.concat(F.lit("2001"), mmdd), F.lit("yyyyMMdd"))
+    day = F.try_to_date(F.concat(F.lit("2001"), mmdd), "yyyyMMdd")
     return F.when(mmdd.rlike(r"^\d{4}$"), F.month(effective_month_end(day)))
 
 
