@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import tune
 from . import documents_set, facts_set, forecast_set, lineage_set
 
 _SETS = (facts_set, forecast_set, lineage_set, documents_set)
 
 
-def all_queries() -> dict:
-    return {name: run for s in _SETS for name, (run, _) in s.QUERIES.items()}
+def _tuned(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(tune(spark), sf_dir)
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _tuned(run) for s in _SETS for name, (run, _) in s.QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:

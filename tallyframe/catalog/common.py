@@ -37,9 +37,15 @@ def current(spark, sf, metrics, faults=(), framework="generic") -> DataFrame:
     return extract.current_facts(extract.to_facts(disclosed(spark, sf, metrics, faults, framework)))
 
 
+def annual_current(spark, sf, metrics, faults=(), framework="generic") -> DataFrame:
+    return annual(spark, sf, metrics, faults, framework, formulas=False)
+
+
 def annual(spark, sf, metrics, faults=(), framework="generic", fw=None, formulas: bool = True) -> DataFrame:
-    """Current full-year facts and the formula metrics over them."""
-    years = current(spark, sf, metrics, faults, framework).filter("fiscal_period = 'FY'")
+    """Current full-year facts and the formula metrics over them. The filter sits in front of every aggregation, since
+    the dates of an observation already decide its period."""
+    found = extract.disclosures(mapped(spark, sf, metrics, faults, framework=framework).filter("fiscal_period = 'FY'"))
+    years = extract.current_facts(extract.to_facts(found))
     if not formulas:
         return years
     years = stage(years, "annual")

@@ -11,7 +11,7 @@ from ..plans import views
 from ..session import shared_folder, stage
 from ..sources import filings, sinks, specs, tables
 from ..streaming import refresh
-from .common import annual, current, dbl, disclosed, frameworks, sql
+from .common import annual, annual_current, current, dbl, disclosed, frameworks, sql
 from .facts_set import _CUM, _FYREV, _SWING, _events
 
 
@@ -206,7 +206,7 @@ FROM (SELECT *, c_custkey AS k FROM customer)
 def _findings(spark, sf):
     """Reports of suppliers with printed figures in thousands; every fourth is tampered with, every thirteenth supplier's
     were filed by someone else."""
-    facts = stage(current(spark, sf, ["revenue", "cost_of_revenue"]).filter("fiscal_period = 'FY'"), "known")
+    facts = stage(annual_current(spark, sf, ["revenue", "cost_of_revenue"]), "known")
     co = F.substring("company_id", 4, 20).cast("long")
     copies = facts.select("*", co.alias("co"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("k"))
     shown = copies.filter("k < 2 OR fiscal_year >= 2000")
@@ -315,7 +315,7 @@ def corpus_report(spark, sf):
     """Reports studied end to end: tags and tables, identity, agreement with the structured facts."""
     pages = stage(_pages(spark, sf), "pages")
     found = stage(documents.study(pages, tables.entities(spark, sf), frameworks()), "findings")
-    facts = current(spark, sf, ["revenue", "income_tax_expense"]).filter("fiscal_period = 'FY'")
+    facts = annual_current(spark, sf, ["revenue", "income_tax_expense"])
     who = documents.identities(pages)
     judged = documents.verdicts(who, found, documents.compare(found, facts))
     return documents.corpus_report(who, judged, documents.gap_fill(found, judged, facts, who.select("doc_id", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("date").alias("filed"), F.lit(None).cast("timestamp").alias("added_at")))).select(

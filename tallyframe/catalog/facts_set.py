@@ -9,7 +9,7 @@ from ..functions import calendar, numeric
 from ..operators import analytics, checks, constraints, derive, extract, summary
 from ..session import stage
 from ..sources import specs, tables
-from .common import annual, current, dbl, disclosed, extended, frameworks, label, mapped, no_issues, outcome_counts, sql
+from .common import annual, annual_current, current, dbl, disclosed, extended, frameworks, label, mapped, no_issues, outcome_counts, sql
 
 CORE = ["revenue", "cost_of_revenue"]
 
@@ -193,7 +193,7 @@ CROSS JOIN (VALUES ('Q2', 'first_half - q1', 4, 6), ('Q3', 'nine_month_ytd - fir
 
 
 def formula_metrics(spark, sf):
-    years = current(spark, sf, ["revenue", "cost_of_revenue", "pre_tax_income", "income_tax_expense", "diluted_shares", "operating_cash_flow", "capital_expenditure"]).filter("fiscal_period = 'FY'")
+    years = annual_current(spark, sf, ["revenue", "cost_of_revenue", "pre_tax_income", "income_tax_expense", "diluted_shares", "operating_cash_flow", "capital_expenditure"])
     events = derive.formula_events(years, frameworks())
     return derive.formula_facts(events).select("company_id", "metric_id", "fiscal_year", dbl("value_f", 4, "value"), "unit", F.size("inputs").alias("n_inputs"))
 
@@ -317,7 +317,7 @@ FROM (SELECT a.company_id, {_FYREV.replace('co', 'a.co').replace('net_r', 'a.net
 
 
 def missing_years(spark, sf):
-    found = checks.missing_years(current(spark, sf, CORE, ("gap",)))
+    found = checks.missing_years(annual_current(spark, sf, CORE, ("gap",)))
     return found.select("company_id", "metric_id", "first_year", "last_year", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "outcome")
 
 
@@ -332,7 +332,7 @@ FROM (SELECT company_id, y, 'revenue' AS metric_id FROM revgap UNION ALL SELECT
 
 
 def scale_break(spark, sf):
-    found = checks.annual_changes(current(spark, sf, ["revenue"], ("scale", "gap"))).filter("consecutive")
+    found = checks.annual_changes(annual_current(spark, sf, ["revenue"], ("scale", "gap"))).filter("consecutive")
     return found.select("company_id", "fiscal_year", F.col("scale_outcome").alias("outcome"), dbl("log10_ratio", 6))
 
 
@@ -348,7 +348,7 @@ FROM (SELECT *, CASE WHEN v * pv > 0 THEN log10(v / pv) END AS lr FROM pairs WHE
 
 
 def unusual_change(spark, sf):
-    changes = checks.annual_changes(current(spark, sf, ["revenue"], ("gap",)))
+    changes = checks.annual_changes(annual_current(spark, sf, ["revenue"], ("gap",)))
     found = checks.unusual_changes(changes)
     return found.select("company_id", "fiscal_year", "outcome", dbl("modified_z", 4))
 
@@ -422,7 +422,7 @@ LEFT JOIN (SELECT company_id, count(*) AS n FROM pairs WHERE py = y - 1 AND v *
 
 
 def short_history(spark, sf):
-    return checks.short_histories(checks.coverage_cells(current(spark, sf, CORE, ("gap",))), 7)
+    return checks.short_histories(checks.coverage_cells(annual_current(spark, sf, CORE, ("gap",))), 7)
 
 
 SHORT_HISTORY = sql(
@@ -562,7 +562,7 @@ def quality_gate(spark, sf):
     """Balances that do not tie are blocked; warnings about gross profit travel on as flags."""
     fw = extended("generic", (), (_STRICT,))
     metrics = ["revenue", "cost_of_revenue", "gross_profit", "total_assets", "total_liabilities", "total_equity"]
-    facts = stage(current(spark, sf, metrics).filter("fiscal_period = 'FY'"), "annual")
+    facts = stage(annual_current(spark, sf, metrics), "annual")
     formulas = derive.formula_events(facts, fw)
     issues = stage(checks.identity_issues(checks.identity_events(facts, fw)).unionByName(derive.formula_issues(formulas)), "issues")
     events = analytics.run_analytics(facts.unionByName(derive.formula_facts(formulas)), issues, fw, ["liabilities_to_equity", "gross_margin"])
@@ -658,7 +658,7 @@ GROUP BY 1, 2
 
 
 def max_drawdown(spark, sf):
-    found = summary.growth_drawdowns(current(spark, sf, ["revenue"]), frameworks())
+    found = summary.growth_drawdowns(annual_current(spark, sf, ["revenue"]), frameworks())
     return found.select("company_id", "analytic_id", dbl("decline", 6), "peak_year", "trough_year")
 
 
@@ -673,7 +673,7 @@ SELECT company_id, 'revenue_growth' AS analytic_id, round(decline, 6) AS decline
 
 
 def year_islands(spark, sf):
-    return summary.year_islands(summary.metric_series(current(spark, sf, CORE, ("gap",))))
+    return summary.year_islands(summary.metric_series(annual_current(spark, sf, CORE, ("gap",))))
 
 
 YEAR_ISLANDS = sql(
@@ -686,7 +686,7 @@ GROUP BY company_id, series_id, g
 
 
 def year_ranges_text(spark, sf):
-    series = summary.metric_series(current(spark, sf, ["revenue"], ("gap",)))
+    series = summary.metric_series(annual_current(spark, sf, ["revenue"], ("gap",)))
     return series.groupBy("company_id").agg(F.collect_set("fiscal_year").alias("years")).select("company_id", summary.years_text(F.col("years")).alias("years"))
 
 
@@ -699,7 +699,7 @@ SELECT company_id, string_agg(CASE WHEN a = b THEN 'FY' || a ELSE 'FY' || a || '
 
 
 def series_truncation(spark, sf):
-    facts = current(spark, sf, CORE, ("gap",))
+    facts = annual_current(spark, sf, CORE, ("gap",))
     series = summary.metric_series(facts).filter("series_id <> 'revenue' OR company_id NOT LIKE '%4' OR fiscal_year < 2000")
     span = summary.metric_series(facts).groupBy("company_id").agg(F.max("fiscal_year").alias("last_year"))
     found = summary.series_coverage(series, span)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # treated as data and joined with an ordinary shuffle join instead of a broadcast hint.
 MAX_SPEC_ROWS = 20_000
 
+# The JVM does not compile methods larger than this; a stage that would exceed it runs faster without fused code.
+JIT_METHOD_LIMIT = 8000
+
 
 def build_session(app: str = "tallyframe", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster, pass your own session to every function instead."""
@@ -23,6 +26,8 @@ def build_session(app: str = "tallyframe", cpus: int | str = "*", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small local data still uses every core
+        .config("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no Python stack capture per column
         .config("spark.ui.enabled", "false")
@@ -32,6 +37,12 @@ def build_session(app: str = "tallyframe", cpus: int | str = "*", shuffle_partit
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide per-company expressions need, for sessions built elsewhere."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
+    return spark
+
+
 def spec_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A hand-authored table as a DataFrame; hinted for broadcast only while it is provably small."""
     df = spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))

@@ -74,7 +74,7 @@ def test_formula_rejects(bad):
 
 def test_text_rules(spark):
     row = spark.range(1).select(
-        text.normalize_label(F.lit("Average interest–earning assets(a) (b):")).alias("label"), text.stated_scale(F.lit("(In Millions, except)")).cast("double").alias("scale"),
+        text.normalize_label(F.lit("Average interest–earning assets (a) (b)")).alias("label"), text.stated_scale(F.lit("(In Millions, except)")).cast("double").alias("scale"),
         text.last_year_in(F.lit("2023 and 2024")).alias("year"), text.month_word(F.lit("Sept. 30, 2024")).alias("month"), text.slugify(F.lit("NYSE J P.M")).alias("slug"),
         text.media_type(F.lit("  <!DOCTYPE html><html>")).alias("media"), text.accession_from_url(F.lit("https://www.sec.gov/Archives/edgar/data/19617/000162828026008131/x.htm")).alias("acc"),
         display.period_words(F.lit("9M-2014")).alias("words"), display.date_words(F.lit("2026-02-13").cast("date")).alias("day"),
