@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def sic_classify(spark, sf):
     part = _read(spark, sf, "part")
     rows = part.select(F.col("p_partkey"), F.when(F.col("p_partkey") % 13 != 0, (F.lit(6000) + F.col("p_size")).cast("int")).alias("sic"), F.when(F.col("p_partkey") % 20 == 0, "software").alias("override"))
-    return entities.classify(rows, entities.sic_ranges(spark, specs.shipped())).select("p_partkey", "selected", "method", "evidence")
+    return entities.classify(rows, specs.shipped()).select("p_partkey", "selected", "method", "evidence")
 
 
 SIC = """
@@ -42,8 +42,7 @@ _QUERIES = ("P12", "small", "widget", "red  ring", "Ring", "zzz")
 def entity_search(spark, sf):
     part = _read(spark, sf, "part")
     index = part.select(F.col("p_partkey").alias("position"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("name"))
-    asked = spark.range(1).select(F.explode(F.array(*[F.lit(q) for q in _QUERIES])).alias("query"))
-    return entities.search(index, asked)
+    return entities.search(index, list(_QUERIES))
 
 
 SEARCH = """

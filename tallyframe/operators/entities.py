@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import named
 from ..functions.text import endpoint_of
-from ..session import spec_frame
 from ..sources.specs import Framework
 
 FALLBACK = "generic"
 
 
-def sic_ranges(spark: SparkSession, frameworks: dict[str, Framework]) -> DataFrame:
-    rows = [{"framework": f.name, "low": lo, "high": hi} for f in frameworks.values() for lo, hi in f.sic]
-    return spec_frame(spark, rows, pa.schema([("framework", pa.string()), ("low", pa.int32()), ("high", pa.int32())]))
-
-
-def classify(entities: DataFrame, ranges: DataFrame) -> DataFrame:
+def classify(entities: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
     """Framework per company: configured override, else the one SIC match, else generic; several matches are an error.
 
-    The range table is small, so it is nested once and tested per row: no join fans out over companies.
+    The few ranges of the frameworks are literals in one expression, so nothing is joined.
     """
-    nested = ranges.groupBy().agg(F.collect_list(F.struct("framework", "low", "high")).alias("ranges"))
-    hits = F.array_sort(F.array_distinct(F.transform(
-        F.filter("ranges", lambda r: F.col("sic").between(r["low"], r["high"])), lambda r: r["framework"])))
+    ranges = [F.when(F.col("sic").between(lo, hi), F.lit(f.name)) for f in frameworks.values() for lo, hi in f.sic]
+    hits = F.array_sort(F.array_distinct(F.array_compact(F.array(*ranges)))) if ranges else F.array().cast("array<string>")
     label = F.concat(F.lit("SIC "), F.col("sic").cast("string"))
-    found = entities.crossJoin(F.broadcast(nested)).withColumn("candidates", F.coalesce(hits, F.array().cast("array<string>"))).drop("ranges")
+    found = entities.withColumn("candidates", hits)
     n = F.size("candidates")
     method = (
         F.when(F.col("override").isNotNull(), "config_override").when(n == 1, "sic_match").when(n > 1, "ambiguous").otherwise("fallback")
@@ -45,15 +37,14 @@ def classify(entities: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.select(*entities.columns, chosen.alias("selected"), method.alias("method"), evidence.alias("evidence"))
 
 
-def search(index: DataFrame, queries: DataFrame, limit: int = 8, aliases: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, queries: list[str], limit: int = 8, aliases: DataFrame | None = None) -> DataFrame:
     """Best companies per query: exact ticker, then name or ticker prefix, then name contains; index order inside a tier.
 
-    index: (position, ticker, name). queries: (query), a short list; it is nested and tested against each company where
-    it lies. `aliases` (ticker, position) names further tickers of a company. Only the best `limit` rows per query and
-    task leave a task (Spark limits the ranking before the shuffle), so a query that matches everything stays cheap.
+    index: (position, ticker, name). The short list of queries is tested against each company where it lies. `aliases`
+    (ticker, position) names further tickers of a company. Only the best `limit` rows per query and task leave a task
+    (Spark limits the ranking before the shuffle), so a query that matches everything stays cheap.
     """
-    asked = queries.select(F.trim(F.regexp_replace("query", r"\s+", " ")).alias("query")).filter("query <> ''").distinct()
-    nested = asked.groupBy().agg(F.collect_list("query").alias("asked"))
+    asked = [q for q in dict.fromkeys(" ".join(text.split()) for text in queries) if q]
     other = index.withColumn("tickers", F.array("ticker"))
     if aliases is not None:
         extra = aliases.groupBy("position").agg(F.collect_set("ticker").alias("more"))
@@ -66,8 +57,9 @@ def search(index: DataFrame, queries: DataFrame, limit: int = 8, aliases: DataFr
             .when(F.startswith(name, low) | F.startswith(F.lower("ticker"), low), 1).when(F.contains(name, low), 2)
         )
 
-    hits = F.filter(F.transform("asked", lambda q: named(query=q, tier=tier(q))), lambda h: h["tier"].isNotNull())
-    matched = other.crossJoin(F.broadcast(nested)).select("position", "ticker", "name", F.explode(hits).alias("h")).select("position", "ticker", "name", "h.*")
+    tried = F.array(*[named(query=F.lit(q), tier=tier(F.lit(q))) for q in asked])
+    hits = F.filter(tried, lambda h: h["tier"].isNotNull())
+    matched = other.select("position", "ticker", "name", F.explode(hits).alias("h")).select("position", "ticker", "name", "h.*")
     best = Window.partitionBy("query").orderBy("tier", "position")
     return matched.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("query", "place", "ticker", "name", "tier")
 
