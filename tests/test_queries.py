@@ -22,7 +22,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("TALLYFRAME_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(entry.catalog.all_queries()) if os.environ.get("TALLYFRAME_ALL") else SOME)
 def test_query_matches_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalog.all_queries()) == set(entry.catalog.all_oracles())
 
 
 def test_entry(spark):
