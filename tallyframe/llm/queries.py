@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, packing, simhash
+from . import exact_dedup, files, fingerprints, language, mixing, packing, sharding, simhash, token_files, url_filter, warc
 from .common import table
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -19,6 +19,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+END_OF_DOCUMENT = 49407  # <|endoftext|> of the vocabulary
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, written to flat files and found again in them: doc_id, path, ordinal, start, tokens."""
+    written = token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), files.new_folder(spark, "tokens"), vocabulary(), END_OF_DOCUMENT)
+    found = token_files.counts(written.select("path"), END_OF_DOCUMENT)
+    return found.join(written, ["path", "ordinal"]).select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal", "start", "tokens")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
@@ -56,21 +66,62 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(n.taken, 0)::BIGINT A
 """
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    near = fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next.text", half))
+    near = near.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    near = fingerprints.with_sketch(near, "edited", "edited_sketch")
+    return near.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.written("sketch").alias("fingerprint"), fingerprints.written("edited_sketch").alias("edited_fingerprint"),
+        fingerprints.likeness("sketch", "edited_sketch").alias("near_edited"), fingerprints.likeness("sketch", "next_sketch").alias("near_next"), fingerprints.containment("sketch", "edited_sketch").alias("held_by_edited"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     scored = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return scored.select("doc_id", language.held_out().alias("held_out"), F.col("_language.lang_pred"), F.col("_language.score"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write(warc.planned(table(spark, sf_dir, "pages", "page_id", "url", "html")), files.new_folder(spark, "warc"))
+    records = warc.read(written.select("path"), with_payload=False)
+    return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_groups(simhash.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_token_counts": (op1_token_counts, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mixing": (op4_mixing, OP4_SQL),
+    "op5_sharding": (op5_sharding, None),
+    "op6_url_filter": (op6_url_filter, None),
+    "op7_fingerprints": (op7_fingerprints, None),
     "op8_language_id": (op8_language_id, None),
+    "op9_warc": (op9_warc, OP9_SQL),
     "op10_simhash": (op10_simhash, None),
 }
