@@ -19,7 +19,6 @@ from ..sources.specs import Framework, Metric, metric_spec
 AGREEMENT = 0.005
 MIN_CHECKS = 3
 MIN_AGREEMENT = 0.9
-MAX_SPAN = 200
 
 
 def plain(markup: Column) -> Column:
@@ -31,7 +30,9 @@ def plain(markup: Column) -> Column:
 
 
 def _attr(attrs: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(attrs, rf'(?i)\b{name}="([^"]*)"', 1), F.lit(""))
+    """The value of an attribute in either kind of quotes, or bare; null where it is empty or absent."""
+    own = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.nullif(F.concat(*[F.coalesce(F.regexp_extract(attrs, own, g), F.lit("")) for g in (1, 2, 3)]), F.lit(""))
 
 
 def _local(name: Column) -> Column:
@@ -40,11 +41,38 @@ def _local(name: Column) -> Column:
 
 # ---- inline tags ------------------------------------------------------------------------------------------------
 
-_CONTEXT = r"(?s)<(?:\w+:)?context\b([^>]*)>(.*?)</(?:\w+:)?context>"
-_UNIT = r"(?s)<(?:\w+:)?unit\b([^>]*)>(.*?)</(?:\w+:)?unit>"
-_TAG = r"(?s)<ix:nonFraction\b([^>]*[^/>])>(.*?)</ix:nonFraction>"
-_NOTE = r"(?s)<ix:nonNumeric\b([^>]*[^/>])>(.*?)</ix:nonNumeric>"
-_MEMBER = r'(?s)<(?:\w+:)?explicitMember\b[^>]*dimension="([^"]*)"[^>]*>\s*([^<\s]*)'
+# The attributes of an opening tag: quoted values may hold any sign but the start of a tag, and a lone quote is a sign.
+_ATTRS = r"""((?:[^>"'/]++|/(?!>)|"[^"<]*+"|'[^'<]*+'|["'])*+)"""
+_CONTEXT = rf"(?s)<(?:\w+:)?context\b{_ATTRS}>(.*?)</(?:\w+:)?context>"
+_UNIT = rf"(?s)<(?:\w+:)?unit\b{_ATTRS}>(.*?)</(?:\w+:)?unit>"
+_MEMBER = r"""(?s)<(?:\w+:)?explicitMember\b[^>]*?\sdimension\s*=\s*["']([^"']*)["'][^>]*>\s*([^<\s]*)"""
+
+
+def _innermost(name: str) -> str:
+    """An element that holds no other of its kind: attributes and content."""
+    return rf"(?i)<{name}\b{_ATTRS}>([^<]*+(?:<(?!/?{name}\b)[^<]*+)*+)</{name}\s*>"
+
+
+def _elements(html: Column, name: str, content: str = "$2") -> Column:
+    """All elements of a kind, nested ones too, as array<struct<a,b>> of attributes and content.
+
+    As many passes as elements lie in each other, each over the document: a pass takes the innermost ones and leaves
+    their content (or what `content` makes of it) in place for the ones around them.
+    """
+    closed = F.regexp_replace(html, rf"(?i)<{name}\b{_ATTRS}/>", "")
+    marks = F.regexp_extract_all(closed, F.lit(rf"(?i)<(/?){name}\b"), F.lit(1))
+
+    def nest(acc: Column, mark: Column) -> Column:
+        now = F.when(mark == "/", F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"] + 1)
+        return named(now=now, most=F.greatest(acc["most"], now))
+
+    depth = F.aggregate(marks, named(now=F.lit(0), most=F.lit(1)), nest, lambda acc: acc["most"])
+
+    def peel(acc: Column, _: Column) -> Column:
+        return named(left=F.regexp_replace(acc["left"], _innermost(name), content), found=F.concat(acc["found"], _pairs(acc["left"], _innermost(name))))
+
+    start = named(left=closed, found=F.array().cast("array<struct<a:string,b:string>>"))
+    return F.aggregate(F.sequence(F.lit(1), depth), start, peel, lambda acc: acc["found"])
 
 
 def _pairs(source: Column, pattern: str) -> Column:
@@ -54,7 +82,10 @@ def _pairs(source: Column, pattern: str) -> Column:
 
 
 def inline_tags(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, html): one row per tag with value, unit, dates, dimensions; `skipped` marks unusable ones."""
+    """documents (doc_id, html): one row per tag with value, unit, dates, dimensions; `skipped` marks unusable ones.
+
+    Tags inside tags are tags of their own and part of the outer one's text. doc_id tells documents apart.
+    """
 
     def day(body: Column, name: str) -> Column:
         return F.regexp_extract(body, rf"<(?:\w+:)?{name}>\s*(\d{{4}}-\d{{2}}-\d{{2}})", 1).try_cast("date")
@@ -74,14 +105,17 @@ def inline_tags(documents: DataFrame) -> DataFrame:
         shown = F.when(ratio, F.concat(first, F.lit("/"), F.lower(F.try_element_at(measures, F.lit(2))))).when(first == "PURE", "pure").otherwise(first)
         return named(id=_attr(p["a"], "id"), unit=shown)
 
-    parsed = documents.select(
-        *[c for c in documents.columns if c != "html"], F.transform(_pairs(F.col("html"), _CONTEXT), context).alias("contexts"),
-        F.transform(_pairs(F.col("html"), _UNIT), unit).alias("units"), F.explode(_pairs(F.col("html"), _TAG)).alias("t"),
-    )
+    def defined(pattern: str, read, name: str) -> DataFrame:
+        """(doc_id, ref, value); the last definition of an id counts, as in a reader that overwrites."""
+        all_ = documents.select("doc_id", F.posexplode(F.transform(_pairs(F.col("html"), pattern), read)).alias("at", "c"))
+        return all_.filter("c.id IS NOT NULL").groupBy("doc_id", F.col("c.id").alias(f"{name}_ref")).agg(F.max_by("c", "at").alias(name))
+
+    # Contexts and units meet their tags by id, so a filing with thousands of both costs no more than their number.
     a = F.col("t.a")
-    # The last definition of an id counts, as in a reader that overwrites.
-    found = lambda where, ref: F.try_element_at(F.filter(where, lambda c: c["id"] == ref), F.lit(-1))
-    tags = parsed.withColumn("ctx", found("contexts", _attr(a, "contextRef"))).withColumn("u", found("units", _attr(a, "unitRef")))
+    kept = [c for c in documents.columns if c != "html"]
+    parsed = documents.select(*kept, F.explode(_elements(F.col("html"), "ix:nonFraction")).alias("t"))
+    refs = parsed.select("*", _attr(a, "contextRef").alias("ctx_ref"), _attr(a, "unitRef").alias("u_ref"))
+    tags = refs.join(defined(_CONTEXT, context, "ctx"), ["doc_id", "ctx_ref"], "left").join(defined(_UNIT, unit, "u"), ["doc_id", "u_ref"], "left")
     value = tagged_number(plain(F.col("t.b")), _attr(a, "format"), _attr(a, "scale"), _attr(a, "sign"))
     return tags.filter(~F.coalesce(_attr(a, "xsi:nil") == "true", F.lit(False))).select(
         *[c for c in documents.columns if c != "html"], _attr(a, "name").alias("concept"), value.alias("value"), F.col("u.unit").alias("unit"),
@@ -92,7 +126,7 @@ def inline_tags(documents: DataFrame) -> DataFrame:
 
 def identities(documents: DataFrame) -> DataFrame:
     """(doc_id, filer, form, identity): who filed the document by its own tags, against the expected company."""
-    notes = F.transform(_pairs(F.col("html"), _NOTE), lambda n: named(name=_attr(n["a"], "name"), text=plain(n["b"])))
+    notes = F.transform(_elements(F.col("html"), "ix:nonNumeric"), lambda n: named(name=_attr(n["a"], "name"), text=plain(n["b"])))
     first = lambda name: F.get(F.transform(F.filter("notes", lambda n: n["name"] == f"dei:{name}"), lambda n: n["text"]), F.lit(0))
     read = documents.select("doc_id", "expected_cik", notes.alias("notes")).select("doc_id", "expected_cik", text.cik10(first("EntityCentralIndexKey")).alias("filer"), first("DocumentType").alias("form"))
     known = F.col("filer").isNotNull() & F.col("expected_cik").isNotNull()
@@ -101,33 +135,35 @@ def identities(documents: DataFrame) -> DataFrame:
 
 # ---- printed tables ---------------------------------------------------------------------------------------------
 
-_CELLS = "array<struct<c0:int,c1:int,text:string>>"
+_CELLS = "array<struct<c0:bigint,c1:bigint,text:string>>"
+_HELD = "array<struct<c0:bigint,c1:bigint,left:bigint>>"
+# Rows and cells end where they are closed or where the next one begins, as their closing tags may be left out.
+_ROW = r"(?i)<tr\b[^>]*>([^<]*+(?:<(?!/?tr\b)[^<]*+)*+)"
+_CELL = r"(?i)<t[dh]\b([^>]*)>([^<]*+(?:<(?!/?t[dh]\b)[^<]*+)*+)"
 
 
 def _table_grid(rows: Column) -> Column:
     """Cells of a table with their columns, row and column spans resolved: array of rows of (c0, c1, text).
 
-    A fold over the rows carries the columns that an earlier row still occupies; inside a row, each cell takes the
-    next free column.
+    A fold over the rows carries the ranges of columns that an earlier row still occupies; inside a row, each cell
+    starts in the next column that is free. Spans of any width are ranges, so they need no bound.
     """
-    span = lambda attrs, name: F.least(F.greatest(F.coalesce(_attr(attrs, name).try_cast("int"), F.lit(1)), F.lit(1)), F.lit(MAX_SPAN))
+    span = lambda attrs, name: F.greatest(F.coalesce(_attr(attrs, name).try_cast("int").cast("long"), F.lit(1).cast("long")), F.lit(1).cast("long"))
 
     def place(acc: Column, row: Column) -> Column:
-        taken = F.transform(acc["carried"], lambda x: x["col"])
-
         def put(a: Column, cell: Column) -> Column:
-            free = F.array_min(F.filter(F.sequence(a["col"], a["col"] + F.size(taken)), lambda k: ~F.array_contains(taken, k)))
-            wide, down = span(cell["a"], "colspan"), span(cell["a"], "rowspan")
-            held = F.when(down > 1, F.transform(F.sequence(free, free + wide - 1), lambda k: named(col=k, left=down))).otherwise(F.array().cast("array<struct<col:int,left:int>>"))
-            placed = F.array(named(c0=free, c1=free + wide, text=plain(cell["b"])))
-            return named(col=free + wide, cells=F.concat(a["cells"], placed), held=F.concat(a["held"], held))
-
-        start = named(col=F.lit(0), cells=F.array().cast(_CELLS), held=F.array().cast("array<struct<col:int,left:int>>"))
-        done = F.aggregate(_pairs(row, r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>"), start, put)
-        aged = F.transform(F.concat(acc["carried"], done["held"]), lambda x: named(col=x["col"], left=x["left"] - 1))
+            ends = F.transform(F.filter(acc["carried"], lambda x: x["c1"] > a["col"]), lambda x: x["c1"])
+            free = F.array_min(F.filter(F.concat(F.array(a["col"]), ends), lambda k: ~F.exists(acc["carried"], lambda x: (x["c0"] <= k) & (k < x["c1"]))))
+            end, down = free + span(cell["a"], "colspan"), span(cell["a"], "rowspan")
+            held = F.when(down > 1, F.array(named(c0=free, c1=end, left=down))).otherwise(F.array().cast(_HELD))
+            return named(col=end, cells=F.concat(a["cells"], F.array(named(c0=free, c1=end, text=plain(cell["b"])))), held=F.concat(a["held"], held))
+
+        start = named(col=F.lit(0).cast("long"), cells=F.array().cast(_CELLS), held=F.array().cast(_HELD))
+        done = F.aggregate(_pairs(row, _CELL), start, put)
+        aged = F.transform(F.concat(acc["carried"], done["held"]), lambda x: named(c0=x["c0"], c1=x["c1"], left=x["left"] - 1))
         return named(carried=F.filter(aged, lambda x: x["left"] > 0), grid=F.concat(acc["grid"], F.array(done["cells"])))
 
-    empty = named(carried=F.array().cast("array<struct<col:int,left:int>>"), grid=F.array().cast(f"array<{_CELLS}>"))
+    empty = named(carried=F.array().cast(_HELD), grid=F.array().cast(f"array<{_CELLS}>"))
     return F.aggregate(rows, empty, place, lambda acc: acc["grid"])
 
 
@@ -142,18 +178,26 @@ def _is_header(row: Column) -> Column:
 def table_cells(documents: DataFrame) -> DataFrame:
     """documents (doc_id, html): one row per printed number with its row label, full column heading, year and scale."""
     keep = [c for c in documents.columns if c != "html"]
-    # Splitting at table starts keeps the text in front of each table next to it.
+    # Tables are numbered where they start. Splitting there also keeps the text in front of each next to it.
     pieces = F.split("html", r"(?i)<table\b")
-    tables = documents.select(*keep, pieces.alias("p")).select(*keep, "p", F.posexplode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))).alias("at", "piece"))
-    before = F.element_at(F.split(F.get("p", F.col("at")), r"(?i)</table>"), -1)
+    opened = F.size(pieces) - 1
+    numbered = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("<table at="), i.cast("string"), F.lit(" "), p))), "")
+    # A table that is never closed ends with the document.
+    whole = F.concat(numbered, F.repeat(F.lit("</table>"), F.greatest(opened - F.regexp_count("html", F.lit(r"(?i)</table\b")), F.lit(0))))
+    marked = documents.select(*keep, pieces.alias("p"), whole.alias("html"))
+    # A table in a cell is a table of its own and no part of the cell.
+    found = F.transform(_elements(F.col("html"), "table", " "), lambda t: named(no=_attr(t["a"], "at").cast("int"), body=t["b"]))
+    tables = marked.select(*keep, F.explode(F.transform(found, lambda t: named(no=t["no"], body=t["body"], before=F.get(F.col("p"), t["no"] - 1)))).alias("t"))
+    before = F.element_at(F.split("t.before", r"(?i)</table>"), -1)
     blocks = F.filter(F.transform(F.split(before, r"(?i)</(?:p|div|h\d|li|span)>|<br\s*/?>"), plain), lambda b: b != "")
     lead = F.array_join(F.slice(blocks, F.greatest(F.size(blocks) - 2, F.lit(1)), F.lit(3)), " ")
-    body = F.element_at(F.split("piece", r"(?i)</table>"), 1)
-    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    grids = tables.select(*keep, (F.col("at") + 1).alias("table_no"), lead.alias("lead"), _table_grid(rows).alias("grid")).withColumn(
+    rows = F.regexp_extract_all(F.col("t.body"), F.lit(_ROW), F.lit(1))
+    grids = tables.select(*keep, F.col("t.no").alias("table_no"), lead.alias("lead"), _table_grid(rows).alias("grid")).withColumn(
         "grid", F.filter("grid", lambda r: F.exists(r, lambda c: c["text"] != "")))
-    split = grids.filter(F.size("grid") >= 2).withColumn("first_body", F.array_position(F.transform("grid", _is_header), F.lit(False)).cast("int")).filter("first_body > 0")
-    heads = F.flatten(F.slice("grid", F.lit(1), F.greatest(F.col("first_body") - 1, F.lit(0))))
+    # Layout tables have no number row, or only one row; every slice is safe for them, as filters may run later.
+    split = grids.withColumn("first_body", F.coalesce(F.array_position(F.transform("grid", _is_header), F.lit(False)).cast("int"), F.lit(0)))
+    split = split.filter((F.size("grid") >= 2) & (F.col("first_body") > 0)).withColumn("first_body", F.greatest("first_body", F.lit(1)))
+    heads = F.flatten(F.slice("grid", F.lit(1), F.col("first_body") - 1))
     split = split.withColumn("heads", F.filter(heads, lambda c: c["text"] != "")).withColumn("body", F.slice("grid", F.col("first_body"), F.size("grid")))
     head_text = F.array_join(F.transform("heads", lambda c: c["text"]), " ")
     scaled = split.withColumn("scale", F.coalesce(text.stated_scale(head_text), text.stated_scale(F.col("lead"))))
@@ -233,8 +277,9 @@ def tag_findings(tags: DataFrame, entities: DataFrame, frameworks: dict[str, Fra
     )
 
 
-_SUBPERIOD = r"(?i)\b(three|six|nine) months\b|\bquarter\b|\bQ[1-4]\b"
-_AVERAGE = r"(?i)\baverage\b"
+# Headings of columns that cover part of a year, and of averages over one.
+_PART_OF_YEAR = r"(?i)(?<!\w)(?:(?:three|six|nine)\s+months|quarters?|q[1-4])(?!\w)"
+_AVERAGED = r"(?i)(?<!\w)averages?(?!\w)"
 
 
 def table_findings(cells: DataFrame, entities: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
@@ -262,9 +307,9 @@ def table_findings(cells: DataFrame, entities: DataFrame, frameworks: dict[str,
     told = rows.select("*", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("*", "r.*").join(_specs(cells, frameworks), ["framework", "metric_id"])
     money = F.col("unit_kind").isin("currency", "count")
     month = text.month_word(F.col("heading"))
-    averaged = F.col("heading").rlike(_AVERAGE) & ((F.col("metric_period_type") == "instant") | ~F.lower("metric_name").contains("average"))
+    averaged = F.col("heading").rlike(_AVERAGED) & ((F.col("metric_period_type") == "instant") | ~F.lower("metric_name").contains("average"))
     usable = told.filter(
-        F.col("year").isNotNull() & ~F.col("heading").rlike(_SUBPERIOD) & (month.isNull() | (month == F.col("fye_month"))) & ~averaged & (~money | F.col("scale").isNotNull()))
+        F.col("year").isNotNull() & ~F.col("heading").rlike(_PART_OF_YEAR) & (month.isNull() | (month == F.col("fye_month"))) & ~averaged & (~money | F.col("scale").isNotNull()))
     same_row = ["doc_id", "company_id", "framework", "metric_id", "check_only", "unit_kind", "reporting_currency", "metric_period_type", "year", "table_no", "row_no"]
     hinted = F.coalesce(hint, F.lit(False)) if hint is not None else F.lit(False)
     group = Window.partitionBy(*same_row)
@@ -331,13 +376,16 @@ def verdicts(documents: DataFrame, findings: DataFrame, compared: DataFrame) ->
 
 def gap_fill(findings: DataFrame, judged: DataFrame, reported: DataFrame, documents: DataFrame) -> DataFrame:
     """Figures of verified documents for periods the structured data lacks. Best document: one with an accession, then
-    the latest filed, then the latest added. documents: (doc_id, accession, filed, added_at)."""
+    the latest filed, then the latest added, then the first entered. documents: (doc_id, accession, filed, added_at) and
+    entry, their position in the library; without it the smallest doc_id is the first."""
+    documents = documents if "entry" in documents.columns else documents.withColumn("entry", F.col("doc_id"))
     trusted = findings.filter("NOT check_only").join(judged.filter("status = 'verified'").select("doc_id"), "doc_id")
     period = ["company_id", "metric_id", "period_type", "fiscal_year", "fiscal_period"]
-    lacking = trusted.join(reported.select(*period).distinct(), period, "left_anti").join(documents.select("doc_id", "accession", "filed", "added_at"), "doc_id")
-    rank = F.struct(F.col("accession").isNotNull(), F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("added_at", F.lit("1900-01-01").cast("timestamp")), (-F.xxhash64("doc_id")).alias("tie"))
-    payload = [c for c in lacking.columns if c not in period]
-    return lacking.groupBy(*period).agg(F.max_by(F.struct(*payload), rank).alias("f")).select(*period, "f.*")
+    lacking = trusted.join(reported.select(*period).distinct(), period, "left_anti").join(documents.select("doc_id", "accession", "filed", "added_at", "entry"), "doc_id")
+    earliest = lambda c, unit: -F.coalesce(unit(c), F.lit(-(2**62)))
+    rank = F.struct(F.col("accession").isNull(), earliest("filed", F.unix_date), earliest("added_at", F.unix_micros), "entry")
+    payload = [c for c in lacking.columns if c not in period and c != "entry"]
+    return lacking.groupBy(*period).agg(F.min_by(F.struct(*payload), rank).alias("f")).select(*period, "f.*")
 
 
 def filled_facts(filled: DataFrame, entities: DataFrame, known: DataFrame) -> DataFrame:
