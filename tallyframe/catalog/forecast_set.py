@@ -113,7 +113,7 @@ def _driver_run(spark, sf):
     facts = stage(annual(spark, sf, metrics), "facts")
     gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
     events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), ["operating_margin", "pretax_conversion", "effective_tax_rate"])
-    rates = lineage.facts_under(analytics.analytic_values(events), depth=0)
+    rates = lineage.facts_under(analytics.analytic_values(events))
     return forecast.run_forecast(facts, frameworks(), rates=rates, years=HORIZON, only=("net_income",))
 
 

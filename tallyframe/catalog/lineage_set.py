@@ -88,12 +88,13 @@ SELECT 'c' || c_custkey AS origin, r_name AS url FROM customer JOIN nation ON n_
 
 def trace_rows(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return lineage.trace(_customers(spark, sf), nodes, edges, max_nodes=2).select("origin", "node", "kind", "depth", "is_root", "truncated")
+    return lineage.trace(_customers(spark, sf), nodes, edges).select("origin", "node", "kind", "depth", "is_root")
 
 
 TRACE = _EDGES + """
-SELECT 'c' || c_custkey AS origin, x.node, x.kind, 1 AS depth, x.root AS is_root, true AS truncated FROM customer
-CROSS JOIN LATERAL (SELECT 'm' || c_mktsegment AS node, 'assumption' AS kind, true AS root UNION ALL SELECT 'n' || c_nationkey, 'document', false) x
+SELECT 'c' || c_custkey AS origin, x.node, x.kind, x.depth, x.root AS is_root FROM customer JOIN nation ON n_nationkey = c_nationkey
+CROSS JOIN LATERAL (SELECT 'm' || c_mktsegment AS node, 'assumption' AS kind, 1 AS depth, true AS root UNION ALL SELECT 'n' || c_nationkey, 'document', 1, false
+  UNION ALL SELECT 'r' || n_regionkey, CASE n_regionkey WHEN 3 THEN 'document' ELSE 'source' END, 2, true) x
 """
 
 

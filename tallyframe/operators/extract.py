@@ -100,12 +100,14 @@ def disclosures(mapped: DataFrame) -> DataFrame:
     """One row per distinct disclosed (unit, value) of a metric and period: who disclosed it first, how often it was
     repeated, and the best concept rank seen for the period."""
     keys = [*PERIOD_KEY, "framework", "reporting_currency", "fiscal_year", "fiscal_period", "qname", "rank", "ranks", "unit", "value"]
-    first = F.min(F.struct("filed", "accession", "n", "form", "frame"))
-    found = mapped.filter("reason IS NULL").groupBy(*keys).agg(first.alias("first"), F.sum("n").alias("total"))
+    first = F.min(F.struct("filed", "accession", "form", "frame"))
+    # A filing may hold a value more than once, with and without a frame; only other filings repeat it.
+    filings = mapped.filter("reason IS NULL").groupBy(*keys, "accession").agg(first.alias("first"))
+    found = filings.groupBy(*keys).agg(F.min("first").alias("first"), (F.count("*") - 1).alias("repeats"))
     same_period = Window.partitionBy(*PERIOD_KEY)
     return (
         found.select(
-            *keys, "first.filed", "first.accession", "first.form", "first.frame", (F.col("total") - F.col("first.n")).alias("repeats")
+            *keys, "first.filed", "first.accession", "first.form", "first.frame", "repeats"
         )
         .withColumn("best_rank", F.min("rank").over(same_period))
         .withColumn("chosen", F.col("rank") == F.col("best_rank"))
@@ -139,9 +141,9 @@ def extract_facts(observations: DataFrame, entities: DataFrame, frameworks: dict
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
-    """One fact per (company, metric, period): the latest filed disclosure, ties by accession. Unit is not part of the key."""
+    """One fact per (company, metric, period): the latest filed disclosure; ties go by accession, then unit, value and id. Unit is not part of the key."""
     payload = [c for c in facts.columns if c not in PERIOD_KEY]
-    newest = F.max_by(F.struct(*payload), F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("accession", F.lit(""))))
+    newest = F.max_by(F.struct(*payload), F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("accession", F.lit("")), F.coalesce("unit", F.lit("")), "value", "fact_id"))
     return facts.filter("provenance = 'reported'").groupBy(*PERIOD_KEY).agg(newest.alias("f")).select(*PERIOD_KEY, "f.*").select(*facts.columns)
 
 

@@ -102,20 +102,23 @@ def ancestors(origins: DataFrame, edges: DataFrame, max_depth: int | None = None
     return reach(origins.select("origin", F.col("origin").alias("node")), edges, max_depth=max_depth)
 
 
-def root_paths(origins: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(origin, path): every path from an origin to a root, origin first. For single values a reader asks about; the
-    number of paths can grow with the graph, so whole-graph questions use `reach` instead."""
+def root_paths(origins: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, path): every path from an origin to a root, origin first, however long. For single values a reader asks
+    about; the number of paths can grow with the graph, so whole-graph questions use `reach` instead. A path that comes
+    back to one of its own nodes is an error."""
     links = edges.select(F.col("child").alias("tip"), F.col("parent").alias("next"))
     open_paths = origins.select("origin", F.col("origin").alias("tip"), F.array("origin").alias("path"))
     closed = None
-    for _ in range(max_depth):
+    while True:
         stepped = stage(open_paths.join(links, "tip", "left"), "paths")
+        back = stepped.filter(F.array_contains("path", F.col("next"))).select("next").first()
+        if back:
+            raise RuntimeError(f"the graph has a cycle through {back.next}")
         done = stepped.filter("next IS NULL").select("origin", "path")
         closed = done if closed is None else closed.unionByName(done)
         open_paths = stepped.filter("next IS NOT NULL").select("origin", F.col("next").alias("tip"), F.concat("path", F.array("next")).alias("path"))
         if open_paths.isEmpty():
             return closed
-    raise RuntimeError(f"a path is longer than {max_depth} steps; check the graph for cycles")
 
 
 def broken_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,19 +149,16 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node_id").alias("parent")), "parent", "left_anti").select("child", "parent")
 
 
-def facts_under(values: DataFrame, depth: int = 6) -> DataFrame:
-    """Analytic values with the facts under them, directly or through other analytics (`fact_ids`).
+def facts_under(values: DataFrame) -> DataFrame:
+    """Analytic values with the facts under them, directly or through other analytics of any depth (`fact_ids`).
 
-    Only values that stand on other values walk, at most `depth` levels; a framework nests analytics a few levels deep.
-    With depth 0 every value stands on facts alone and nothing needs to be joined.
+    Only values that stand on other values walk; where none does, the first step finds nothing and the walk ends.
     """
     shown = ["company_id", "analytic_id", "fiscal_year", "value", "fact_ids"]
-    if depth == 0:
-        return values.withColumn("fact_ids", F.array_sort(F.array_distinct("input_fact_ids"))).select(*shown)
     direct = values.select("value_id", F.explode("input_fact_ids").alias("fact_id"))
     links = edges_from(values, "value_id", F.col("input_value_ids"))
     nested = values.filter("size(input_value_ids) > 0")
-    walked = reach(nested.select(F.col("value_id").alias("origin"), F.col("value_id").alias("node")), links, max_depth=depth)
+    walked = reach(nested.select(F.col("value_id").alias("origin"), F.col("value_id").alias("node")), links)
     through = walked.join(direct, walked.node == direct.value_id).select(F.col("origin").alias("value_id"), "fact_id")
     facts = direct.unionByName(through).groupBy("value_id").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))
     return values.join(facts, "value_id").select(*shown)
@@ -170,17 +170,20 @@ def source_urls(origins: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return found.select("origin", F.col("label").alias("url")).distinct()
 
 
-def trace(origins: DataFrame, nodes: DataFrame, edges: DataFrame, max_nodes: int = 400) -> DataFrame:
-    """Ancestor rows per origin with kind, depth and root flag; nearest first, at most max_nodes per origin (a served
-    trace is a page, not the whole graph; `truncated` says when there is more)."""
-    from pyspark.sql import Window
-
+def trace(origins: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ancestor rows per origin with kind, depth and root flag: the whole trace."""
     found = ancestors(origins, edges).join(nodes.withColumnRenamed("node_id", "node"), "node")
     roots = found.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").select("node").distinct().withColumn("is_root", F.lit(True))
+    return found.join(roots, "node", "left").withColumn("is_root", F.coalesce("is_root", F.lit(False))).drop("attributes")
+
+
+def trace_page(traced: DataFrame, nodes_shown: int) -> DataFrame:
+    """The nearest rows of each trace, for a reader who asked for a page; `truncated` says when there is more."""
+    from pyspark.sql import Window
+
     per = Window.partitionBy("origin")
-    ranked = found.join(roots, "node", "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
-    ranked = ranked.withColumn("place", F.row_number().over(per.orderBy("depth", "node"))).filter(F.col("place") <= max_nodes + 1)
-    return ranked.withColumn("truncated", F.max("place").over(per) > max_nodes).filter(F.col("place") <= max_nodes).drop("attributes")
+    ranked = traced.withColumn("place", F.row_number().over(per.orderBy("depth", "node"))).filter(F.col("place") <= nodes_shown + 1)
+    return ranked.withColumn("truncated", F.max("place").over(per) > nodes_shown).filter(F.col("place") <= nodes_shown).drop("place")
 
 
 def integrity_violations(facts: DataFrame, documents: DataFrame) -> DataFrame:

@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which null keys meet null keys; right has one row per key."""
+    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str = "previous") -> DataFrame:
     """Add the value of the row before, in the given order. `bucket` must not decrease along the order."""
     cut = df.withColumn("_b", bucket)
@@ -18,7 +25,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     local = cut.withColumn("_local", F.lag(F.struct(value)).over(inside))
     last = cut.groupBy(*keys, "_b").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_last")
-    return local.join(carried, [*keys, "_b"], "left").withColumn(name, F.coalesce("_local", "_carry")[value]).drop("_local", "_carry", "_b")
+    return _same(local, carried, [*keys, "_b"]).withColumn(name, F.coalesce("_local", "_carry")[value]).drop("_local", "_carry", "_b")
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
@@ -29,4 +36,4 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: C
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     local = cut.withColumn("_run", F.sum("_v").over(inside))
-    return local.join(offsets, [*keys, "_b"], "left").withColumn(name, F.col("_run") + F.col("_offset")).drop("_run", "_offset", "_v", "_b")
+    return _same(local, offsets, [*keys, "_b"]).withColumn(name, F.col("_run") + F.col("_offset")).drop("_run", "_offset", "_v", "_b")

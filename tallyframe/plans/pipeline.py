@@ -36,7 +36,7 @@ class Workspace:
         return f"{self.root.rstrip('/')}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        out = with_bucket(df).repartition("company_bucket") if "company_id" in df.columns else df
+        out = with_bucket(df).hint("rebalance", "company_bucket") if "company_id" in df.columns else df
         writer = out.write.mode("overwrite")
         (writer.partitionBy("company_bucket") if "company_id" in df.columns else writer).parquet(self.path(name))
         return self.read(name)

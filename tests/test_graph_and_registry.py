@@ -27,7 +27,9 @@ def test_walks(spark):
     looped = edges.union(spark.createDataFrame([("src", "w")], "child string, parent string"))
     assert {r.node_id for r in lineage.cyclic_nodes(looped).collect()} == {"doc", "f1", "f2", "v", "w", "src"}
     assert lineage.ancestors(start, looped).count() == 9 - 1  # a cycle ends by itself
-    cut = lineage.trace(start, nodes, edges, max_nodes=2).collect()
+    whole = lineage.trace(start, nodes, edges)
+    assert {r.node for r in whole.filter("is_root").collect()} == {"asm", "src"} and whole.count() == 5
+    cut = lineage.trace_page(whole, 2).collect()
     assert len(cut) == 2 and all(r.truncated for r in cut)
 
 
