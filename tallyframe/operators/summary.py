@@ -160,12 +160,15 @@ KNOCK_ON = "^(prior_year_not_projected|input_not_projected|input_not_computed|st
 
 
 def gap_rollup(counts: DataFrame) -> DataFrame:
-    """(company, item, reason, n) to one row per item: the total, and its two most frequent reasons, where reasons
-    that only pass on an upstream failure give way to root causes."""
+    """(company, item, reason, sentence, n) to one row per item: the total, and its two most frequent sentences, where
+    reasons that only pass on an upstream failure give way to root causes. Codes that read the same count together and
+    are shown as the most frequent of them."""
     item = ["company_id", "item"]
-    root = ~F.col("reason").rlike(KNOCK_ON)
+    said = counts.withColumn("root", ~F.col("reason").rlike(KNOCK_ON)).groupBy(*item, "sentence", "root").agg(
+        F.sum("n").alias("n"), F.min_by("reason", F.struct(-F.col("n"), "reason")).alias("reason"))
+    root = F.col("root")
     per_item = Window.partitionBy(*item)
-    ranked = counts.withColumn("has_root", F.max(root).over(per_item)).withColumn("total", F.sum("n").over(per_item))
+    ranked = said.withColumn("has_root", F.max(root).over(per_item)).withColumn("total", F.sum("n").over(per_item))
     kept = ranked.filter(root | ~F.col("has_root"))
     place = F.row_number().over(per_item.orderBy(F.col("n").desc(), "reason"))
     top = kept.withColumn("place", place).filter("place <= 2")

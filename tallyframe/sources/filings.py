@@ -10,6 +10,10 @@ from ..functions.text import cik10
 from ..operators.extract import normalize_unit
 from ..schemas import FACTS, MONEY
 
+# A number as JSON writes it: sign and digits, decimals, exponent.
+NUMBER = r"^(-?\d+)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
+PLACES = 8  # of MONEY
+
 # Values stay text until they are cast, so no digit is lost on the way.
 _ROW = "struct<start:string,end:string,val:string,accn:string,form:string,filed:string,frame:string>"
 COMPANYFACTS = f"cik string, entityName string, facts map<string,map<string,struct<units:map<string,array<{_ROW}>>>>>"
@@ -33,7 +37,8 @@ def parse_snapshots(raw: DataFrame, schema: str, column: str = "json") -> DataFr
 def flatten_companyfacts(snapshots: DataFrame, company: Column | None = None) -> DataFrame:
     """Tagged rows, each with `malformed` set when a required field is missing or invalid.
 
-    A concept without units yields one malformed row. Nothing is dropped here, so both the good rows and the count of
+    `printed` is the number as published. `refused` is set where it is a number that MONEY cannot hold exactly; its
+    value is then null, as values are never rounded. A concept without units yields one malformed row. Nothing is dropped here, so both the good rows and the count of
     bad ones come from one pass.
     """
     who = F.col("cik") if company is None else company
@@ -43,27 +48,31 @@ def flatten_companyfacts(snapshots: DataFrame, company: Column | None = None) ->
     )
     units = concepts.select("company_id", "taxonomy", "concept", F.col("body.units").isNull().alias("no_units"), F.explode_outer("body.units").alias("unit", "rows"))
     rows = units.select("*", F.explode_outer("rows").alias("r")).filter("no_units OR r IS NOT NULL")
-    number = F.col("r.val").try_cast(MONEY)
+    written = lambda group: F.regexp_extract("r.val", NUMBER, group)
+    is_number = F.coalesce(F.col("r.val").rlike(NUMBER), F.lit(False))
+    places = F.length(F.rtrim(written(2), F.lit("0"))) - F.coalesce(written(3).try_cast("int"), F.lit(0))
+    held = F.col("r.val").try_cast(MONEY)
+    number = F.when(is_number & (places <= PLACES), held)
     end, filed = F.col("r.end").try_cast("date"), F.col("r.filed").try_cast("date")
     has_start = F.coalesce(F.col("r.start"), F.lit("")) != ""
     start = F.when(has_start, F.col("r.start").try_cast("date"))
     bad = (
-        F.col("no_units") | number.isNull() | end.isNull() | filed.isNull() | F.col("r.form").isNull() | (has_start & start.isNull())
+        F.col("no_units") | ~is_number | end.isNull() | filed.isNull() | F.col("r.form").isNull() | (has_start & start.isNull())
         | ~F.coalesce(F.col("r.accn").rlike(r"^\d{10}-\d{2}-\d{6}$"), F.lit(False))
     )
     return rows.select(
-        "company_id", "taxonomy", "concept", normalize_unit(F.col("unit")).alias("unit"), number.alias("value"), start.alias("period_start"),
+        "company_id", "taxonomy", "concept", normalize_unit(F.col("unit")).alias("unit"), number.alias("value"), F.col("r.val").alias("printed"), start.alias("period_start"),
         end.alias("period_end"), F.col("r.accn").alias("accession"), F.col("r.form").alias("form"), filed.alias("filed"), F.col("r.frame").alias("frame"),
-        bad.alias("malformed"),
+        bad.alias("malformed"), (~bad & number.isNull()).alias("refused"),
     )
 
 
 def observations_of(flat: DataFrame) -> DataFrame:
-    return flat.filter("NOT malformed").drop("malformed")
+    return flat.filter("NOT malformed AND NOT refused").drop("malformed", "refused", "printed")
 
 
 def malformed_counts(flat: DataFrame) -> DataFrame:
-    return flat.groupBy("company_id").agg(F.count_if("malformed").alias("malformed"), F.count_if(~F.col("malformed")).alias("observations"))
+    return flat.groupBy("company_id").agg(F.count_if("malformed").alias("malformed"), F.count_if("refused").alias("refused"), F.count_if(~F.col("malformed") & ~F.col("refused")).alias("observations"))
 
 
 def invalid_snapshots(snapshots: DataFrame) -> DataFrame:

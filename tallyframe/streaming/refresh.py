@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..schemas import OBSERVATIONS
 from ..sources.sinks import BUCKETS
 
 OBSERVATION_KEY = ["company_id", "taxonomy", "concept", "unit", "value", "period_start", "period_end", "accession", "form", "filed"]
@@ -31,18 +33,23 @@ def append_new_observations(
 ) -> StreamingQuery:
     """Stream of snapshot rows to a table of distinct observations. `flatten` turns a batch into observations.
 
-    A batch only reads the company buckets it touches; its own folder is excluded, so a replay sees what the first
-    attempt saw.
+    A batch only reads the company buckets it touches, of which there are at most BUCKETS, so their numbers are a
+    literal filter on folders; its own folder is excluded, so a replay sees what the first attempt saw. A batch without
+    good rows writes an empty folder, which the next one reads by the schema it knows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = flatten(batch).withColumn("obs_hash", _observation_hash()).withColumn("company_bucket", _bucket()).dropDuplicates(["obs_hash"])
-        known = read_observations(spark, target, raw=True)
-        if known is not None:
-            earlier = known.filter(F.col("batch") < number).select("company_bucket", "obs_hash")
-            fresh = fresh.join(earlier, ["company_bucket", "obs_hash"], "left_anti")
-        fresh.repartition("company_bucket").write.mode("overwrite").partitionBy("company_bucket").parquet(f"{target}/batch={number}")
+        fresh = flatten(batch).withColumn("obs_hash", _observation_hash()).withColumn("company_bucket", _bucket()).dropDuplicates(["obs_hash"]).persist()
+        try:
+            touched = [r.company_bucket for r in fresh.select("company_bucket").distinct().collect()]
+            rows = fresh
+            if number and touched and _exists(spark, target):
+                earlier = _stored(spark, target, fresh.schema).filter(F.col("batch") < number).filter(F.col("company_bucket").isin(touched))
+                rows = fresh.join(earlier.select("company_bucket", "obs_hash"), ["company_bucket", "obs_hash"], "left_anti")
+            rows.hint("rebalance", "company_bucket").write.mode("overwrite").partitionBy("company_bucket").parquet(f"{target}/batch={number}")
+        finally:
+            fresh.unpersist()
 
     writer = snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="1 minute").start()
@@ -53,11 +60,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_observations(spark: SparkSession, target: str, raw: bool = False) -> DataFrame | None:
+def _stored(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """All batches, by a schema that is known: a folder may hold no file to take one from."""
+    names = {"batch", "company_bucket"}
+    full = StructType([f for f in schema.fields if f.name not in names]).add("batch", "long").add("company_bucket", "integer")
+    return spark.read.schema(full).parquet(target)
+
+
+def read_observations(spark: SparkSession, target: str, schema: StructType | None = None) -> DataFrame:
+    """Every observation stored so far. schema: that of what `flatten` gives; the published one by default."""
+    known = schema or spark.createDataFrame([], OBSERVATIONS).schema
     if not _exists(spark, target):
-        return None
-    table = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
-    return table if raw else table.drop("batch", "company_bucket", "obs_hash")
+        return spark.createDataFrame([], known)
+    return _stored(spark, target, StructType(list(known.fields)).add("obs_hash", "string")).select(*known.names)
+
+
+def compact_observations(spark: SparkSession, target: str, into: str, schema: StructType | None = None) -> DataFrame:
+    """A copy of the table with one set of files per bucket, under a new folder, to read from or to start the next
+    checkpoint on. The batches stay as they are, so running streams are not disturbed."""
+    compact = _stored(spark, target, (schema or spark.createDataFrame([], OBSERVATIONS).schema).add("obs_hash", "string")).drop("batch")
+    compact.hint("rebalance", "company_bucket").write.mode("overwrite").partitionBy("company_bucket").parquet(f"{into}/batch=0")
+    return read_observations(spark, into, schema)
 
 
 def current_view_updates(disclosures: DataFrame, keys: list[str], order: list[str], changelog: str, checkpoint: str) -> StreamingQuery:
