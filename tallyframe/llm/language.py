@@ -135,12 +135,15 @@ def train(docs: DataFrame) -> Model | None:
     length has at most COLUMNS.
     """
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    frequent = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    frequent = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not frequent:
         return None
     each = min(TRAIN_PER_LANGUAGE, max(1, TRAIN_ROWS // len(frequent)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.filter(F.col("lang").isin(frequent)).select("lang", "doc_id", F.row_number().over(order).alias("n")).filter(F.col("n") <= each).select("lang", "doc_id").distinct()
+    # Rows with a low hash are enough to choose from: some four times as many as are wanted meet in the window.
+    parts = F.create_map(*[F.lit(x) for lang, n in frequent.items() for x in (lang, min(1.0, 4 * each / n))])
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.select("lang", "doc_id", lot.alias("lot")).filter(F.col("lot") < F.element_at(parts, F.col("lang")))
+    chosen = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))).filter(F.col("n") <= each).select("lang", "doc_id").distinct()
     ship(docs.sparkSession)
     gram_columns = F.udf(lambda text: grams(text).tolist(), ArrayType(IntegerType()), useArrow=True)
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
