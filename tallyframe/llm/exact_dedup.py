@@ -75,7 +75,8 @@ def groups(thin: DataFrame) -> DataFrame:
     """
     tested = stage(possible_repeats(thin), "tested")
     maybe = tested.filter("maybe").drop("maybe")
-    facts = maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), _best(["doc_id", "uid"]).alias("best"))
+    # Written, so that the join below has two plain inputs and a text with very many copies can be split.
+    facts = stage(maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), _best(["doc_id", "uid"]).alias("best")), "repeats")
     judged = maybe.join(facts, "text_sha256").select(*thin.columns, F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
     alone = tested.filter("not maybe").select(*thin.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return alone.unionByName(judged)
