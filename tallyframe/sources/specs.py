@@ -127,42 +127,6 @@ class Framework:
 KINDS = ("metrics", "checks", "analytics", "charts", "drivers")
 
 
-def _lines(table: str) -> list[list[str]]:
-    return [[cell.strip() for cell in line.split("|")] for line in table.strip().splitlines() if line.strip()]
-
-
-def analytic_arguments(kind: str, text: str) -> dict:
-    parts = [p.strip() for p in text.split(":")]
-    if kind in ("level", "growth"):
-        return {"metric": parts[0]}
-    if kind == "expression":
-        return {"formula": parts[0]}
-    if kind == "elasticity":
-        return {"of": parts[0], "relative_to": parts[1]}
-    return {"numerator": parts[0], "denominator": parts[1], "basis": parts[2] if len(parts) > 2 else "period_end"}
-
-
-def from_text(raw: dict) -> Framework:
-    """A shipped framework (see specdata) as specs."""
-    hints = raw.get("documents", {})
-
-    def metric(row: list[str]) -> Metric:
-        mid, name, kind, statement, period, sign, concepts, derivation = row
-        hint = hints.get(mid, {})
-        return Metric(
-            mid, name, kind, statement, period, "non_negative" if sign == "+" else "any", tuple(concepts.split()),
-            derivation or None, None, tuple(hint.get("labels", ())), hint.get("column"),
-            tuple(hint.get("concepts", ())), tuple(hint.get("dimensions", {}).items()),
-        )
-
-    metrics = [metric(r) for r in _lines(raw.get("metrics", ""))]
-    checks = [Check(r[0], r[1], r[2], tuple(r[3].split()), r[4]) for r in _lines(raw.get("checks", ""))]
-    analytics = [Analytic(*r[:5], **analytic_arguments(r[3], r[5])) for r in _lines(raw.get("analytics", ""))]
-    charts = [Chart(r[0], r[1], r[2], tuple(r[3].split()), r[4]) for r in _lines(raw.get("charts", ""))]
-    drivers = [Driver(r[0], r[1], tuple(r[2].split()), r[3] or None, r[4] or None) for r in _lines(raw.get("drivers", ""))]
-    return _assemble(raw, metrics, checks, analytics, charts, drivers, raw.get("sic", ()), raw.get("remove", {}))
-
-
 def from_yaml(path: str | Path) -> Framework:
     """A user's framework file (metrics, checks, analytics, charts, drivers, targets, valuation as mappings)."""
     try:
@@ -172,6 +136,11 @@ def from_yaml(path: str | Path) -> Framework:
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
     if not isinstance(raw, dict) or raw.get("name") != Path(path).stem:
         raise SpecError(f"{path}: expected a mapping whose name matches the file name")
+    return from_mapping(raw)
+
+
+def from_mapping(raw: dict) -> Framework:
+    """A framework file, or a shipped framework (see specdata), as specs."""
 
     def metric(m: dict) -> Metric:
         hint = m.get("document") or {}
@@ -258,7 +227,7 @@ def resolve(frameworks: Iterable[Framework]) -> dict[str, Framework]:
 
 
 def shipped() -> dict[str, Framework]:
-    return resolve(from_text(raw) for raw in specdata.SHIPPED)
+    return resolve(map(from_mapping, specdata.SHIPPED))
 
 
 def load(directory: str | Path) -> dict[str, Framework]:

@@ -81,7 +81,7 @@ def test_config_violations(spark):
 
 def test_specs_are_sound_and_overlay_agrees(spark, frameworks):
     assert specs.spec_violations(spark, frameworks).count() == 0
-    raw = {f.name: f for f in map(specs.from_text, specs.specdata.SHIPPED)}
+    raw = {f.name: f for f in map(specs.from_mapping, specs.specdata.SHIPPED)}
     rows = [(c, d, m) for c in raw if c != "generic" for d, f in ((0, "generic"), (1, c)) for m in raw[f].metrics]
     gone = [(c, 1, m) for c in raw if c != "generic" for m in raw[c].removed.get("metrics", ())]
     items = spark.createDataFrame(rows, "group_id string, depth int, item_id string")
