@@ -26,3 +26,28 @@ def test_four_stages(spark, generic, tmp_path):
     first = facts.agg(F.min("company_id")).first()[0]
     moved = facts.withColumn("value", F.when(F.col("company_id") == first, F.col("value") + 1).otherwise(F.col("value")))
     assert [(r.company_id, r.why) for r in pipeline.stale_companies(ws, "quality", moved, generic).collect()] == [(first, "changed")]
+
+
+def test_stale_stages_are_refused_and_only_stale_companies_redone(spark, generic, frameworks, tmp_path):
+    ws = pipeline.Workspace(spark, str(tmp_path / "ws"))
+    entities = tables.entities(spark, SF)
+    seen = tables.observations(spark, SF, ["revenue", "cost_of_revenue"])
+    pipeline.ingest(ws, seen, entities, generic)
+    pipeline.quality(ws, generic)
+    before = pipeline.analyze(ws, generic).cache()
+    before.count()
+    first = seen.agg(F.min("company_id")).first()[0]
+    doubled = seen.withColumn("value", F.when(F.col("company_id") == first, (F.col("value") * 2).cast("decimal(28,8)")).otherwise(F.col("value")))
+    pipeline.ingest(ws, doubled, entities, generic)
+    with pytest.raises(pipeline.StageStale, match=f"quality has to run again: changed for {first}"):
+        pipeline.analyze(ws, generic)
+    pipeline.quality(ws, generic, only_stale=True)
+    with pytest.raises(pipeline.StageStale, match="analyze"):
+        pipeline.project(ws, generic)
+    pipeline.analyze(ws, generic, only_stale=True)
+    part = {name: sorted(map(str, ws.read(name).collect())) for name in ("current", "issues", "coverage", "analytics", "summaries")}
+    pipeline.quality(ws, generic)
+    pipeline.analyze(ws, generic)
+    assert part == {name: sorted(map(str, ws.read(name).collect())) for name in part}
+    with pytest.raises(pipeline.StageStale, match="framework_changed"):
+        pipeline.quality(ws, {"generic": frameworks["industrials"]})
