@@ -272,7 +272,7 @@ FROM (SELECT *, gross + CASE WHEN co % 9 = 0 THEN 5000 ELSE 0 END AS assets FROM
 def cash_roll_forward(spark, sf):
     facts = stage(current(spark, sf, ["net_change_in_cash", "cash_and_restricted_cash"]), "current")
     facts = facts.unionByName(derive.interim_facts(derive.interim_events(facts, frameworks())))
-    return outcome_counts(checks.identity_events(facts, frameworks()).filter("check_id = 'cash_roll_forward'"))
+    return outcome_counts(checks.identity_events(facts, frameworks(), ("cash_roll_forward",)))
 
 
 CASH_ROLL = sql("SELECT company_id, 'cash_roll_forward' AS check_id, count(*) AS passed, 0 AS failed, 7 * count(*) AS not_evaluable FROM ann GROUP BY 1")
@@ -280,7 +280,7 @@ CASH_ROLL = sql("SELECT company_id, 'cash_roll_forward' AS check_id, count(*) AS
 
 def cash_flow_sum(spark, sf):
     facts = current(spark, sf, ["operating_cash_flow", "investing_cash_flow", "financing_cash_flow", "net_change_in_cash"])
-    return outcome_counts(checks.identity_events(facts, frameworks()).filter("check_id = 'cash_flow_statement_sum'"))
+    return outcome_counts(checks.identity_events(facts, frameworks(), ("cash_flow_statement_sum",)))
 
 
 CASH_SUM = sql("SELECT company_id, 'cash_flow_statement_sum' AS check_id, 4 * count(*) AS passed, 0 AS failed, 0 AS not_evaluable FROM ann GROUP BY 1")
@@ -380,7 +380,7 @@ COVERAGE = sql(
 
 def cash_flow_sum(spark, sf):
     facts = current(spark, sf, ["operating_cash_flow", "investing_cash_flow", "financing_cash_flow", "net_change_in_cash"])
-    return outcome_counts(checks.identity_events(facts, frameworks()).filter("check_id = 'cash_flow_statement_sum'"))
+    return outcome_counts(checks.identity_events(facts, frameworks(), ("cash_flow_statement_sum",)))
 
 
 CASH_SUM = sql("SELECT company_id, 'cash_flow_statement_sum' AS check_id, 4 * count(*) AS passed, 0 AS failed, 0 AS not_evaluable FROM ann GROUP BY 1")

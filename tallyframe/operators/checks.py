@@ -70,14 +70,18 @@ def _identity_event(check: Check, flow_metrics: set[str]) -> Column:
     )
 
 
-def identity_events(facts: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
-    """One row per (company, check, anchor period): both sides, the rounding tolerance and the outcome."""
-    everything = derive.anchor_frame(facts, ["company_id", "framework", "period_type", "period_start", "period_end"])
+def identity_events(facts: DataFrame, frameworks: dict[str, Framework], only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per (company, check, anchor period): both sides, the rounding tolerance and the outcome. `only` names the
+    checks to make, all by default.
+
+    Anchors are gathered once; flows, balances and opening balances all read the written rows.
+    """
+    everything = stage(derive.anchor_frame(facts, ["company_id", "framework", "period_type", "period_start", "period_end"]), "anchors")
     found = []
     for framework in frameworks.values():
         flow_metrics = {m.id for m in framework.metrics.values() if m.period_type == "duration"}
         over_flows, over_balances = [], []
-        for check in framework.checks.values():
+        for check in (c for c in framework.checks.values() if only is None or c.id in only):
             is_flow = any(n in flow_metrics or n.endswith(OPENING) for n in check.names)
             (over_flows if is_flow else over_balances).append(check)
         frame = everything.filter(F.col("framework") == framework.name)
@@ -295,9 +299,10 @@ def run_quality(
     derived = derive.interim_facts(interim).unionByName(derive.formula_facts(formulas))
     everything = current.unionByName(derived)
 
-    identities = identity_events(everything, frameworks)
+    # Issues and outcomes both read these.
+    identities = stage(identity_events(everything, frameworks), "identities")
     sign, gaps = sign_events(everything, frameworks), missing_years(everything)
-    changes = annual_changes(everything)
+    changes = stage(annual_changes(everything), "changes")
     unusual, cells = unusual_changes(changes), coverage_cells(everything)
     issues = [
         derive.formula_issues(formulas), identity_issues(identities), continuity_issues(sign, gaps, changes, unusual),
