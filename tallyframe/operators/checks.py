@@ -317,3 +317,11 @@ def run_quality(
         current, derived, reduce(DataFrame.unionByName, issues), reduce(DataFrame.unionByName, outcomes), cells,
         derive.derivation_counts(current, interim, formulas, frameworks),
     )
+
+
+def metrics_without_data(entities: DataFrame, disclosed: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
+    """(company_id, metric_id, reason): tagged metrics of a company's framework of which it has disclosed nothing. A
+    finding of its own (`no_xbrl_data`), counted with the derivation outcomes; never a passed check."""
+    wanted = metric_spec(entities.sparkSession, frameworks).filter("has_concepts").select("framework", "metric_id")
+    expected = entities.select("company_id", "framework").join(wanted, "framework")
+    return expected.join(disclosed.select("company_id", "metric_id").distinct(), ["company_id", "metric_id"], "left_anti").select("company_id", "metric_id", F.lit("no_xbrl_data").alias("reason"))

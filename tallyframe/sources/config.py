@@ -13,6 +13,8 @@ COMPANY = (
     "fiscal_year_convention:string,company_id:string>, sources map<string,array<struct<url:string,path:string,fiscal_period:string>>>, "
     "research struct<historical_years:int,forecast_years:int>"
 )
+# Fields of an authored assumption; any other is refused, as a misspelt one would be lost in silence.
+AUTHORED = ("company_id", "key", "type", "value", "unit", "period", "scenario", "description", "rationale", "source_document_id", "effective_date")
 DECLARABLE = ("management_guidance", "consensus", "analyst_assumption", "scenario")
 
 
@@ -38,6 +40,19 @@ def sources_of(raw: DataFrame) -> DataFrame:
     return rows.select("company_id", "kind", blank("r.url").alias("url"), blank("r.path").alias("path"), "r.fiscal_period").filter("url IS NOT NULL OR path IS NOT NULL")
 
 
+def authored_assumptions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Authored files (file_company_id, json: a list of objects) as rows, and (company_id, rule, key) for entries that
+    cannot be read: an unknown field, no key, or a value that is no number. Those are in the second table only."""
+    entry = raw.select("file_company_id", F.explode_outer(F.from_json("json", "array<map<string,string>>")).alias("m"))
+    unknown = F.array_sort(F.array_except(F.map_keys("m"), F.array(*[F.lit(a) for a in AUTHORED])))
+    number = F.col("m")["value"].try_cast("double")
+    why = F.when(F.col("m").isNull(), "unreadable").when(F.size(unknown) > 0, F.concat(F.lit("unknown_field:"), F.array_join(unknown, ",")))
+    why = why.when(F.col("m")["key"].isNull(), "no_key").when(number.isNull(), "no_number")
+    fields = [number.alias("value") if a == "value" else F.col("m")[a].alias(a) for a in AUTHORED if a != "company_id"]
+    rows = entry.select("file_company_id", F.coalesce(F.col("m")["company_id"], "file_company_id").alias("company_id"), *fields, why.alias("rule"))
+    return rows.filter("rule IS NULL").drop("rule"), rows.filter("rule IS NOT NULL").select("company_id", "rule", "key")
+
+
 def assumption_rejections(authored: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(company_id, rule, key) for authored assumptions that may not be used. authored: ASSUMPTIONS plus file_company_id."""
     report = lambda df, rule: df.select("company_id", F.lit(rule).alias("rule"), "key")

@@ -20,6 +20,16 @@ def write_facts_json(facts: DataFrame, path: str) -> None:
     ordered.withColumn("value", F.col("value").cast("string")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def fixed(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema (see schemas), in its order and types. A column that is missing or would not fit is an
+    error; one the schema does not know is refused as well, as a dataset's columns are a contract."""
+    want = df.sparkSession.createDataFrame([], schema).schema
+    extra, lacking = sorted(set(df.columns) - set(want.names)), sorted(set(want.names) - set(df.columns))
+    if extra or lacking:
+        raise ValueError(f"columns do not match the schema: unknown {extra}, missing {lacking}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     """value (double) plus value_exact (text), partitioned by company bucket."""
     exact = F.col("value").cast("string")
