@@ -15,9 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import carry, row_key, ship, stage
+from .common import ascii_lower, carry, row_key, ship, stage, text_of
 from .components import components
+from .fingerprints import likeness, with_sketch
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -80,12 +82,87 @@ def near_groups(prints: DataFrame) -> DataFrame:
     return prints.join(placed.select("fp", "component").join(ids, "component").select("fp", "component_id"), "fp")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all their columns, with one row for each group: that of the smallest doc_id (of several, any one)."""
+# ---- near-duplicates by similarity ---------------------------------------------------------------------------------
+
+# Five words and a Jaccard similarity of 0.8. Texts that similar differ in about one bit of thirteen, so one table of
+# 64-bit fingerprints within two bits would miss most of them; several shorter ones, each with its own hash, find them.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+TABLES = 6
+LEAST_BITS, MOST_BITS = 32, 58
+# Bits beyond the logarithm of the number of texts: unrelated ones are then met in a table about once in twenty.
+SPARE_BITS = 14
+
+_STEP, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of the splitmix64 mixer
+
+
+def fingerprints_of(text: str | None, words: int = SIMILAR_WORDS, tables: int = TABLES) -> np.ndarray:
+    """`tables` independent signed 64-bit SimHashes over the distinct shingles; zeros without words."""
+    from xxhash import xxh64_intdigest
+
+    parts = (text or "").encode("utf-8").lower().split()
+    if not parts:
+        return np.zeros(tables, np.int64)
+    joined = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) > words else [b" ".join(parts)]
+    hashes = np.unique(np.fromiter(map(xxh64_intdigest, joined), "<u8"))
+    ones = np.zeros(64 * tables, np.int64)
+    for start in range(0, len(hashes), 255):  # so many sums fit a byte
+        part = hashes[start : start + 255, None] + _STEP * np.arange(1, tables + 1, dtype="<u8")
+        part = (part ^ (part >> np.uint64(30))) * _MIX_A
+        part = (part ^ (part >> np.uint64(27))) * _MIX_B
+        part ^= part >> np.uint64(31)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")
+
+
+def candidate_pairs(prints: DataFrame, tables: int = TABLES) -> DataFrame:
+    """(a, b) of uids of prints (uid, fps) that meet in some table, a few for each text: in every table, the least text
+    with the same fingerprint, and of those within two bits the least and the one before."""
+    n = max(2, prints.count())
+    bits = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + SPARE_BITS))
+    keyed = prints.select("uid", F.posexplode("fps").alias("t", "fp")).select("uid", (F.shiftleft(F.col("t").cast("long"), MOST_BITS).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)))).alias("key"))
+    keyed = stage(keyed, "keys")
+    reps = stage(keyed.groupBy("key").agg(F.min("uid").alias("rep")), "representatives")
+    same = keyed.join(reps, "key").filter("uid != rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
+    ball = F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    met = reps.select("key", "rep", F.explode(ball).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("rep")
+    seen = met.select("key", "rep", F.lag("rep").over(order).alias("before"), F.first("rep").over(order).alias("least")).filter("before IS NOT NULL AND least != rep")
+    best = seen.groupBy("key").agg(F.first("rep").alias("b"), F.min("least").alias("least"), F.max("before").alias("before"))
+    near = best.select("b", F.explode(F.array("least", "before")).alias("a")).filter("a != b")
+    return same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts have at least `similarity` of their shingles in common. docs: (_k1, _k2, _text)."""
+    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
+    lowered = docs.select("_k1", "_k2", ascii_lower(F.col("_text")).alias("_text")).join(asked, ["_k1", "_k2"])
+    held = stage(with_sketch(lowered.select("uid", "_text"), "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
+    both = pairs.join(held.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+    return both.filter(likeness("sa", "sb") >= similarity).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """The rows of `docs`, all their columns, with one row for each group of texts that are linked by similarity: that
+    of the smallest doc_id (null last; of several, any one).
+
+    Candidates meet in the middle between their fingerprints; every one is verified on all its shingles.
+    """
+    ship(docs.sparkSession)
     k1, k2 = row_key(docs)
-    grouped = near_groups(fingerprints(docs, k1.alias("_k1"), k2.alias("_k2")))
-    rows = grouped.groupBy("component_id", "_k1", "_k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    facts = rows.groupBy("component_id").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("best")).filter("n > 1")
-    judged = rows.drop("n").join(facts, rows.component_id.eqNullSafe(facts.component_id))
-    stays = (F.col("_k1") == F.col("best._k1")) & (F.col("_k2") == F.col("best._k2"))
-    return carry(docs, stage(judged.select("_k1", "_k2", F.when(stays, 1).otherwise(0).alias("_copies")), "actions"))
+    rows = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([fingerprints_of(t.as_py(), words, tables) for t in batch.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*batch.schema.names[:-1], "fps"])
+
+    schema = rows.drop("text").schema.add("fps", ArrayType(LongType()))
+    prints = stage(rows.mapInArrow(hashed, schema).withColumn("uid", F.monotonically_increasing_id()), "prints")
+    pairs = stage(candidate_pairs(prints, tables), "pairs")
+    texts = docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text"))
+    found = stage(components(similar(texts, prints, pairs, words, similarity)), "components")
+    members = prints.join(found, prints.uid == found.node).select("component", "doc_id", "_k1", "_k2", "uid")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
+    judged = members.join(stage(best, "best"), "component").groupBy("_k1", "_k2").agg(F.max((F.col("uid") == F.col("best.uid")).cast("int")).alias("_copies"))
+    return carry(docs, stage(judged, "actions"))

@@ -123,6 +123,26 @@ def test_simhash_edges(make_docs):
     assert simhash.deduplicate(make_docs([])).collect() == []
 
 
+def test_similar_texts_are_found(spark, make_docs):
+    """Copies with a few words changed are found, texts that share less stay, whatever lies in between them."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    rows, copies = [], 0
+    for n in range(60):
+        base = [word() for _ in range(200)]
+        rows.append((10 * n, " ".join(base)))
+        for i, changes in enumerate((1, 2, 4), 1):  # similarities of about 0.95, 0.9 and 0.82
+            edited = list(base)
+            for at in range(changes):
+                edited[20 + 40 * at] = word()
+            rows.append((10 * n + i, " ".join(edited).upper()))
+            copies += 1
+        rows.append((10 * n + 9, " ".join(base[:100] + [word() for _ in range(100)])))  # a third in common
+    kept = {r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()}
+    assert {d for d, _ in rows if d % 10 in (0, 9)} <= kept
+    assert len(kept) - 120 <= 0.05 * copies
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_against_brute_force(spark, seed):
     draw = random.Random(seed)
