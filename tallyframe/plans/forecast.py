@@ -1,12 +1,13 @@
 """Forecasts: seed assumptions from history, resolve the assumption ladder, project every scenario.
 
 One row per company and scenario carries its base-year values and its resolved assumptions as maps, both bounded by
-the framework and the horizon. Each forecast year adds columns, one layer of metrics at a time, so a projection of
+the framework and the horizon. The years are folded over each row, one layer of metrics at a time, so a projection of
 any number of companies is one pass without a shuffle after the maps are built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -159,25 +160,26 @@ def resolve_assumptions(demands: DataFrame, assumptions: DataFrame) -> DataFrame
 # ---- projection -------------------------------------------------------------------------------------------------
 
 
-def _event(plan: Plan, rule: Rule, offset: int) -> Column:
+def _event(plan: Plan, rule: Rule, offset: Column, cur: Column, prev: Column) -> Column:
+    """One attempted value `offset` years after the base year, from this year's values so far and last year's."""
     year = F.col("base_year") + offset
     spec = plan.framework.metrics[rule.metric]
     resolved = [F.col("asm")[F.concat(F.lit(f"{k}|"), year.cast("string"))] for k in rule.keys]
     # A key nobody demanded is missing as well.
     unresolved = [F.when(r.isNull(), F.lit(f"assumption_missing:{k}")).otherwise(r["reason"]) for k, r in zip(rule.keys, resolved, strict=True)]
     if rule.method == "growth":
-        prior = F.col("prev")[rule.metric]
-        absent = "base_year_actual_missing" if offset == 1 else "prior_year_not_projected"
+        prior = prev[rule.metric]
+        absent = F.when(offset == 1, f"base_year_actual_missing:{rule.metric}").otherwise(f"prior_year_not_projected:{rule.metric}")
         reason = F.coalesce(
-            F.when(prior.isNull(), F.lit(f"{absent}:{rule.metric}")), F.when(prior["value"] <= 0, F.lit(f"growth_base_not_positive:{rule.metric}")), *unresolved
+            F.when(prior.isNull(), absent), F.when(prior["value"] <= 0, F.lit(f"growth_base_not_positive:{rule.metric}")), *unresolved
         )
         value, inputs = prior["value"] * (F.lit(1.0) + resolved[0]["value"]), [prior]
     elif rule.method == "level":
         reason, value, inputs = F.coalesce(*unresolved), resolved[0]["value"], []
     else:
-        inputs = [F.col("cur")[n] for n in rule.inputs]
+        inputs = [cur[n] for n in rule.inputs]
         rates = {k.split(".", 1)[1]: r["value"] for k, r in zip(rule.keys, resolved, strict=True)}
-        value = formula(rule.formula).column(lambda n: rates[n] if n in rates else F.col("cur")[n]["value"])
+        value = formula(rule.formula).column(lambda n: rates[n] if n in rates else cur[n]["value"])
         absent = [F.when(c.isNull(), F.lit(f"input_not_projected:{n}")) for n, c in zip(rule.inputs, inputs, strict=True)]
         reason = F.coalesce(*absent, *unresolved, F.when(value.isNull(), "division_by_zero"))
     nothing = F.array().cast("array<string>")
@@ -221,23 +223,38 @@ def _as_map(events: Column) -> Column:
         e["value"].alias("value"), e["currency"].alias("currency"), e["value_id"].alias("value_id"), own(e).alias("fact_ids"), e["fallback_for"].alias("fallback_for")))))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _year(plan: Plan, state: Column, offset: Column) -> Column:
+    """The state (cur: values by metric, events: all attempts) one year on. A value of last year is reachable only as such."""
+    prev = state["cur"]
+
+    def through(layers: list[list[str]], held: Column) -> Column:
+        if not layers:
+            return held
+        attempts = F.array(*[_event(plan, plan.rules[m], offset, held["cur"], prev) for m in layers[0]])
+        grown = lambda made: F.struct(F.map_concat(held["cur"], _as_map(made)).alias("cur"), F.concat(held["events"], made).alias("events"))
+        return _let(attempts, lambda made: _let(grown(made), lambda further: through(layers[1:], further)))
+
+    empty = F.struct(F.map_filter(prev, lambda k, v: F.lit(False)).alias("cur"), state["events"].alias("events"))
+    return _let(empty, lambda held: through(plan.layers, held))
+
+
 def project(frame: DataFrame, plans: list[Plan], years: int) -> DataFrame:
-    """frame: one row per (company, scenario) with base_year, signature, base and asm. One row per attempted value."""
+    """frame: one row per (company, scenario) with base_year, signature, base and asm. One row per attempted value.
+
+    Years are a fold over the row, so the plan holds one year's expressions whatever the horizon.
+    """
     found = []
     for plan in plans:
         rows = frame.filter(F.col("signature") == plan.signature)
-        rows = rows.withColumn("_actual", F.array_compact(F.array(*[_actual(plan, r) for r in plan.rules.values()]))).withColumn("cur", _as_map(F.col("_actual")))
-        parts = ["_actual"]
-        for offset in range(1, years + 1):
-            # A new year starts empty: a value of last year is reachable only as `prev`.
-            rows = rows.withColumn("prev", F.col("cur"))
-            for depth, layer in enumerate(plan.layers):
-                name = f"_y{offset}_{depth}"
-                rows = rows.withColumn(name, F.array(*[_event(plan, plan.rules[m], offset) for m in layer]))
-                fresh = _as_map(F.col(name))
-                rows = rows.withColumn("cur", fresh if depth == 0 else F.map_concat("cur", fresh))
-                parts.append(name)
-        events = F.flatten(F.array(*[F.col(p) for p in parts]))
+        rows = rows.withColumn("_actual", F.array_compact(F.array(*[_actual(plan, r) for r in plan.rules.values()])))
+        start = F.struct(_as_map(F.col("_actual")).alias("cur"), F.col("_actual").alias("events"))
+        one_year = lambda state, offset: _year(plan, state, offset)  # noqa: B023, E731 - used at once
+        events = F.aggregate(F.sequence(F.lit(1), F.lit(years)), start, one_year, lambda state: state["events"])
         found.append(rows.select("company_id", "framework", "scenario", "base_year", F.explode(events).alias("e")).select("company_id", "framework", "scenario", "base_year", "e.*"))
     return reduce(DataFrame.unionByName, found)
 
