@@ -436,19 +436,26 @@ SELECT analytic_id, text, count(*) AS n FROM (
 )
 
 
+def _money(v: str) -> str:
+    return f"'$' || CASE WHEN {v} >= 1e9 THEN printf('%,.1f', ({v}) / 1e9) || 'bn' WHEN {v} >= 1e6 THEN printf('%,d', CAST(round_even(({v}) / 1e6, 0) AS BIGINT)) || 'm' ELSE printf('%,.2f', {v}) END"
+
+
 def issue_sentences(spark, sf):
     facts = stage(current(spark, sf, ["revenue", "total_assets", "total_liabilities", "total_equity"], ("gap",)), "current")
     issues = checks.identity_issues(checks.identity_events(facts, frameworks())).unionByName(checks._issue(
         checks.missing_years(facts).filter("outcome = 'failed'"), "missing_years", "warning", details=[F.lit("missing"), F.array_join(F.col("missing").cast("array<string>"), ",")]))
     told = views.checks_view(issues, tables.entities(spark, sf), display.name_table(spark, frameworks()))
-    return told.select("company_id", "check_label", "severity_label", display.period_words(F.col("period")).alias("period"), F.regexp_replace("text", r"[\d,.]+(bn|m)?(?=\))", "#").alias("text"))
+    return told.select("company_id", "check_label", "severity_label", display.period_words(F.col("period")).alias("period"), "text")
 
 
 ISSUE_SENTENCES = sql(
     """
-SELECT company_id, 'Balance sheet balances' AS check_label, 'Review' AS severity_label, 'FY' || y AS period, 'Total assets ($#) doesn''t equal total liabilities plus total equity ($#); the difference is $5,000.00.' AS text FROM ann WHERE co % 9 = 0
+SELECT company_id, 'Balance sheet balances' AS check_label, 'Review' AS severity_label, 'FY' || y AS period,
+  'Total assets (' || """ + _money("a + 5000") + """ || ') doesn''t equal total liabilities plus total equity (' || """ + _money("a") + """ || '); the difference is $5,000.00. Often legitimate: reported equity can exclude non-controlling interests and temporary equity, which some companies report on separate lines.' AS text
+  FROM (SELECT company_id, co, y, CAST(gross AS DOUBLE) AS a FROM cum) WHERE co % 9 = 0
 UNION ALL SELECT company_id, 'No missing years', 'Review', '', 'Revenue has no annual figure for FY1998.' FROM revgap WHERE co % 6 = 0 GROUP BY company_id HAVING min(y) < 1998 AND max(y) > 1998
-"""
+""",
+    _CUM,
 )
 
 

@@ -242,8 +242,11 @@ def continuity_issues(sign: DataFrame, gaps: DataFrame, changes: DataFrame, unus
 def extraction_issues(restated: DataFrame, switches: DataFrame, mismatches: DataFrame) -> DataFrame:
     """What extraction already found, carried into the quality report."""
     # Versions are rows; a period restated in any unit is one issue. Counting first keeps the group small.
-    periods = restated.groupBy("company_id", "metric_id", "period_type", "period_end", "period").agg(F.max("version").alias("versions"))
-    a = _issue(periods, "restatement", "info", period=F.col("period"), details=[F.lit("versions"), F.col("versions").cast("string")])
+    told = F.concat_ws("|", F.col("value").cast("double").cast("string"), F.coalesce("form", F.lit("")), F.col("filed").cast("string"))
+    kind = F.when(F.col("unit").contains("/"), "currency_per_share").when(F.col("unit").rlike("^[A-Z]{3}$"), "currency").when(F.lower("unit") == "pure", "ratio").otherwise("count")
+    periods = restated.groupBy("company_id", "metric_id", "period_type", "period_end", "period").agg(
+        F.max("version").alias("versions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", told.alias("told")))), lambda v: v["told"]), ";").alias("told"), F.max_by(kind, "version").alias("kind"))
+    a = _issue(periods, "restatement", "info", period=F.col("period"), details=[F.lit("versions"), F.col("versions").cast("string"), F.lit("values"), F.col("told"), F.lit("unit_kind"), F.col("kind")])
     b = _issue(switches, "concept_switch", "warning", details=[F.lit("concepts"), F.array_join("concepts", ", ")])
     c = _issue(mismatches, "currency", "warning", details=[F.lit("currency"), F.col("currency"), F.lit("count"), F.col("n").cast("string")])
     return a.unionByName(b).unionByName(c)
