@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, lineage
-from ..plans import forecast, projection
+from ..plans import forecast, projection, views
 from ..session import stage
 from ..sources import tables
 from .common import annual, dbl, frameworks, sql
@@ -90,7 +90,7 @@ _CUR = "CASE WHEN CAST(substr(company_id, 4) AS INTEGER) % 10 = 3 THEN 'EUR' ELS
 
 def forecast_base(spark, sf):
     facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"])
-    run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("free_cash_flow", "operating_income_unknown"))
+    run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("free_cash_flow",))
     return _shown(run.events, 1)
 
 
@@ -108,6 +108,43 @@ UNION ALL SELECT company_id, 'base', 'free_cash_flow', any_value(base_y) + k, ro
 )
 
 
+def forecast_lines(spark, sf):
+    """Projected lines as a reader gets them: one per metric with its points in order."""
+    facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"])
+    run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("free_cash_flow",))
+    lines = views.forecast_view(run.values, run.frame, run.plans)
+    last = F.element_at("points", -1)
+    return lines.select("company_id", "scenario", "metric_id", "currency", F.size("points").alias("n_points"), last["fiscal_year"].alias("last_year"), F.round(last["value"], 1).alias("last_value"), "fallback")
+
+
+FORECAST_LINES = sql(
+    f"""
+SELECT company_id, 'base' AS scenario, name AS metric_id, {_CUR} AS currency, 4 AS n_points, base_y + 3 AS last_year, round(v, 1) AS last_value, false AS fallback FROM path WHERE k = 3
+UNION ALL SELECT company_id, 'base', 'free_cash_flow', {_CUR}, 4, any_value(base_y) + 3, round(max(v) FILTER (name = 'operating_cash_flow') - max(v) FILTER (name = 'capital_expenditure'), 1), false FROM path WHERE k = 3 GROUP BY company_id
+""",
+    "flows AS (SELECT company_id, 'operating_cash_flow' AS name, y, CAST(net AS DOUBLE) AS v FROM ann UNION ALL SELECT company_id, 'capital_expenditure', y, CAST(tax AS DOUBLE) FROM ann)",
+    _TREND,
+)
+
+
+def traceable_ids(spark, sf):
+    """Every id a reader can ask the origin of, counted by what it stands for."""
+    facts = stage(annual(spark, sf, ["operating_cash_flow", "capital_expenditure"]), "facts")
+    gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
+    values = analytics.analytic_values(analytics.analytic_events(analytics.annual_frame(gated), frameworks(), ["operating_cash_flow_growth"]))
+    run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("operating_cash_flow",))
+    return views.traceable_ids(facts, values, run.values).groupBy(F.substring_index("id", "_", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+TRACEABLE = sql(
+    """
+SELECT 'fact' AS kind, 3 * count(*) AS n FROM ann
+UNION ALL SELECT 'ana', count(*) FROM (SELECT y, net, lag(net) OVER w AS pn, lag(y) OVER w AS py FROM ann WINDOW w AS (PARTITION BY co ORDER BY y)) WHERE py = y - 1 AND pn > 0 AND net > 0
+UNION ALL SELECT 'fcv', 4 * count(DISTINCT co) FROM ann
+"""
+)
+
+
 def _driver_run(spark, sf):
     metrics = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"]
     facts = stage(annual(spark, sf, metrics), "facts")
@@ -229,6 +266,8 @@ QUERIES = {
     "level_seed": (level_seed, LEVEL_SEED),
     "assumption_ladder": (assumption_ladder, ASSUMPTION_LADDER),
     "forecast_base": (forecast_base, FORECAST_BASE),
+    "forecast_lines": (forecast_lines, FORECAST_LINES),
+    "traceable_ids": (traceable_ids, TRACEABLE),
     "forecast_drivers": (forecast_drivers, FORECAST_DRIVERS),
     "forecast_scenarios": (forecast_scenarios, FORECAST_SCENARIOS),
     "not_projected": (not_projected, NOT_PROJECTED),

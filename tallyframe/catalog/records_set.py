@@ -11,7 +11,7 @@ from ..functions import display, ids, text
 from ..operators import analytics, checks, constraints, entities, lineage, registry, summary
 from ..plans import views
 from ..schemas import ANALYTICS, FACTS
-from ..session import shared_folder
+from ..session import shared_folder, stage
 from ..sources import config, filings, sinks, specs, tables
 from .common import annual_current, dbl, extended, frameworks, sql
 from .facts_set import _events, _shown
@@ -338,6 +338,24 @@ SELECT company_id, 'c' AS chart_id, count(*) AS series_drawn, CASE WHEN max(n) <
 """
 
 
+def analytics_lines(spark, sf):
+    """Series as a reader gets them: points, statistics and why years are missing."""
+    events = _events(spark, sf, ["revenue"], ["revenue_growth"], ("gap",))
+    values = stage(analytics.analytic_values(events), "values")
+    refused = analytics.not_computed(events).select("company_id", F.lit("generic").alias("framework"), F.col("analytic_id").alias("item"), "reason", "n")
+    gaps = summary.gap_rollup(display.explain(refused, display.name_table(spark, frameworks()), into="sentence"))
+    seen = views.analytics_view(values, summary.series_summary(values, frameworks()).select("company_id", "analytic_id", "observations"), gaps, frameworks())
+    return seen.select("company_id", "name", "category", F.size("points").alias("n_points"), F.element_at("points", -1)["fiscal_year"].alias("last_year"), "observations", "gap_count")
+
+
+ANALYTICS_LINES = sql(
+    """
+SELECT company_id, 'Revenue growth' AS name, 'growth' AS category, CAST(count(x) AS INTEGER) AS n_points, CAST(max(y) FILTER (x IS NOT NULL) AS INTEGER) AS last_year, count(x) AS observations, count(*) - count(x) AS gap_count
+FROM (SELECT company_id, y, CASE WHEN py = y - 1 AND pv > 0 AND v > 0 THEN v / pv - 1 END AS x FROM (SELECT company_id, y, v, lag(v) OVER w AS pv, lag(y) OVER w AS py FROM revgap WINDOW w AS (PARTITION BY company_id ORDER BY y))) GROUP BY 1
+"""
+)
+
+
 _LEVEL = specs.Analytic("revenue_level", "Revenue", "size", "level", "currency", metric="revenue")
 
 
@@ -387,6 +405,7 @@ QUERIES = {
     "library_view": (library_view, LIBRARY_VIEW),
     "assumptions_view": (assumptions_view, ASSUMPTIONS_VIEW),
     "drawn_charts": (drawn_charts, DRAWN_CHARTS),
+    "analytics_lines": (analytics_lines, ANALYTICS_LINES),
     "level_analytic": (level_analytic, LEVEL),
     "fiscal_years": (fiscal_years, FISCAL_YEARS),
     "severity_order": (severity_order, SEVERITY),
