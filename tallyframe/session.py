@@ -67,6 +67,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     table lives in the shared folder, so it survives lost executors; reading it back gives Spark sizes and columns
     to plan with.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Stage tables of each application, until they are released.
+_STAGED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the stage tables written so far and returns their number. For a job to call when its results are stored;
+    DataFrames that still read a stage table cannot be used afterwards."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

@@ -51,3 +51,14 @@ def test_stale_stages_are_refused_and_only_stale_companies_redone(spark, generic
     assert part == {name: sorted(map(str, ws.read(name).collect())) for name in part}
     with pytest.raises(pipeline.StageStale, match="framework_changed"):
         pipeline.quality(ws, {"generic": frameworks["industrials"]})
+
+
+def test_stage_tables_are_released(spark):
+    from pathlib import Path
+
+    from tallyframe.session import release, shared_folder, stage
+
+    kept = stage(spark.range(5), "kept-for-now")
+    path = next(Path(shared_folder(spark)).glob("kept-for-now-*"))
+    assert kept.count() == 5 and path.exists()
+    assert release(spark) >= 1 and not path.exists() and release(spark) == 0
