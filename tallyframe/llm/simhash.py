@@ -90,8 +90,8 @@ SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 TABLES = 6
 LEAST_BITS, MOST_BITS = 32, 58
-# Bits beyond the logarithm of the number of texts: unrelated ones are then met in a table about once in twenty.
-SPARE_BITS = 14
+# Bits beyond the logarithm of the number of texts: a text then meets an unrelated one in few tables out of a hundred.
+SPARE_BITS = 18
 
 _STEP, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of the splitmix64 mixer
 
@@ -136,8 +136,9 @@ def candidate_pairs(prints: DataFrame, tables: int = TABLES) -> DataFrame:
 def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts have at least `similarity` of their shingles in common. docs: (_k1, _k2, _text)."""
     asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
-    lowered = docs.select("_k1", "_k2", ascii_lower(F.col("_text")).alias("_text")).join(asked, ["_k1", "_k2"])
-    held = stage(with_sketch(lowered.select("uid", "_text"), "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
+    # By key on both sides at every size: the texts asked for are a part of all and grow with them.
+    lowered = docs.select("_k1", "_k2", "_text").hint("merge").join(asked, ["_k1", "_k2"]).select("uid", ascii_lower(F.col("_text")).alias("_text"))
+    held = stage(with_sketch(lowered, "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
     both = pairs.join(held.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
     return both.filter(likeness("sa", "sb") >= similarity).select("a", "b")
 
