@@ -108,7 +108,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     Shards have nearly equal bytes. Repeated rows are documents that are linked. No rows give no rows.
     """
     thin = nodes(docs, shards)
-    copies = thin.groupBy("group").count().filter("count > 1").select("group", F.lit(True).alias("_linked"))
+    # Written, so that the join has two plain inputs and a text with very many copies can be split.
+    copies = stage(thin.groupBy("group").count().filter("count > 1").select("group", F.lit(True).alias("_linked")), "copies")
     marked = stage(thin.join(copies, "group", "left"), "marked")
     linked, free = marked.filter("_linked").drop("_linked"), marked.filter("_linked is null").drop("_linked", "shard")
     total = thin.agg(F.sum("size")).first()[0] or 0
