@@ -8,6 +8,7 @@ all that meet at one are within two bits of each other, so a star of links holds
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,85 +85,91 @@ def near_groups(prints: DataFrame) -> DataFrame:
 
 # ---- near-duplicates by similarity ---------------------------------------------------------------------------------
 
-# Five words and a Jaccard similarity of 0.8. Texts that similar differ in about one bit of thirteen, so one table of
-# 64-bit fingerprints within two bits would miss most of them; several shorter ones, each with its own hash, find them.
+# Five words and a Jaccard similarity of 0.8. Texts that similar differ in some ten of 64 SimHash bits, so candidates
+# come from bands of minima instead: a minimum over all shingles is the same in two texts with a probability of their
+# similarity, a band of BAND_ROWS minima with its power, whatever the number of texts.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-TABLES = 6
-LEAST_BITS, MOST_BITS = 32, 58
-# Bits beyond the logarithm of the number of texts: a text then meets an unrelated one in few tables out of a hundred.
-SPARE_BITS = 18
+BAND_ROWS = 6
+MISS = 1e-3  # the part of the pairs right at the similarity that meet in no band; of more similar ones it is less
 
 _STEP, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of the splitmix64 mixer
 
 
-def fingerprints_of(text: str | None, words: int = SIMILAR_WORDS, tables: int = TABLES) -> np.ndarray:
-    """`tables` independent signed 64-bit SimHashes over the distinct shingles; zeros without words."""
+def bands_for(similarity: float = SIMILARITY, miss: float = MISS) -> int:
+    """How many bands leave at most `miss` of the pairs at `similarity` without one in common."""
+    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-(similarity**BAND_ROWS)))
+
+
+def band_keys(text: str | None, words: int = SIMILAR_WORDS, bands: int = bands_for()) -> np.ndarray:
+    """A signed 64-bit key for each band: its number and BAND_ROWS minima over the distinct shingles; equal for all texts without words."""
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8").lower().split()
-    if not parts:
-        return np.zeros(tables, np.int64)
     joined = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) > words else [b" ".join(parts)]
     hashes = np.unique(np.fromiter(map(xxh64_intdigest, joined), "<u8"))
-    ones = np.zeros(64 * tables, np.int64)
-    for start in range(0, len(hashes), 255):  # so many sums fit a byte
-        part = hashes[start : start + 255, None] + _STEP * np.arange(1, tables + 1, dtype="<u8")
-        part = (part ^ (part >> np.uint64(30))) * _MIX_A
-        part = (part ^ (part >> np.uint64(27))) * _MIX_B
-        part ^= part >> np.uint64(31)
-        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")
-
-
-def candidate_pairs(prints: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(a, b) of uids of prints (uid, fps) that meet in some table, a few for each text: in every table, the least text
-    with the same fingerprint, and of those within two bits the least and the one before."""
-    n = max(2, prints.count())
-    bits = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + SPARE_BITS))
-    keyed = prints.select("uid", F.posexplode("fps").alias("t", "fp")).select("uid", (F.shiftleft(F.col("t").cast("long"), MOST_BITS).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)))).alias("key"))
-    keyed = stage(keyed, "keys")
-    reps = stage(keyed.groupBy("key").agg(F.min("uid").alias("rep")), "representatives")
-    same = keyed.join(reps, "key").filter("uid != rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
-    ball = F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = reps.select("key", "rep", F.explode(ball).alias("variant"))
-    order = Window.partitionBy("variant").orderBy("rep")
-    seen = met.select("key", "rep", F.lag("rep").over(order).alias("before"), F.first("rep").over(order).alias("least")).filter("before IS NOT NULL AND least != rep")
-    best = seen.groupBy("key").agg(F.first("rep").alias("b"), F.min("least").alias("least"), F.max("before").alias("before"))
-    near = best.select("b", F.explode(F.array("least", "before")).alias("a")).filter("a != b")
-    return same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts have at least `similarity` of their shingles in common. docs: (_k1, _k2, _text)."""
-    asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
+    seeds = _STEP * np.arange(1, bands * BAND_ROWS + 1, dtype="<u8")
+    least = np.full(len(seeds), np.iinfo(np.uint64).max, "<u8")
+    for start in range(0, len(hashes), 255):  # so many stay in a cache
+        part = hashes[start : start + 255, None] + seeds
+        part ^= part >> np.uint64(30)
+        part *= _MIX_A
+        part ^= part >> np.uint64(27)
+        part *= _MIX_B
+        np.minimum(least, part.min(axis=0), out=least)
+    rows = least.reshape(bands, BAND_ROWS)
+    return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], "<u8").view("<i8")
+
+
+def crowds(prints: DataFrame) -> DataFrame:
+    """(key, uid, rep) of all texts of prints (uid, keys) that meet others in a band; rep is the least of those that meet."""
+    keyed = stage(prints.select("uid", F.explode("keys").alias("key")), "keys")
+    reps = keyed.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return stage(keyed.join(stage(reps, "representatives"), "key"), "crowds")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): every text of crowds (key, uid, rep) with the least of each."""
+    return met.filter("uid != rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, prints: DataFrame, uids: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    """uid and s, all its shingles, for the `uids` asked for. docs: (_k1, _k2, _text)."""
+    asked = stage(uids.distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
     # By key on both sides at every size: the texts asked for are a part of all and grow with them.
     lowered = docs.select("_k1", "_k2", "_text").hint("merge").join(asked, ["_k1", "_k2"]).select("uid", ascii_lower(F.col("_text")).alias("_text"))
-    held = stage(with_sketch(lowered, "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
+    return stage(with_sketch(lowered, "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
+
+
+def similar(held: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts have at least `similarity` of their shingles in common. held: `shingle_sets` of all of them."""
     both = pairs.join(held.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
     return both.filter(likeness("sa", "sb") >= similarity).select("a", "b")
 
 
-def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """The rows of `docs`, all their columns, with one row for each group of texts that are linked by similarity: that
     of the smallest doc_id (null last; of several, any one).
 
-    Candidates meet in the middle between their fingerprints; every one is verified on all its shingles.
+    Of texts that have a band in common each is verified on all its shingles with the least of them.
     """
     ship(docs.sparkSession)
+    bands = bands_for(similarity, miss)
     k1, k2 = row_key(docs)
     rows = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprints_of(t.as_py(), words, tables) for t in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*batch.schema.names[:-1], "fps"])
+            keys = pa.array([band_keys(t.as_py(), words, bands) for t in batch.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys], [*batch.schema.names[:-1], "keys"])
 
-    schema = rows.drop("text").schema.add("fps", ArrayType(LongType()))
+    schema = rows.drop("text").schema.add("keys", ArrayType(LongType()))
     prints = stage(rows.mapInArrow(hashed, schema).withColumn("uid", F.monotonically_increasing_id()), "prints")
-    pairs = stage(candidate_pairs(prints, tables), "pairs")
+    met = crowds(prints)
     texts = docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text"))
-    found = stage(components(similar(texts, prints, pairs, words, similarity)), "components")
+    held = shingle_sets(texts, prints, met.select("uid"), words)
+    links = stage(similar(held, stage(first_pairs(met), "pairs"), similarity), "links")
+    found = stage(components(links), "components")
     members = prints.join(found, prints.uid == found.node).select("component", "doc_id", "_k1", "_k2", "uid")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     judged = members.join(stage(best, "best"), "component").groupBy("_k1", "_k2").agg(F.max((F.col("uid") == F.col("best.uid")).cast("int")).alias("_copies"))

@@ -175,3 +175,15 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
     assert Counter(map(tuple, df.collect())) == Counter(want)
+
+
+def test_recall_at_the_similarity_does_not_depend_on_the_number_of_texts():
+    """Sets of shingles with exactly 0.8 in common meet in a band; keys depend on the text alone."""
+    draw = random.Random(4)
+    missed = 0
+    for _ in range(300):
+        shared, own = [[draw.getrandbits(60) for _ in range(n)] for n in (160, 40)]
+        a, b = (" ".join(f"{x:x}" for x in shared + part) for part in (own[:20], own[20:]))
+        missed += not (set(simhash.band_keys(a, 1).tolist()) & set(simhash.band_keys(b, 1).tolist()))
+    assert missed <= 3
+    assert (1 - 0.8**simhash.BAND_ROWS) ** simhash.bands_for() <= simhash.MISS
