@@ -133,6 +133,22 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return met.filter("uid != rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
 
 
+def other_pairs(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts that meet and that found (node, component) does not hold together, less the `first_pairs`.
+
+    Of two texts in different components one at least is outside the component that most texts of their crowd are in,
+    so a large group of copies meets what is not of the group, and never itself.
+    """
+    placed = stage(met.join(found, met.uid == found.node, "left").select("key", "uid", "rep", F.coalesce("component", "uid").alias("component")), "placed")
+    parts = placed.groupBy("key", "component").count()
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    split = stage(placed.join(stage(main, "main"), "key"), "split")
+    other = split.filter("component != main").select("key", F.col("uid").alias("_uid"), F.col("component").alias("_component"))
+    differ = (F.col("component") != F.col("_component")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("_uid")))
+    pairs = split.join(other, "key").filter(differ).filter("uid != rep and _uid != rep")
+    return pairs.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct()
+
+
 def shingle_sets(docs: DataFrame, prints: DataFrame, uids: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """uid and s, all its shingles, for the `uids` asked for. docs: (_k1, _k2, _text)."""
     asked = stage(uids.distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
@@ -151,7 +167,8 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
     """The rows of `docs`, all their columns, with one row for each group of texts that are linked by similarity: that
     of the smallest doc_id (null last; of several, any one).
 
-    Of texts that have a band in common each is verified on all its shingles with the least of them.
+    Texts that have a band in common are verified on all their shingles: first each with the least that it meets, then
+    all pairs that are not held together yet.
     """
     ship(docs.sparkSession)
     bands = bands_for(similarity, miss)
@@ -170,6 +187,9 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
     held = shingle_sets(texts, prints, met.select("uid"), words)
     links = stage(similar(held, stage(first_pairs(met), "pairs"), similarity), "links")
     found = stage(components(links), "components")
+    rest = stage(other_pairs(met, found), "rest")
+    if not rest.isEmpty():
+        found = stage(components(links.unionByName(similar(held, rest, similarity))), "components")
     members = prints.join(found, prints.uid == found.node).select("component", "doc_id", "_k1", "_k2", "uid")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     judged = members.join(stage(best, "best"), "component").groupBy("_k1", "_k2").agg(F.max((F.col("uid") == F.col("best.uid")).cast("int")).alias("_copies"))

@@ -187,3 +187,18 @@ def test_recall_at_the_similarity_does_not_depend_on_the_number_of_texts():
         missed += not (set(simhash.band_keys(a, 1).tolist()) & set(simhash.band_keys(b, 1).tolist()))
     assert missed <= 3
     assert (1 - 0.8**simhash.BAND_ROWS) ** simhash.bands_for() <= simhash.MISS
+
+
+def test_true_pairs_in_a_crowd_of_merely_alike_texts(make_docs):
+    """Texts share a passage (similarities of 0.55 to 0.7), so nearly all meet; each has one copy at 0.81 to 0.9 that must go."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(150)], []
+    for n in range(60):
+        own = passage + [word() for _ in range(34)]
+        other = list(own)
+        for at in range(2 + n % 2):
+            other[10 + 30 * at] = word()
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
