@@ -174,7 +174,10 @@ def predict(docs: DataFrame, model: Model | None, name: str = "_language") -> Da
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all their columns, whose language can be told: those with a letter. The model is learned from `docs` itself."""
-    own = docs.columns
-    scored = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text"), train(docs))
+    """The rows of `docs`, all their columns, whose language can be told: those with a letter. The model is learned from
+    `docs` itself; where there is nothing to learn from, a letter is all that is asked for."""
+    own, model = docs.columns, train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    scored = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text"), model)
     return scored.filter(F.col("_language.lang_pred") != UNKNOWN).select("_row.*")

@@ -62,6 +62,15 @@ def test_texts_without_letters(spark, make_docs):
     assert language.accepted(make_docs([])).collect() == []
 
 
+def test_texts_of_a_table_without_labels_are_kept(make_docs):
+    docs = make_docs([(1, "text", None), (2, "é 1", None), (3, "12 -- 3", None), (4, None, None), (5, "", None), (None, "ж", None), (1, "text", None)])
+    assert language.train(docs) is None
+    kept = language.accepted(docs)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["text", "text", "é 1", "ж"]
+    only_numbers = make_docs([(1, "12", "de"), (3, "34", "de"), (7, "word", None)])
+    assert [r.doc_id for r in language.accepted(only_numbers).collect()] == [7]
+
+
 def test_only_the_allowed_rows_are_learned_from(spark, make_docs):
     """Labels of held-out rows change nothing."""
     rows = [(i, f"der die und {i}" if i % 2 else f"the and of {i}", "de" if i % 2 else "en") for i in range(60)]
