@@ -73,27 +73,24 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust and distrust from seeds (host, trust, distrust) over links (a, b, n).
 
-    Every step is written to the shared folder; steps end when less than `tolerance` of all seeds still moves, after
-    about log(tolerance) / log(damping) of them on any graph.
+    Every step is written to the shared folder; steps end when no host gains more than `tolerance` of its own trust or of
+    its own distrust. A first score is all of it, so every host that a seed reaches has one, whatever the other hosts have.
+    Once that holds it holds in all later steps, as a host passes on what arrives as it passed on all that it has.
     """
     onward = links.groupBy("a").agg(F.sum("n").alias("all")).join(links, "a").select(F.col("a").alias("host"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("forward"), F.lit(0.0).alias("backward"))
     back = links.groupBy("b").agg(F.sum("n").alias("all")).join(links, "b").select(F.col("b").alias("host"), F.col("a").alias("to"), F.lit(0.0).alias("forward"), (F.col("n") / F.col("all")).alias("backward"))
     steps = stage(onward.unionByName(back).groupBy("host", "to").agg(F.sum("forward").alias("forward"), F.sum("backward").alias("backward")), "steps")
     # What is new in a step moves on in the next; the scores are the sum of all that arrived.
-    moving = stage(seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust")), "moving")
-    whole = moving.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
-    parts = [moving]
+    scores = moving = stage(seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust")), "scores")
     while True:
         arrived = moving.join(steps, "host").groupBy("to").agg(F.sum(damping * F.col("trust") * F.col("forward")).alias("trust"), F.sum(damping * F.col("distrust") * F.col("backward")).alias("distrust"))
         moving = stage(arrived.select(F.col("to").alias("host"), "trust", "distrust").filter("trust > 0 or distrust > 0"), "moving")
-        left = moving.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
-        parts.append(moving)
-        if left <= tolerance * whole:
-            break
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        old = scores.select("host", "trust", "distrust", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"))
+        both = old.unionByName(moving.select("host", "trust", "distrust", F.col("trust").alias("t"), F.col("distrust").alias("d")))
+        state = stage(both.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")]), "scores")
+        scores = state.select("host", "trust", "distrust")
+        if state.filter((F.col("t") > tolerance * F.col("trust")) | (F.col("d") > tolerance * F.col("distrust"))).isEmpty():
+            return scores
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, block_from: float = BLOCK_FROM) -> DataFrame:

@@ -113,3 +113,12 @@ def test_repeats_and_no_pages(spark):
     assert Counter(r.verdict for r in url_filter.filter_urls(twice).collect()) == {"block": 2, "allow": 1}
     assert url_filter.filter_urls(spark.createDataFrame([], schema)).collect() == []
     assert [r.verdict for r in url_filter.filter_urls(twice, (Rule("allow", "a.com/"),)).filter("host = 'a.com'").collect()] == ["allow"] * 2
+
+
+def test_a_hot_host_does_not_end_what_a_small_seed_starts(spark):
+    """All hosts of a chain to a blocked one are blocked, with or without a host that has most pages and no links."""
+    chain = [("http://bad.com/de/1", "")] + [(f"http://s{i}.net/", f"<a href='http://{'bad.com' if i == 0 else f's{i - 1}.net'}/'>") for i in range(5)]
+    rows = chain + [("http://hot.com/fr/", "")] * 5000
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.filter_urls(df).filter("host like 's%'").collect()}
+    assert {got[f"s{i}.net"].verdict for i in range(5)} == {"block"}
