@@ -367,111 +367,17 @@ WHERE (ok AND g IS NOT NULL) OR (NOT ok AND rn = 1)
 )
 
 
-def coverage_matrix(spark, sf):
-    cells = checks.coverage_cells(annual(spark, sf, ["revenue", "cost_of_revenue", "gross_profit"], ("gap",)))
-    return cells.filter("metric_id IN ('revenue', 'gross_profit')").select("company_id", "metric_id", "fiscal_year", "cell")
-
-
-COVERAGE = sql(
-    "SELECT company_id, 'revenue' AS metric_id, CAST(y AS INTEGER) AS fiscal_year, 'R' AS cell FROM revgap UNION ALL "
-    "SELECT a.company_id, 'gross_profit', CAST(a.y AS INTEGER), CASE WHEN a.co % 3 = 0 THEN 'R' ELSE 'D' END FROM ann a LEFT JOIN revgap r USING (co, y) WHERE a.co % 3 = 0 OR r.y IS NOT NULL"
-)
-
-
-def cash_flow_sum(spark, sf):
-    facts = current(spark, sf, ["operating_cash_flow", "investing_cash_flow", "financing_cash_flow", "net_change_in_cash"])
-    return outcome_counts(checks.identity_events(facts, frameworks(), ("cash_flow_statement_sum",)))
-
-
-CASH_SUM = sql("SELECT company_id, 'cash_flow_statement_sum' AS check_id, 4 * count(*) AS passed, 0 AS failed, 0 AS not_evaluable FROM ann GROUP BY 1")
-
-
-def opening_balance(spark, sf):
-    """Which dated balance opens each fiscal year, looked up one to eight days back."""
-    facts = current(spark, sf, ["net_change_in_cash", "cash_and_restricted_cash"])
-    frame = stage(derive.anchor_frame(facts, ["company_id", "framework", "period_type", "period_start", "period_end"]), "anchors")
-    opened = checks.opening_balances(frame.filter("period_type = 'duration'"), frame.filter("period_type = 'instant'"), ["cash_and_restricted_cash"])
-    cell = F.col("opening")["cash_and_restricted_cash" + specs.OPENING]
-    return opened.select("company_id", "period_start", F.round(cell["value"].cast("double"), 4).alias("opening"))
-
-
-OPENING_BALANCE = sql(
-    "SELECT company_id, make_date(y, 1, 1) AS period_start, round(CAST(coalesce(lag(net - tax - disc) OVER (PARTITION BY co ORDER BY y), 0) AS DOUBLE), 4) AS opening FROM cum", _CUM
-)
-
-
-def sign_check(spark, sf):
-    facts = stage(current(spark, sf, ["revenue"]), "current")
-    facts = facts.unionByName(derive.interim_facts(derive.interim_events(facts, frameworks())))
-    return outcome_counts(checks.sign_events(facts, frameworks()).withColumn("check_id", F.lit("sign")))
-
-
-SIGN = sql(
-    f"""
-SELECT company_id, 'sign' AS check_id, 8 * count(*) - count(*) FILTER (fy < m9) - count(*) FILTER (fy < h1) AS passed,
-  count(*) FILTER (fy < m9) + count(*) FILTER (fy < h1) AS failed, 0 AS not_evaluable
-FROM (SELECT a.company_id, {_FYREV.replace('co', 'a.co').replace('net_r', 'a.net_r').replace('ELSE net', 'ELSE a.net')} AS fy,
-   (SELECT net FROM ytd WHERE ytd.co = a.co AND ytd.y = a.y AND i = 3) AS m9, (SELECT net FROM ytd WHERE ytd.co = a.co AND ytd.y = a.y AND i = 2) AS h1 FROM ann a) GROUP BY 1
-"""
-)
-
-
-def missing_years(spark, sf):
-    found = checks.missing_years(annual_current(spark, sf, CORE, ("gap",)))
-    return found.select("company_id", "metric_id", "first_year", "last_year", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "outcome")
-
-
-MISSING_YEARS = sql(
-    """
-SELECT company_id, metric_id, min(y) AS first_year, max(y) AS last_year,
-  coalesce((SELECT string_agg(CAST(g.g AS VARCHAR), ',' ORDER BY g.g) FROM range(1990, 2010) g(g) WHERE g.g > min(y) AND g.g < max(y) AND NOT list_contains(list(y), g.g)), '') AS missing,
-  CASE WHEN max(y) - min(y) + 1 > count(*) THEN 'failed' ELSE 'passed' END AS outcome
-FROM (SELECT company_id, y, 'revenue' AS metric_id FROM revgap UNION ALL SELECT company_id, y, 'cost_of_revenue' FROM ann) GROUP BY 1, 2 HAVING count(*) > 1
-"""
-)
-
-
-def scale_break(spark, sf):
-    found = checks.annual_changes(annual_current(spark, sf, ["revenue"], ("scale", "gap"))).filter("consecutive")
-    return found.select("company_id", "fiscal_year", F.col("scale_outcome").alias("outcome"), dbl("log10_ratio", 6))
-
-
-_PAIRS = """pairs AS (SELECT company_id, y, v, lag(v) OVER w AS pv, lag(y) OVER w AS py FROM revscale WHERE NOT (co % 6 = 0 AND y = 1998) WINDOW w AS (PARTITION BY company_id ORDER BY y))"""
-SCALE = sql(
-    """
-SELECT company_id, y AS fiscal_year, CASE WHEN v * pv <= 0 THEN 'not_evaluable' WHEN abs(abs(lr) - 3) <= 0.2 OR abs(abs(lr) - 6) <= 0.2 OR abs(abs(lr) - 9) <= 0.2 THEN 'failed' ELSE 'passed' END AS outcome,
-  round(lr, 6) AS log10_ratio
-FROM (SELECT *, CASE WHEN v * pv > 0 THEN log10(v / pv) END AS lr FROM pairs WHERE py = y - 1)
-""",
-    _PAIRS,
-)
-
-
-def unusual_change(spark, sf):
-    changes = checks.annual_changes(annual_current(spark, sf, ["revenue"], ("gap",)))
-    found = checks.unusual_changes(changes)
-    return found.select("company_id", "fiscal_year", "outcome", dbl("modified_z", 4))
-
-
-UNUSUAL = sql(
-    """
-SELECT company_id, CASE WHEN ok THEN y END AS fiscal_year, CASE WHEN NOT ok THEN 'not_evaluable' WHEN abs(0.6745 * (g - med) / mad) > 3.5 THEN 'failed' ELSE 'passed' END AS outcome,
-  CASE WHEN ok THEN round(0.6745 * (g - med) / mad, 4) END AS modified_z
-FROM (SELECT m.*, median(abs(g - med)) OVER (PARTITION BY company_id) AS mad, n >= 5 AND median(abs(g - med)) OVER (PARTITION BY company_id) <> 0 AS ok,
-   row_number() OVER (PARTITION BY company_id ORDER BY y) AS rn
-  FROM (SELECT *, median(g) OVER (PARTITION BY company_id) AS med, count(g) OVER (PARTITION BY company_id) AS n
-    FROM (SELECT company_id, y, CASE WHEN py = y - 1 AND v * pv > 0 THEN ln(v / pv) END AS g
-      FROM (SELECT company_id, y, v, lag(v) OVER w AS pv, lag(y) OVER w AS py FROM revgap WINDOW w AS (PARTITION BY company_id ORDER BY y)))) m)
-WHERE (ok AND g IS NOT NULL) OR (NOT ok AND rn = 1)
-"""
-)
+def coverage_by_year(cells):
+    """A column for every fiscal year that `cells` (company_id, metric_id, fiscal_year, cell) have."""
+    cells = stage(cells, "cells")
+    years = [r.fiscal_year for r in cells.select("fiscal_year").distinct().orderBy("fiscal_year").collect()]
+    wide = cells.groupBy("company_id", "metric_id").pivot("fiscal_year", years).agg(F.max("cell"))
+    return wide.select("company_id", "metric_id", *[F.col(f"`{y}`").alias(f"fy{y}") for y in years])
 
 
 def coverage_matrix(spark, sf):
     cells = checks.coverage_cells(annual(spark, sf, ["revenue", "cost_of_revenue", "gross_profit"], ("gap",)))
-    years = [str(y) for y in range(1995, 2002)]
-    wide = cells.filter("metric_id IN ('revenue', 'gross_profit')").groupBy("company_id", "metric_id").pivot("fiscal_year", [int(y) for y in years]).agg(F.max("cell"))
-    return wide.select("company_id", "metric_id", *[F.col(y).alias(f"fy{y}") for y in years])
+    return coverage_by_year(cells.filter("metric_id IN ('revenue', 'gross_profit')"))
 
 
 COVERAGE = sql(

@@ -95,3 +95,12 @@ def test_no_full_row_count_is_lost(make_facts, generic):
     """Every anchor with any input yields exactly one event per formula."""
     facts = make_facts([("revenue", f"FY{y}", y) for y in range(2000, 2020)])
     assert derive.formula_events(facts, generic).filter("metric_id = 'gross_profit'").agg(F.count("*")).first()[0] == 20
+
+
+def test_coverage_matrix_has_every_year(spark):
+    from tallyframe.catalog import facts_set
+
+    cells = spark.createDataFrame([(1, "revenue", 1989, "R"), (1, "revenue", 2024, "D"), (2, "gross_profit", 1996, "R")], "company_id int, metric_id string, fiscal_year int, cell string")
+    got = facts_set.coverage_by_year(cells).orderBy("company_id")
+    assert got.columns == ["company_id", "metric_id", "fy1989", "fy1996", "fy2024"]
+    assert [tuple(r) for r in got.collect()] == [(1, "revenue", "R", None, "D"), (2, "gross_profit", None, "R", None)]
