@@ -1,21 +1,18 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
+from helpers import SPANS, day
 from tallyframe import schemas
 from tallyframe.session import build_session
 from tallyframe.sources import specs
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", 4, 4)
@@ -38,13 +35,6 @@ def banks(frameworks):
     return {"banks": frameworks["banks"]}
 
 
-def day(text):
-    return dt.date.fromisoformat(text) if text else None
-
-
-SPANS = {"Q1": ("01-01", "03-31"), "H1": ("01-01", "06-30"), "9M": ("01-01", "09-30"), "FY": ("01-01", "12-31"), "Q2": ("04-01", "06-30"), "Q3": ("07-01", "09-30"), "Q4": ("10-01", "12-31")}
-
-
 @pytest.fixture(scope="session")
 def make_facts(spark):
     """rows of (metric, period such as 'FY2024' or 'Q1-2024', value[, overrides]) to a facts DataFrame."""

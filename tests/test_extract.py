@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tallyframe import schemas

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tallyframe.functions import calendar, display, numeric, text

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF
+from helpers import SF
 from pyspark.sql import functions as F
 
 from tallyframe.plans import pipeline, views

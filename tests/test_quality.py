@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import checks, derive
+from helpers import day
 
 
 def derived(facts, fw):
@@ -19,8 +20,6 @@ def test_interim_without_year_to_date(make_facts, generic):
 
 
 def test_interim_refusals(make_facts, generic):
-    from conftest import day
-
     facts = make_facts([("revenue", "9M-2024", 330, {"period_start": day("2024-02-01")}), ("revenue", "FY2024", 460), ("diluted_shares", "FY2024", 10, {"unit": "shares", "currency": None})])
     events = derive.interim_events(facts, generic)
     assert [r.outcome for r in events.collect()] == ["interim_periods_not_contiguous"]
@@ -57,8 +56,6 @@ def test_identity_rounding_and_optional_terms(make_facts, generic):
 
 
 def test_opening_balance_up_to_eight_days_before(make_facts, generic):
-    from conftest import day
-
     cash = "cash_and_restricted_cash"
     rows = [(cash, "FY2024", 400, {"period_end": day("2024-12-28")}), (cash, "FY2025", 405), ("net_change_in_cash", "FY2025", 5)]
     events = checks.identity_events(make_facts(rows, instants=(cash,)), generic).filter("check_id = 'cash_roll_forward'").collect()
