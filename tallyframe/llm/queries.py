@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, files, fingerprints, language, mixing, packing, sharding, simhash, token_files, url_filter, warc
+from . import exact_dedup, files, fingerprints, language, mixing, packing, ranked_search, sharding, simhash, token_files, url_filter, warc
 from .common import table
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -113,6 +113,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    found = ranked_search.index(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ranked_search.search(found, table(spark, sf_dir, "benchmark", "item_id", "text"), 20)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS query, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS number, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+m AS (SELECT d.row, doc_id, (75 + (25 * len(terms) * number) // length)::BIGINT AS m FROM d, s WHERE len(terms) > 0),
+p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+q AS (SELECT query, term, count(*)::BIGINT AS times FROM (SELECT query, unnest(terms) AS term FROM i) GROUP BY query, term),
+w AS (SELECT term, floor(1000 * ln((2 * number + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), s),
+a AS (SELECT query, row, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY query, row),
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM a JOIN m USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -124,4 +144,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_language_id": (op8_language_id, None),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_simhash": (op10_simhash, None),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
 }
