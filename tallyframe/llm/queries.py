@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, files, fingerprints, language, mixing, packing, ranked_search, sharding, simhash, token_files, url_filter, warc
+from . import collocations, exact_dedup, files, fingerprints, language, mixing, packing, quality, ranked_search, sharding, simhash, token_files, url_filter, warc
 from .common import table
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -133,6 +133,32 @@ SELECT item_id, rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 20
 """
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"), 2000)
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, words[i : i + m - 1] AS g, m FROM w, LATERAL (SELECT unnest([1, 2, 3, 4]) AS m) a, LATERAL (SELECT unnest(range(1, len(words) - m + 2)) AS i) b),
+f AS (SELECT lang, g, m, array_to_string(g, ' ') AS phrase, count(*)::BIGINT AS f FROM g GROUP BY lang, g, m),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, phrase, f AS a FROM f WHERE m > 1 AND f >= 30),
+i AS (SELECT lang, array_to_string(g[s : s + z - 1], ' ') AS phrase, max(a) AS longer FROM c, LATERAL (SELECT unnest(range(2, m)) AS z) x, LATERAL (SELECT unnest(range(1, m - z + 2)) AS s) y GROUP BY ALL),
+k AS (SELECT c.lang, c.phrase, a, k, array_to_string(g[1 : k], ' ') AS first, array_to_string(g[k + 1 : m], ' ') AS rest
+      FROM c LEFT JOIN i ON c.lang = i.lang AND c.phrase = i.phrase, LATERAL (SELECT unnest(range(1, m)) AS k) x WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+      FROM k JOIN f l ON k.lang = l.lang AND k.first = l.phrase JOIN f r ON k.lang = r.lang AND k.rest = r.phrase),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -145,4 +171,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_simhash": (op10_simhash, None),
     "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_quality": (op12_quality, None),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
