@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import calendar, display
 from ..operators import analytics, checks, derive, documents, entities, extract, registry, summary
 from ..plans import views
 from ..session import shared_folder, stage
-from ..sources import filings, sinks, specs, tables
+from ..sources import adapters, filings, sinks, specs, tables
 from ..streaming import refresh
 from .common import annual, annual_current, current, dbl, disclosed, frameworks, sql
 from .facts_set import _CUM, _FYREV, _SWING, _events
@@ -166,6 +168,69 @@ FROM qs CROSS JOIN (VALUES ('Revenues', 'USD'), ('SharesIssued', 'USD/shares'))
 )
 
 
+def _landed(spark, sf) -> str:
+    """The snapshots as files, one company each, written by tasks. Some are there once more cut off, or under another
+    company's name, and there are files that no adapter reads."""
+    folder = f"{shared_folder(spark)}/adapters-{uuid.uuid4().hex}"
+    co = F.get_json_object("json", "$.cik").cast("long")
+    file = lambda prefix, number: F.concat(F.lit(f"{prefix}CIK"), F.lpad(number.cast("string"), 10, "0"), F.lit(".json"))
+    kinds = F.array(
+        F.struct(file("", co).alias("name"), F.col("json").alias("json")), F.when(co % 10 == 0, F.struct(file("cut-", co).alias("name"), F.left("json", F.lit(60)).alias("json"))),
+        F.when(co % 7 == 0, F.struct(file("moved-", co + 1_000_000).alias("name"), F.col("json").alias("json"))), F.when(co % 15 == 0, F.struct(F.concat(F.lit("notes-"), co.cast("string"), F.lit(".txt")).alias("name"), F.lit("a note").alias("json"))))
+    named = _snapshots(spark, sf).select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("k.name", "k.json")
+
+    def write(rows):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        for batch in rows:
+            for name, text in zip(batch["name"], batch["json"]):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode())
+            yield batch[["name"]]
+
+    named.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def adapter_observations(spark, sf):
+    """The same snapshots as files, read by an adapter: the observations of companyfacts_flatten."""
+    adapters.register(spark)
+    flat = filings.checked(spark.read.format("tagged_values").option("partitionBytes", 1 << 16).load(_landed(spark, sf)))
+    return filings.observations_of(flat).select("company_id", "concept", "unit", dbl("value"), "period_start", "period_end", "accession", "filed")
+
+
+def adapter_stream(spark, sf):
+    """The files as a stream into the table of distinct observations; its own batches, not the files, are what is restarted."""
+    adapters.register(spark)
+    landing = _landed(spark, sf)
+    stream = spark.readStream.format("tagged_values").load(landing)
+    table = f"{landing}-observations"
+    query = refresh.append_new_observations(stream, table, f"{landing}-ckpt", lambda df: filings.observations_of(filings.checked(df)), available_now=False)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return refresh.read_observations(spark, table).groupBy("company_id", "concept").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+
+
+def adapter_problems(spark, sf):
+    """Files whose rows are not used, with the reason."""
+    adapters.register(spark)
+    raw = spark.read.format("tagged_values").load(_landed(spark, sf))
+    return raw.filter("problem is not null").select(F.element_at(F.split("url", "/"), -1).alias("file"), "adapter", F.substring_index("problem", ":", 1).alias("problem")).distinct()
+
+
+ADAPTER_PROBLEMS = sql(
+    """
+SELECT DISTINCT printf('cut-CIK%010d.json', co) AS file, 'companyfacts' AS adapter, 'unreadable' AS problem FROM qs WHERE co % 10 = 0
+UNION ALL SELECT DISTINCT printf('moved-CIK%010d.json', co + 1000000), 'companyfacts', 'other company' FROM qs WHERE co % 7 = 0
+UNION ALL SELECT DISTINCT printf('notes-%d.txt', co), NULL, 'no adapter' FROM qs WHERE co % 15 = 0
+"""
+)
+
+
 def malformed_counts(spark, sf):
     return filings.malformed_counts(filings.flatten_companyfacts(filings.parse_snapshots(_snapshots(spark, sf), filings.COMPANYFACTS)))
 
@@ -480,8 +545,6 @@ FROM (SELECT *, round(o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 100000 WH
 
 def stream_current_view(spark, sf):
     """Events as disclosures, arriving in any order: the newest per user and type stays."""
-    import uuid
-
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", "event_type", "event_id", "ts", "value")
@@ -494,8 +557,6 @@ STREAM_CURRENT = "SELECT user_id, event_type, event_id, value FROM events QUALIF
 
 def stream_snapshots(spark, sf):
     """The same companies' snapshots arrive three times, at first without a good row, then with most quarters, then with all: every observation is stored once."""
-    import uuid
-
     folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     snapshots = stage(_snapshots(spark, sf), "snapshots")
     broken = snapshots.withColumn("json", F.regexp_replace("json", r'"end":"', '"end":"x'))
@@ -537,6 +598,9 @@ QUERIES = {
     "status_audit": (status_audit, STATUS_AUDIT),
     "stale_stages": (stale_stages, STALE),
     "companyfacts_flatten": (companyfacts_flatten, COMPANYFACTS),
+    "adapter_observations": (adapter_observations, COMPANYFACTS),
+    "adapter_problems": (adapter_problems, ADAPTER_PROBLEMS),
+    "adapter_stream": (adapter_stream, STREAM_SNAPSHOTS),
     "malformed_counts": (malformed_counts, MALFORMED),
     "submissions_profile": (submissions_profile, SUBMISSIONS),
     "doc_verdict": (doc_verdict, DOC_VERDICT),

@@ -48,22 +48,31 @@ def flatten_companyfacts(snapshots: DataFrame, company: Column | None = None) ->
     )
     units = concepts.select("company_id", "taxonomy", "concept", F.col("body.units").isNull().alias("no_units"), F.explode_outer("body.units").alias("unit", "rows"))
     rows = units.select("*", F.explode_outer("rows").alias("r")).filter("no_units OR r IS NOT NULL")
-    written = lambda group: F.regexp_extract("r.val", NUMBER, group)
-    is_number = F.coalesce(F.col("r.val").rlike(NUMBER), F.lit(False))
+    return checked(rows.select("company_id", "taxonomy", "concept", "unit", "r.*"))
+
+
+def checked(tagged: DataFrame) -> DataFrame:
+    """Tagged rows as published (company_id, taxonomy, concept, unit, start, end, val, accn, form, filed, frame: text) with
+    their values, dates and units, and the flags `malformed` and `refused`. A row without a unit is malformed.
+
+    Rows of `adapters` that have a `problem` are malformed, too.
+    """
+    written = lambda group: F.regexp_extract("val", NUMBER, group)
+    is_number = F.coalesce(F.col("val").rlike(NUMBER), F.lit(False))
     places = F.length(F.rtrim(written(2), F.lit("0"))) - F.coalesce(written(3).try_cast("int"), F.lit(0))
-    held = F.col("r.val").try_cast(MONEY)
-    number = F.when(is_number & (places <= PLACES), held)
-    end, filed = F.col("r.end").try_cast("date"), F.col("r.filed").try_cast("date")
-    has_start = F.coalesce(F.col("r.start"), F.lit("")) != ""
-    start = F.when(has_start, F.col("r.start").try_cast("date"))
+    number = F.when(is_number & (places <= PLACES), F.col("val").try_cast(MONEY))
+    end, filed = F.col("end").try_cast("date"), F.col("filed").try_cast("date")
+    has_start = F.coalesce(F.col("start"), F.lit("")) != ""
+    start = F.when(has_start, F.col("start").try_cast("date"))
     bad = (
-        F.col("no_units") | ~is_number | end.isNull() | filed.isNull() | F.col("r.form").isNull() | (has_start & start.isNull())
-        | ~F.coalesce(F.col("r.accn").rlike(r"^\d{10}-\d{2}-\d{6}$"), F.lit(False))
+        F.col("unit").isNull() | ~is_number | end.isNull() | filed.isNull() | F.col("form").isNull() | (has_start & start.isNull())
+        | ~F.coalesce(F.col("accn").rlike(r"^\d{10}-\d{2}-\d{6}$"), F.lit(False))
     )
-    return rows.select(
-        "company_id", "taxonomy", "concept", normalize_unit(F.col("unit")).alias("unit"), number.alias("value"), F.col("r.val").alias("printed"), start.alias("period_start"),
-        end.alias("period_end"), F.col("r.accn").alias("accession"), F.col("r.form").alias("form"), filed.alias("filed"), F.col("r.frame").alias("frame"),
-        bad.alias("malformed"), (~bad & number.isNull()).alias("refused"),
+    if "problem" in tagged.columns:
+        bad = bad | F.col("problem").isNotNull()
+    return tagged.select(
+        "company_id", "taxonomy", "concept", normalize_unit(F.col("unit")).alias("unit"), number.alias("value"), F.col("val").alias("printed"), start.alias("period_start"),
+        end.alias("period_end"), F.col("accn").alias("accession"), "form", filed.alias("filed"), "frame", bad.alias("malformed"), (~bad & number.isNull()).alias("refused"),
     )
 
 
