@@ -1,7 +1,8 @@
 """Lineage as two tables, nodes and edges (child, parent), and the walks over them.
 
-Walks move a whole frontier at once: one join per level, with nodes already seen removed, each level written out so
-the plan stays flat. A node reached along many paths is expanded once.
+What is asked about many values is built once for what they share: the ancestors of a node follow from those of its
+parents, layer by layer, and values take the set of the node they start from. Every step is written out so that plans
+stay flat.
 """
 
 from __future__ import annotations
@@ -71,24 +72,85 @@ def conflicting_nodes(nodes: DataFrame) -> DataFrame:
 def reach(start: DataFrame, edges: DataFrame, *, up: bool = True, max_depth: int | None = None) -> DataFrame:
     """(origin, node, depth): every node reachable from each origin, with the shortest distance. start: (origin, node).
 
-    Following edges up means towards sources. Ends when a level finds nothing new, so cycles do no harm.
+    Following edges up means towards sources. Each node's set is built once, from those of the nodes next to it, however
+    many origins there are above it; only the sets of nodes that are asked for are given to origins. Nodes on cycles, and
+    those that lead into one, have no order to be built in and are walked from the origins that start there.
     """
     here, there = ("child", "parent") if up else ("parent", "child")
-    links = edges.select(F.col(here).alias("node"), F.col(there).alias("next"))
-    levels, frontier = [], start.select("origin", "node")
-    seen = None
-    depth = 0
+    links = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
+    near = reached(start.select("node"), links, max_depth)
+    own = stage(links.join(near, "node", "left_semi"), "links")
+    sets, rest = _layered(own)
+    within = sets if max_depth is None else sets.filter(F.col("depth") <= max_depth)
+    found = start.select("origin", F.col("node").alias("at")).join(within.withColumnRenamed("node", "at"), "at")
+    found = found.groupBy("origin", F.col("to").alias("node")).agg(F.min("depth").alias("depth"))
+    if rest is None:
+        return found
+    circling = stage(start.select("origin", "node").join(rest.select("node").distinct(), "node", "left_semi"), "circling")
+    walked = _walked(circling, own, max_depth)
+    return found.unionByName(walked).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+
+
+def reached(heads: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node): the heads (node) and all that can be reached from any of them over links (node, next); each node moves once."""
+    new = stage(heads.select("node").distinct(), "reached")
+    seen, depth = new, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        new = stage(new.join(links, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen
+
+
+def _layered(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Sets (node, to, depth) of all that nodes reach over links (node, next), and the links of nodes on or above a cycle.
+
+    A layer is the nodes all of whose next ones are done; it takes their sets over its links. Of the sets done only those
+    that are still asked for are joined again.
+    """
+    waiting = links
+    layers: list[DataFrame] = []
+    while True:
+        blocked = waiting.join(waiting.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node").distinct()
+        blocked = stage(blocked, "blocked")
+        ready = stage(waiting.join(blocked, "node", "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        new = ready.select("node", F.col("next").alias("to"), F.lit(1).alias("depth"))
+        if layers:
+            asked = ready.select("next").distinct()
+            known = layers[0]
+            for layer in layers[1:]:
+                known = known.unionByName(layer)
+            passed = ready.join(known.withColumnRenamed("node", "next").join(asked, "next", "left_semi"), "next").select("node", "to", (F.col("depth") + 1).alias("depth"))
+            new = new.unionByName(passed)
+        layers.append(stage(new.groupBy("node", "to").agg(F.min("depth").alias("depth")), "layer"))
+        waiting = stage(waiting.join(blocked, "node", "left_semi"), "waiting")
+    if not layers:
+        return links.select("node", F.col("next").alias("to"), F.lit(0).alias("depth")).filter("false"), None if waiting.isEmpty() else waiting
+    sets = layers[0]
+    for layer in layers[1:]:
+        sets = sets.unionByName(layer)
+    return sets, None if waiting.isEmpty() else waiting
+
+
+def _walked(start: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(origin, node, depth) by moving every origin's frontier; ends when a level finds nothing new, so cycles do no harm."""
+    levels: list[DataFrame] = []
+    frontier, seen, depth = start.select("origin", "node"), None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(links, "node").select("origin", F.col("next").alias("node")).distinct()
         if seen is not None:
             found = found.join(seen, ["origin", "node"], "left_anti")
-        frontier = stage(found.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        level = stage(found.withColumn("depth", F.lit(depth)), "frontier")
+        if level.isEmpty():
             break
-        levels.append(frontier)
-        seen = frontier.select("origin", "node") if seen is None else seen.unionByName(frontier.select("origin", "node"))
-        frontier = frontier.select("origin", "node")
+        levels.append(level)
+        frontier = level.select("origin", "node")
+        seen = frontier if seen is None else seen.unionByName(frontier)
     if not levels:
         return start.select("origin", "node", F.lit(0).alias("depth")).filter("false")
     result = levels[0]
@@ -126,22 +188,65 @@ def broken_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     built on them. One walk down from all bad roots together, without enumerating paths."""
     roots = nodes.join(edges.select(F.col("child").alias("node_id")).distinct(), "node_id", "left_anti")
     bad = stage(roots.filter(~F.col("kind").isin(*LEGITIMATE_ROOTS)).select("node_id"), "bad-roots")
-    below = reach(bad.select(F.lit(0).alias("origin"), F.col("node_id").alias("node")), edges, up=False)
-    return bad.unionByName(below.select(F.col("node").alias("node_id"))).distinct()
+    return reached(bad.select(F.col("node_id").alias("node")), edges.select(F.col("parent").alias("node"), F.col("child").alias("next"))).withColumnRenamed("node", "node_id")
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or leading into one: what is left when nodes without remaining parents are peeled off."""
-    left = stage(edges.select("child", "parent").distinct(), "peel")
-    size = left.count()
-    while size:
-        parents_gone = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        left = stage(parents_gone.select("child", "parent"), "peel")
-        remaining = left.count()
-        if remaining == size:
+    """Nodes on a cycle or leading into one.
+
+    Nodes whose parents are all settled go, and with them their edges; a node with a single parent left shares its fate
+    and is bridged, chains of any length at once by doubling; a node over a known cycle is known too. Only edges of nodes
+    that are still open are written again. When a round changes nothing, every open node has an open parent: all are
+    above cycles. A known node is held as an edge to itself.
+    """
+    left = stage(edges.select("child", "parent").distinct(), "open")
+    bridged: list[DataFrame] = []
+    before = None
+    while True:
+        live = stage(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"), "live")
+        known = live.filter("child = parent").select(F.col("child").alias("parent")).distinct()
+        above = live.join(known, "parent", "left_semi").select("child").distinct()
+        left = stage(live.join(above, "child", "left_anti").unionByName(above.select("child", F.col("child").alias("parent"))), "open")
+        single = stage(left.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n = 1 and child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("to")), "single")
+        ends, looped = _bridged(single)
+        bridged.append(ends)
+        rest = left.join(single.select(F.col("node").alias("child")), "child", "left_anti")
+        over = ends.select(F.col("node").alias("parent"), "to")
+        left = stage(rest.join(over, "parent", "left").select("child", F.coalesce("to", "parent").alias("parent")).unionByName(looped.select(F.col("node").alias("child"), F.col("node").alias("parent"))).distinct(), "open")
+        now = left.agg(F.count("*"), F.count_if(F.col("child") == F.col("parent"))).first()
+        if tuple(now) == before or not now[0]:
+            break
+        before = tuple(now)
+    found = left.select(F.col("child").alias("node_id")).distinct()
+    for ends in reversed(bridged):
+        found = stage(found.unionByName(ends.join(found.select(F.col("node_id").alias("to")), "to", "left_semi").select(F.col("node").alias("node_id"))), "cyclic")
+    return found
+
+
+def _bridged(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From single (node, to), one row a node: where each chain of them ends (node, to), and (node) of those that never do.
+
+    In every step an open chain takes the way of the node it has come to, so steps double; one that is still open when
+    more steps were taken than there are nodes runs in a circle.
+    """
+    size = single.count()
+    open_, ended = single, []
+    length = 1
+    while size and length <= 2 * size:
+        onward = open_.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        # Chains that come to an ended one end where it does.
+        for e in ended:
+            onward = onward.unionByName(e.select(F.col("node").alias("to"), F.col("to").alias("next")))
+        stepped = stage(open_.join(onward, "to", "left").select("node", "to", "next"), "stepped")
+        ended.append(stepped.filter("next is null").select("node", "to"))
+        open_ = stepped.filter("next is not null").select("node", F.col("next").alias("to"))
+        if open_.isEmpty():
             break
-        size = remaining
-    return left.select(F.col("child").alias("node_id")).distinct()
+        length *= 2
+    result = single.filter("false")
+    for e in ended:
+        result = result.unionByName(e)
+    return result, open_.select("node")
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
