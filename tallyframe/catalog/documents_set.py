@@ -552,6 +552,16 @@ def stream_current_view(spark, sf):
     return refresh.read_current_view(spark, f"{folder}/log", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
+def stream_merged_runs(spark, sf):
+    """The same events in a dozen batches, in no order: runs are merged in between, and what is read is the same view."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = _read(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    events.repartition(12, "event_id").write.parquet(f"{folder}/landing")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    refresh.current_view_updates(stream, ["user_id", "event_type"], ["ts", "event_id"], f"{folder}/log", f"{folder}/ckpt").awaitTermination()
+    return refresh.read_current_view(spark, f"{folder}/log", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
 STREAM_CURRENT = "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
 
 
@@ -618,5 +628,6 @@ QUERIES = {
     "display_amounts": (display_amounts, DISPLAY),
     "nominal_periods": (nominal_periods, NOMINAL),
     "stream_current_view": (stream_current_view, STREAM_CURRENT),
+    "stream_merged_runs": (stream_merged_runs, STREAM_CURRENT),
     "stream_snapshots": (stream_snapshots, STREAM_SNAPSHOTS),
 }

@@ -64,3 +64,34 @@ def test_numbers_are_exact_or_refused(spark):
     assert {k: v[0] for k, v in got.items() if v[0] is not None} == {k: Decimal(v) for k, v in exact.items()}
     assert {k for k, v in got.items() if v[2]} == {"0.1234567891", "1e21", "123456789012345678901", "1.5e-8", "100000000e-16"}
     assert {k for k, v in got.items() if v[1]} == {"NaN", "", "0x1"}
+
+
+def test_runs_are_merged_and_replays_change_nothing(spark, tmp_path):
+    """Twenty batches with three runs to a level; then the last batch is replayed."""
+    log, keys = f"{tmp_path}/log", ["k"]
+    best = {}
+
+    def step(number):
+        rows = [(f"k{(number * 7 + i) % 11}", (number * 13 + i * 5) % 97, number) for i in range(4)]
+        for k, ts, n in rows:
+            best[k] = max(best.get(k, (-1, -1)), (ts, n))
+        spark.createDataFrame(rows, "k string, ts int, n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
+
+    def run():
+        stream = spark.readStream.schema("k string, ts int, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landing")
+        refresh.current_view_updates(stream, keys, ["ts", "n"], log, f"{tmp_path}/ckpt", fan=3).awaitTermination()
+        return {r.k: (r.ts, r.n) for r in refresh.read_current_view(spark, log, keys, ["ts", "n"]).collect()}
+
+    for number in range(20):
+        step(number)
+    assert run() == best
+    assert [refresh._level(r) for r in refresh._runs(spark, log, None)] == [2, 2, 0, 0]  # 20 is 2 * 9 + 2
+    folders = [p.name for p in (tmp_path / "log").glob("run-*")]
+    assert len(folders) <= 10
+    # As after a failure between the last batch and its commit.
+    for p in (tmp_path / "ckpt" / "commits").glob("*19*"):
+        p.unlink()
+    (tmp_path / "ckpt" / "commits" / ".19.crc").unlink(missing_ok=True)
+    assert run() == best and len(refresh._runs(spark, log, None)) == 4
+    step(20)
+    assert run() == best and [refresh._level(r) for r in refresh._runs(spark, log, None)] == [2, 2, 1]
