@@ -407,12 +407,20 @@ UNION ALL SELECT company_id, 'sign', 3 * count(*) + count(*) FILTER (NOT (co % 6
 )
 
 
-def issue_counts(spark, sf):
+def _all_issues(spark, sf):
     facts = stage(current(spark, sf, ["revenue", "total_assets", "total_liabilities", "total_equity"], ("gap", "scale")), "current")
     changes = checks.annual_changes(facts)
-    issues = checks.identity_issues(checks.identity_events(facts, frameworks())).unionByName(
+    return checks.identity_issues(checks.identity_events(facts, frameworks())).unionByName(
         checks.continuity_issues(checks.sign_events(facts, frameworks()), checks.missing_years(facts), changes, checks.unusual_changes(changes)))
-    return checks.severity_counts(issues.filter("check_id <> 'unusual_change'"), tables.entities(spark, sf))
+
+
+def issue_counts(spark, sf):
+    """What needs a look: without changes that are merely unusual, which `issue_counts_all` has."""
+    return checks.severity_counts(_all_issues(spark, sf).filter("check_id <> 'unusual_change'"), tables.entities(spark, sf))
+
+
+def issue_counts_all(spark, sf):
+    return checks.severity_counts(_all_issues(spark, sf), tables.entities(spark, sf))
 
 
 ISSUE_COUNTS = sql(
@@ -427,6 +435,27 @@ LEFT JOIN (SELECT company_id, count(*) AS n FROM pairs WHERE py = y - 1 AND v *
 )
 
 
+ISSUE_COUNTS_ALL = sql(
+    """
+SELECT 'co-' || s_suppkey AS company_id, 0 AS error, coalesce(b.n, 0) + coalesce(g.n, 0) + coalesce(s.n, 0) AS warning, coalesce(u.n, 0) AS info FROM supplier
+LEFT JOIN (SELECT company_id, count(*) AS n FROM ann WHERE co % 9 = 0 GROUP BY 1) b ON b.company_id = 'co-' || s_suppkey
+LEFT JOIN (SELECT company_id, 1 AS n FROM revgap GROUP BY 1 HAVING max(y) - min(y) + 1 > count(*)) g ON g.company_id = 'co-' || s_suppkey
+LEFT JOIN (SELECT company_id, count(*) AS n FROM pairs WHERE py = y - 1 AND v * pv > 0 AND (abs(abs(log10(v / pv)) - 3) <= 0.2 OR abs(abs(log10(v / pv)) - 6) <= 0.2 OR abs(abs(log10(v / pv)) - 9) <= 0.2) GROUP BY 1) s
+  ON s.company_id = 'co-' || s_suppkey
+LEFT JOIN (SELECT company_id, count(*) AS n FROM scored WHERE n >= 5 AND mad <> 0 AND abs(0.6745 * (g - med) / mad) > 3.5 GROUP BY 1) u ON u.company_id = 'co-' || s_suppkey
+""",
+    _PAIRS,
+    _CUM,
+    """series AS (SELECT company_id, 'revenue' AS m, y, CAST(v AS DOUBLE) AS v FROM revscale WHERE NOT (co % 6 = 0 AND y = 1998)
+    UNION ALL SELECT company_id, 'assets', y, CAST(gross AS DOUBLE) + CASE WHEN co % 9 = 0 THEN 5000 ELSE 0 END FROM cum UNION ALL SELECT company_id, 'liabilities', y, CAST(disc AS DOUBLE) FROM cum
+    UNION ALL SELECT company_id, 'equity', y, CAST(net AS DOUBLE) FROM cum)""",
+    """logs AS (SELECT company_id, m, CASE WHEN py = y - 1 AND v * pv > 0 THEN ln(v / pv) END AS g FROM
+    (SELECT *, lag(v) OVER w AS pv, lag(y) OVER w AS py FROM series WINDOW w AS (PARTITION BY company_id, m ORDER BY y)))""",
+    "middle AS (SELECT *, median(g) OVER (PARTITION BY company_id, m) AS med, count(g) OVER (PARTITION BY company_id, m) AS n FROM logs)",
+    "scored AS (SELECT *, median(abs(g - med)) OVER (PARTITION BY company_id, m) AS mad FROM middle)",
+)
+
+
 def short_history(spark, sf):
     return checks.short_histories(checks.coverage_cells(annual_current(spark, sf, CORE, ("gap",))), 7)
 
@@ -762,6 +791,7 @@ QUERIES = {
     "coverage_matrix": (coverage_matrix, COVERAGE),
     "check_rollup": (check_rollup, CHECK_ROLLUP),
     "issue_counts": (issue_counts, ISSUE_COUNTS),
+    "issue_counts_all": (issue_counts_all, ISSUE_COUNTS_ALL),
     "short_history": (short_history, SHORT_HISTORY),
     "constraint_violations": (constraint_violations, CONSTRAINTS),
     "growth": (growth, GROWTH),
