@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import documents_set, facts_set, forecast_set, lineage_set, records_set
+from . import answers_set, documents_set, facts_set, forecast_set, lineage_set, records_set
 
-_SETS = (facts_set, forecast_set, lineage_set, documents_set, records_set)
+_SETS = (facts_set, forecast_set, lineage_set, documents_set, records_set, answers_set)
 
 
 def _tuned(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

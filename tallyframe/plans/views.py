@@ -10,7 +10,7 @@ from ..functions import display
 from ..functions.calendar import period_label
 from ..session import spec_frame
 from ..sources.specs import Framework, analytic_spec, metric_spec
-from .projection import Plan, plan_table
+from .projection import Plan, needs, plan_table
 
 STAGES = ("ingest", "quality", "analyze", "forecast")
 
@@ -24,6 +24,13 @@ def require_stage(manifests: DataFrame, company_id: str, stage: str) -> None:
         raise StageNotRun(f"{company_id}: run `{stage}` first")
 
 
+def stage_answers(asked: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(company_id, stage, ran, answer) for every stage asked for; the answer says what to run where it has not run."""
+    done = manifests.select("company_id", "stage").distinct().withColumn("ran", F.lit(True))
+    found = asked.join(done, ["company_id", "stage"], "left").withColumn("ran", F.coalesce("ran", F.lit(False)))
+    return found.withColumn("answer", F.when(~F.col("ran"), F.concat("company_id", F.lit(": run `"), "stage", F.lit("` first"))))
+
+
 def company_list(entities: DataFrame, manifests: DataFrame) -> DataFrame:
     """Companies with the stages present, in pipeline order. manifests: (company_id, stage)."""
     order = F.array(*[F.lit(s) for s in STAGES])
@@ -70,6 +77,27 @@ def forecast_view(values: DataFrame, frame: DataFrame, plans: list[Plan]) -> Dat
     return lines.join(frame.select("company_id", "signature").distinct(), "company_id").join(plan, ["signature", "metric_id"], "left")
 
 
+def fallback_notes(frame: DataFrame, plans: list[Plan], frameworks: dict[str, Framework]) -> DataFrame:
+    """(company_id, metric_id, label, text): metrics that follow their own trend as inputs of their driver have no value in
+    the base year, with those inputs. frame: (company_id, signature, base: map of metrics with a value)."""
+    rows = []
+    for p in plans:
+        for m in p.fallbacks:
+            modelling = next(d.id for d in reversed(list(p.framework.drivers.values())) if d.formula and m in d.affects)
+            inputs = [p.framework.metrics[n] for n in needs(p.framework, modelling)]
+            rows.append({"signature": p.signature, "metric_id": m, "label": p.framework.metrics[m].name,
+                         "inputs": [{"id": i.id, "name": i.name, "only": bool(i.document_only)} for i in inputs]})
+    s = pa.string()
+    spec = spec_frame(frame.sparkSession, rows, pa.schema([("signature", s), ("metric_id", s), ("label", s), ("inputs", pa.list_(pa.struct([("id", s), ("name", s), ("only", pa.bool_())])))]))
+    found = frame.select("company_id", "signature", F.map_keys("base").alias("known")).join(spec, "signature")
+    found = found.withColumn("missing", F.filter("inputs", lambda i: ~F.array_contains("known", i["id"]))).filter("size(missing) > 0")
+    said = F.transform("missing", lambda i: display.in_sentence(i["name"]))
+    all_ = F.when(F.size("missing") == 1, said[0]).otherwise(F.concat(F.array_join(F.slice(said, F.lit(1), F.size("missing") - 1), ", "), F.lit(" and "), F.element_at(said, -1)))
+    where = F.when(F.exists("missing", lambda i: i["only"]), " disclosed in the SEC's structured financial data.").otherwise(" reported.")
+    text = F.concat("label", F.lit(" is estimated from its own recent trend because "), all_, F.when(F.size("missing") > 1, " aren't").otherwise(" isn't"), where)
+    return found.select("company_id", "metric_id", "label", text.alias("text"))
+
+
 def forecast_table(values: DataFrame, years: list[int]) -> DataFrame:
     """Scenario by year for every metric, base first; years are passed in, so the pivot needs no extra pass."""
     order = F.when(F.col("scenario") == "base", 0).otherwise(1)
