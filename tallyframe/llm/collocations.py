@@ -9,7 +9,9 @@ Transforms are sorted by as many words as the longest phrase has, which is as de
 Frequent phrases are found level by level over all shards. A phrase can be frequent only where both phrases of one word
 less are, so a shard extends those of its phrases that were frequent at the level before and sends its new phrases'
 hashes and counts, as one row for each range of hashes; ranges are summed, and each shard is told which of its own are
-left. Hashes decide what is extended, never a count: in the end the phrases left are written as words and summed exactly.
+left. On the way some 32 bits within a range tell phrases apart, which may let one more pass and never loses one. At the
+longest level all that are left are counted by two independent hashes, 64 bits within a range that the other one gives;
+then one shard that has it spells each phrase.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +42,8 @@ RANGE_WORDS = 1 << 20  # a range of hashes gets phrases of about so many words o
 _END = 0xFF
 _AS_WORD = bytes(_END if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier, from the golden ratio
+_MIX_RANGE = np.uint64(0xD6E8FEB86659FD93)  # another, fixed
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,7 +62,7 @@ def _transform(codes: np.ndarray, depth: int) -> np.ndarray:
             rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         else:
             rank = key
-    return codes[np.argsort(rank, kind="stable") - 1]
+    return codes[np.argsort(rank) - 1]  # in any order among equals
 
 
 @dataclass
@@ -76,9 +82,12 @@ class _Side:
     """One transform: the symbols of stretches, and where a stretch goes when a symbol is put in front."""
 
     def __init__(self, symbols: np.ndarray):
-        self.symbols, n = symbols, len(symbols)
-        order = np.argsort(symbols, kind="stable")
-        self.keys = symbols[order].astype(np.int64) * n + order
+        self.symbols = symbols
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Symbol by symbol the places where it is, as symbol * length + place."""
+        return np.sort(self.symbols.astype(np.int64) * len(self.symbols) + np.arange(len(self.symbols)))
 
     def extensions(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
         """For all stretches at once: which stretch, symbol, how often, how many lesser symbols are in the stretch, and the new start."""
@@ -118,26 +127,52 @@ class Shard:
         found = Phrases(np.concatenate([symbol[:, None], phrases.words[of]], axis=1), start, phrases.back[of] + lesser, count)
         return found.only(symbol > 0)
 
-    def hashed(self, words: np.ndarray, ranges: int) -> np.ndarray:
-        """A number for each phrase: its range of hashes, then 32 bits."""
-        h = np.zeros(len(words), np.uint64)
+    def hashed(self, words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each phrase a range of hashes and 64 bits, by hashes that do not depend on each other."""
+        h, g = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
         for column in words.T:
-            h = (h ^ self.hashes[column]) * _MIX
+            x = self.hashes[column]
+            h = (h ^ x) * _MIX
             h ^= h >> np.uint64(29)
-        return ((h >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-
-    def level(self, frequent: dict[int, np.ndarray], level: int, ranges: int) -> Phrases:
-        """The phrases of `level` words whose parts of one word less are all frequent; extended on either side by turns."""
+            g = (g + (x ^ (x >> np.uint64(31)))) * _MIX_RANGE
+            g ^= g >> np.uint64(32)
+        return g % np.uint64(ranges), h
+
+    def numbers(self, words: np.ndarray, ranges: int) -> np.ndarray:
+        """A number for each phrase: its range, then 32 bits."""
+        of, h = self.hashed(words, ranges)
+        return of << np.uint64(32) | (h & _LOW)
+
+    def level(self, frequent: dict[int, Known], level: int, ranges: int) -> Iterator[Phrases]:
+        """For each size up to `level` the phrases whose parts of one word less are all frequent, of sizes below it only
+        the frequent ones. Phrases are extended on either side by turns."""
         found = self.single()
         for n in range(2, level + 1):
-            found = self.known(found, frequent[n - 1], ranges)
+            found = found.only(frequent[n - 1].holds(self.numbers(found.words, ranges)))
+            yield found
             found = self.right(found) if n % 2 == 0 else self.left(found)
-            part = found.words[:, 1:] if n % 2 == 0 else found.words[:, :-1]
-            found = found.only(np.isin(self.hashed(part, ranges), frequent[n - 1]))
-        return found
+            found = found.only(frequent[n - 1].holds(self.numbers(found.words[:, 1:] if n % 2 == 0 else found.words[:, :-1], ranges)))
+        yield found
+
+
+class Known:
+    """A set of numbers, with a table of bits that most others fail at."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers = np.unique(numbers)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self._at(self.numbers)] = True
 
-    def known(self, phrases: Phrases, frequent: np.ndarray, ranges: int) -> Phrases:
-        return phrases.only(np.isin(self.hashed(phrases.words, ranges), frequent))
+    @staticmethod
+    def _at(numbers: np.ndarray) -> np.ndarray:
+        return (numbers ^ numbers >> np.uint64(22)) & np.uint64((1 << 22) - 1)
+
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        held = self.seen[self._at(numbers)]
+        if len(self.numbers):
+            some = numbers[held]
+            held[held] = self.numbers[np.minimum(np.searchsorted(self.numbers, some), len(self.numbers) - 1)] == some
+        return held
 
 
 def _packed(codes: list[np.ndarray], words: list[bytes], depth: int) -> bytes:
@@ -211,46 +246,61 @@ def _opened(manifest: pa.Table) -> Shard:
         return unpacked(f.read(row["bytes"]), row["lang"])
 
 
-def _sets(kept: pa.Table, upto: int) -> dict[int, np.ndarray]:
-    """The sorted phrase numbers of each level that a shard was told are frequent."""
+def _sets(told: pa.Table, upto: int) -> dict[int, Known]:
+    """The phrase numbers of each level that a shard was told are frequent."""
     out = {n: [np.zeros(0, np.uint64)] for n in range(1, upto + 1)}
-    for n, number, low in zip(kept.column("level").to_pylist(), kept.column("range").to_pylist(), kept.column("low")):
+    for n, number, low in zip(told.column("level").to_pylist(), told.column("range").to_pylist(), told.column("low")):
         out[n].append(np.uint64(number << 32) | low.values.to_numpy().view(np.uint32).astype(np.uint64))
-    return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
+    return {n: Known(np.concatenate(x)) for n, x in out.items()}
+
+
+def _by_range(shard: int, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Table:
+    """One row for each range of hashes with the hashes and counts of a shard's phrases."""
+    order = np.lexsort((hashes, of))
+    held, first = np.unique(of[order], return_index=True)
+    ends = pa.array([*first, len(order)], pa.int32())
+    low, count = (pa.ListArray.from_arrays(ends, pa.array(x[order], t)) for x, t in ((hashes, kind), (counts, pa.int32())))
+    return pa.table([pa.array(np.full(len(held), shard, np.int64)), pa.array(held.astype(np.int32)), low, count], names=["shard", "range", "low", "count"])
 
 
-_KEPT = "shard long, level int, range int, low array<int>"
+def _sums(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all phrases in the rows of one range: the row that each is in, its hash, and its count over all rows."""
+    low, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("low", "count"))
+    of = np.repeat(np.arange(len(rows)), rows.column("low").combine_chunks().value_lengths().to_numpy())
+    order = np.argsort(low, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]])) if len(low) else np.zeros(0, np.int64)
+    total = np.zeros(len(low), np.int64)
+    total[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), starts), np.diff(np.append(starts, len(low)))) if len(low) else 0
+    return of, low, total
 
 
 def frequent_phrases(manifest: DataFrame, minimum: int = MINIMUM, longest: int = LONGEST) -> DataFrame:
     """lang, phrase (words with blanks between), size (in words) and f of every phrase of up to `longest` words in the
-    `shards` that occurs at least `minimum` times in its language."""
+    `shards` that occurs at least `minimum` times in its language, already written."""
     spark = manifest.sparkSession
     ranges = max(1, (manifest.agg(F.sum("words")).first()[0] or 0) // RANGE_WORDS)
-    kept = spark.createDataFrame([], _KEPT)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept_schema = "shard long, level int, range int, low array<int>"
+    kept = spark.createDataFrame([], kept_schema)
     ship(spark)
 
-    def numbers(level: int):
+    def asked(of_shard, told: DataFrame, schema: str) -> DataFrame:
+        """A shard is work for some seconds, however few bytes its row has, so tasks are not put together."""
+        return manifest.repartition(parts, "shard").groupBy("shard").cogroup(told.repartition(parts, "shard").groupBy("shard")).applyInArrow(lambda m, t: of_shard(m, t), schema)
+
+    def candidates(level: int):
         def of_shard(manifest: pa.Table, told: pa.Table) -> pa.Table:
             shard = _opened(manifest)
-            found = shard.level(_sets(told, level - 1), level, ranges)
-            number = shard.hashed(found.words, ranges)
-            order = np.argsort(number)
-            number, count = number[order], found.count[order]
-            held, first = np.unique(number >> np.uint64(32), return_index=True)
-            ends = pa.array([*first, len(number)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in ((number & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.minimum(count, minimum))]
-            return pa.table([pa.array([manifest.column("shard")[0].as_py()] * len(held), pa.int64()), pa.array(held.astype(np.int32)), *lists], names=["shard", "range", "low", "count"])
+            *_, found = shard.level(_sets(told, level - 1), level, ranges)
+            of, h = shard.hashed(found.words, ranges)
+            return _by_range(manifest.column("shard")[0].as_py(), of, (h & _LOW).astype(np.uint32).view(np.int32), found.count, pa.int32())
 
         return of_shard
 
     def summed(level: int):
         def of_range(rows: pa.Table) -> pa.Table:
-            rows = rows.combine_chunks()
-            low, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("low", "count"))
-            of = np.repeat(np.arange(len(rows)), rows.column("low").combine_chunks().value_lengths().to_numpy())
-            distinct, inverse = np.unique(low, return_inverse=True)
-            enough = (np.bincount(inverse, count, len(distinct)) >= minimum)[inverse]
+            of, low, total = _sums(rows)
+            enough = total >= minimum
             ends = np.searchsorted(of[enough], np.arange(len(rows) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low[enough]))
             told = pa.table([rows.column("shard"), pa.array(np.full(len(rows), level, np.int32)), rows.column("range"), lists], names=["shard", "level", "range", "low"])
@@ -258,25 +308,49 @@ def frequent_phrases(manifest: DataFrame, minimum: int = MINIMUM, longest: int =
 
         return of_range
 
-    def written(manifest: pa.Table, told: pa.Table) -> pa.Table:
-        shard, sets = _opened(manifest), _sets(told, longest)
-        phrases, sizes, counts = [], [], []
-        for n in range(1, longest + 1):
-            found = shard.known(shard.level(sets, n, ranges), sets[n], ranges)
-            phrases += [b" ".join([shard.words[c - 1] for c in row]) for row in found.words.tolist()]
-            sizes += [n] * len(found.count)
-            counts.append(found.count)
-        lang = manifest.column("lang")[0].as_py()
-        return pa.table([pa.array([lang] * len(sizes), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(counts), pa.int64())], names=["lang", "phrase", "size", "n"])
-
-    def told_to(of_shard, schema: str) -> DataFrame:
-        return manifest.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(lambda m, t: of_shard(m, t), schema)
-
-    for level in range(1, longest + 1):
-        sent = told_to(numbers(level), "shard long, range int, low array<int>, count array<int>")
-        kept = kept.unionByName(stage(sent.groupBy("range").applyInArrow(summed(level), _KEPT), "frequent"))
-    exact = told_to(written, "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
-    return stage(exact.filter(F.col("f") >= minimum), "phrases")
+    def counted(manifest: pa.Table, told: pa.Table) -> pa.Table:
+        """The phrases of all sizes by two hashes; of the longest all whose parts are frequent."""
+        shard = _opened(manifest)
+        found = [(*shard.hashed(f.words, ranges), f.count) for f in shard.level(_sets(told, longest - 1), longest, ranges)]
+        of, h, count = (np.concatenate(x) for x in zip(*found))
+        return _by_range(manifest.column("shard")[0].as_py(), of, h.view(np.int64), count, pa.int64())
+
+    def shared_out(rows: pa.Table) -> pa.Table:
+        """Tells the first shard that has a frequent phrase to spell it, with its count over all shards."""
+        of, low, total = _sums(rows)
+        some = np.flatnonzero(total >= minimum)
+        some = some[np.unique(low[some], return_index=True)[1]]
+        some = some[np.argsort(of[some], kind="stable")]
+        ends = np.searchsorted(of[some], np.arange(len(rows) + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (low[some], total[some])]
+        return pa.table([rows.column("shard"), rows.column("range"), *lists], names=["shard", "range", "hash", "f"]).filter(pa.array(np.diff(ends) > 0))
+
+    def spelled(manifest: pa.Table, told: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if len(told):
+            shard = _opened(manifest)
+            wanted = told.filter(pc.is_valid(told.column("hash"))).combine_chunks()
+            hashes, f = (wanted.column(c).combine_chunks().flatten().to_numpy() for c in ("hash", "f"))
+            order = np.argsort(hashes)
+            hashes, f = hashes[order], f[order]
+            sets = _sets(told.filter(pc.is_valid(told.column("level"))), longest - 1)
+            for n, found in enumerate(shard.level(sets, longest, ranges), 1) if len(hashes) else ():
+                own = shard.hashed(found.words, ranges)[1].view(np.int64)
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                mine = np.flatnonzero(hashes[at] == own)
+                words = found.words[mine].tolist()
+                out[0].extend([b" ".join([shard.words[c - 1] for c in row]) for row in words])
+                out[1].extend([n] * len(words))
+                out[2].extend(f[at[mine]].tolist())
+        lang = manifest.column("lang")[0].as_py() if len(manifest) else None
+        return pa.table([pa.array([lang] * len(out[0]), pa.string()), pa.array(out[0], pa.binary()).cast(pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "size", "f"])
+
+    for level in range(1, longest):
+        sent = asked(candidates(level), kept, "shard long, range int, low array<int>, count array<int>")
+        kept = kept.unionByName(stage(sent.groupBy("range").applyInArrow(summed(level), kept_schema), "frequent"))
+    exact = asked(counted, kept, "shard long, range int, low array<long>, count array<int>")
+    told = stage(exact.groupBy("range").applyInArrow(shared_out, "shard long, range int, hash array<long>, f array<long>"), "told")
+    return stage(asked(spelled, kept.unionByName(told, allowMissingColumns=True), "lang string, phrase string, size int, f long"), "phrases")
 
 
 def scored(phrases: DataFrame, absorbed: tuple[int, int] = ABSORBED) -> DataFrame:
