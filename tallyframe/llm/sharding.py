@@ -3,21 +3,20 @@
 Documents with the same text are linked. All start in a shard by a hash of their row; then, round by round, linked
 documents move to the shard that holds most of their neighbours, as far as that shard has room for linked documents:
 an even share of all bytes. Links are held as counts per text and shard, never as pairs, so a text with very many
-copies is as cheap as any; where its copies exceed the room of a shard they fill the next best one. Documents without
-links then even the shards out: the large ones one by one into the emptiest shard, the others in two passes by size
-into the gaps that are left.
+copies is as cheap as any; what exceeds the room of its best shard goes on to its next best ones. Every move leaves more
+neighbours together, so the rounds end by themselves, when nothing can move. Documents without links then even the
+shards out: the large ones one by one into the emptiest shard, the others in two passes by size into the gaps that are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import running, stage, text_of
 
 SHARDS = 40
 OVERHEAD = 16
-ROUNDS = 6
 # A free document above an even share / LARGE is placed on its own: fewer than SHARDS * LARGE of them exist.
 LARGE = 64
 FINE = 4096
@@ -31,35 +30,55 @@ def nodes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return stage(thin.withColumn("shard", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(shards)).cast("int")), "nodes")
 
 
-def _proposals(cells: DataFrame, room: DataFrame) -> DataFrame:
-    """group, shard (now), target, size: cells whose documents want to move to the fullest shard of their group that has room."""
-    open_ = cells.join(F.broadcast(room.filter("room > 0")), "shard")
-    best = open_.groupBy("group").agg(F.max_by(F.struct("shard", "n"), F.struct("n", -F.col("shard"))).alias("best"))
-    wish = cells.join(best, "group").filter((F.col("shard") != F.col("best.shard")) & ((F.col("n") < F.col("best.n")) | ((F.col("n") == F.col("best.n")) & (F.col("shard") > F.col("best.shard")))))
-    return wish.select("group", "shard", F.col("best.shard").alias("target"), F.col("best.n").alias("gain"), "size")
+def _round(cells: DataFrame, share: float) -> DataFrame:
+    """cells (group, unit, shard, n) with move: how many documents come into a cell (above 0) or leave it (below).
 
+    A group would fill its shards in order of how much of it they can hold, then of how much they do, each up to its
+    room. Wishes for one shard are granted in order of what the shard holds of the group, as far as its room goes; what is
+    granted comes from the last shards in the group's order. A group that would not gain by it stays as it is.
+    """
+    # One row a shard.
+    room = cells.groupBy("shard").agg((F.lit(float(share)) - F.sum(F.col("n") * F.col("unit"))).alias("room"))
+    whole = Window.partitionBy("group")
+    ranked = whole.orderBy(F.col("most").desc(), F.col("n").desc(), "shard")
+    upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = F.col("n") + F.floor(F.greatest("room", F.lit(0.0)) / F.col("unit"))
+    held = cells.join(F.broadcast(room), "shard").withColumn("fits", fits).withColumn("most", F.least("fits", F.sum("n").over(whole)))
+    held = held.withColumn("before", F.sum("fits").over(upto) - F.col("fits"))
+    held = held.withColumn("want", F.greatest(F.least(F.sum("n").over(whole) - F.col("before"), F.col("fits")) - F.col("n"), F.lit(0)).cast("long"))
+    held = stage(held.drop("fits", "before"), "wishes")
+    queued = running(held.filter("want > 0").select("group", "unit", "shard", "n", "want", "room"), [-F.col("n"), F.col("group")], {"upto": F.col("want") * F.col("unit")}, ("shard",))
+    left = F.floor((F.col("room") - (F.col("upto") - F.col("want") * F.col("unit"))) / F.col("unit"))
+    granted = stage(queued.select("group", "shard", F.greatest(F.least(left, F.col("want")), F.lit(0)).cast("long").alias("granted")).filter("granted > 0"), "granted")
+    both = held.join(granted, ["group", "shard"], "left").withColumn("granted", F.coalesce("granted", F.lit(0)))
+    # From the last cell on, as many leave as come in elsewhere.
+    later = F.sum("n").over(whole) - F.sum("n").over(upto)
+    leave = F.greatest(F.least(F.sum("granted").over(whole) - later, F.col("n")), F.lit(0))
+    moved = both.select("group", "unit", "shard", "n", (F.col("granted") - leave).cast("long").alias("move"))
+    square = lambda x: F.sum(x.cast("double") * x).over(whole)
+    return moved.withColumn("move", F.when(square(F.col("n") + F.col("move")) > square(F.col("n")), F.col("move")).otherwise(F.lit(0).cast("long")))
+
+
+def propagate(cells: DataFrame, share: float) -> DataFrame:
+    """cells (group, unit: bytes of each of its documents, shard, n: how many are there) after all moves.
+
+    No shard takes in more than brings its cells to `share` bytes. A group moves only where its sum of squares of n
+    (the links that are not cut) grows, so there is a last round.
+    """
+    while True:
+        moved = stage(_round(cells, share), "moved")
+        cells = moved.filter("n + move > 0").select("group", "unit", "shard", (F.col("n") + F.col("move")).alias("n"))
+        if moved.filter("move > 0").isEmpty():
+            return cells
 
-def propagate(linked: DataFrame, share: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """linked (group, size, shard, uid, ...) with the shard that each row ends in. No shard takes in more than `share` bytes of linked rows.
 
-    A move is decided per group and shard: whole where the target has room for it after all moves of greater gain, else
-    for the part of its documents that fits, picked by a hash. What stays is moved in a later round.
-    """
-    every = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    for step in range(rounds):
-        cells = stage(linked.groupBy("group", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "cells")
-        loads = cells.groupBy("shard").agg(F.sum("size").alias("load"))
-        room = stage(every.join(loads, "shard", "left").select("shard", (F.lit(float(share)) - F.coalesce("load", F.lit(0))).alias("room")), "room")
-        queued = running(_proposals(cells, room), [-F.col("gain"), F.col("group"), F.col("shard")], {"taken": F.col("size")}, ("target",))
-        fits = (F.col("room") - (F.col("taken") - F.col("size"))) / F.col("size")
-        moves = queued.join(F.broadcast(room.withColumnRenamed("shard", "target")), "target").select("group", "shard", "target", F.least(fits, F.lit(1.0)).alias("part")).filter("part > 0")
-        moves = stage(moves, "moves")
-        if moves.isEmpty():
-            break
-        lot = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        moved = linked.join(moves, ["group", "shard"], "left").withColumn("shard", F.when(lot < F.col("part"), F.col("target")).otherwise(F.col("shard")))
-        linked = stage(moved.drop("target", "part"), "linked")
-    return linked
+def _placed(linked: DataFrame, cells: DataFrame) -> DataFrame:
+    """linked (group, uid, ...) with shard: documents of a group, in order of uid, fill its cells."""
+    at = stage(running(linked.drop("shard"), [F.col("uid")], {"_at": F.lit(1)}, ("group",)), "numbered")
+    ends = F.transform(F.col("_cells"), lambda c, i: F.struct(c["shard"].alias("shard"), F.aggregate(F.slice("_cells", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("end")))
+    # At most one entry a shard.
+    of = stage(cells.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("_cells")).select("group", ends.alias("_ends")), "ends")
+    return at.join(of, "group").withColumn("shard", F.filter("_ends", lambda e: e["end"] >= F.col("_at"))[0]["shard"]).drop("_at", "_ends")
 
 
 def _loads(*frames: DataFrame, shards: int) -> DataFrame:
@@ -102,10 +121,11 @@ def _into_gaps(free: DataFrame, loads: DataFrame, share: float, shards: int) ->
     return placed.withColumn("shard", F.size(F.filter(F.lit([float(m) for m in marks]), lambda m: m <= middle))).drop("_cum")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes and OVERHEAD), text_crc32, shard and slot (its number in the shard, from 0).
 
-    Shards have nearly equal bytes. Repeated rows are documents that are linked. No rows give no rows.
+    Shards have nearly equal bytes. Null texts are empty ones and equal to them. Repeated rows are documents that are
+    linked. A text whose copies are more than a shard's even share lies in as few shards as hold it. No rows give no rows.
     """
     thin = nodes(docs, shards)
     # Written, so that the join has two plain inputs and a text with very many copies can be split.
@@ -114,7 +134,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     linked, free = marked.filter("_linked").drop("_linked"), marked.filter("_linked is null").drop("_linked", "shard")
     total = thin.agg(F.sum("size")).first()[0] or 0
     share = total / shards
-    linked = propagate(linked, share, shards, rounds)
+    cells = stage(linked.groupBy("group", F.col("size").alias("unit"), "shard").agg(F.count("*").alias("n")), "cells")
+    linked = stage(_placed(linked, propagate(cells, share)), "linked")
     large = free.filter(F.col("size") > share / LARGE)
     placed = stage(large.join(F.broadcast(_one_by_one(large, _loads(linked, shards=shards))), "uid"), "large")
     done = [linked, placed]
