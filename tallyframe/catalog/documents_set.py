@@ -54,6 +54,25 @@ SELECT query, CAST(place AS INTEGER) AS place, ticker, name, tier FROM (SELECT *
 """
 
 
+def entity_search_index(spark, sf):
+    """Pieces of every twentieth name, short and long, and some fixed queries, answered from an index of grams."""
+    part = _read(spark, sf, "part")
+    index = part.select(F.col("p_partkey").alias("position"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("name"))
+    k = F.col("p_partkey")
+    asked = part.filter(k % 20 == 0).select(F.substr(F.upper("p_name"), (k % 7 + 1).cast("int"), (k % 9 + 1).cast("int")).alias("query"))
+    asked = asked.unionByName(index.filter("position % 50 = 0").select(F.concat(F.lit("  p"), F.col("position").cast("string"), F.lit(" ")).alias("query"))).unionByName(spark.createDataFrame([(q,) for q in _QUERIES], "query string"))
+    return entities.search_index(asked, index, stage(entities.gram_index(index), "grams"))
+
+
+SEARCH_INDEX = """
+WITH q AS (SELECT DISTINCT trim(regexp_replace(q, '\\s+', ' ', 'g')) AS q FROM (SELECT substr(upper(p_name), CAST(p_partkey % 7 + 1 AS INTEGER), CAST(p_partkey % 9 + 1 AS INTEGER)) AS q FROM part WHERE p_partkey % 20 = 0
+   UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT * FROM (VALUES ('P12'), ('small'), ('widget'), ('red ring'), ('Ring'), ('zzz')) f(q)))
+SELECT query, CAST(place AS INTEGER) AS place, ticker, name, tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, p_partkey) AS place FROM (
+  SELECT q.q AS query, p_partkey, 'P' || p_partkey AS ticker, p_name AS name, CASE WHEN 'P' || p_partkey = upper(q.q) THEN 0 WHEN starts_with(lower(p_name), lower(q.q)) OR starts_with(lower('P' || p_partkey), lower(q.q)) THEN 1
+    WHEN contains(lower(p_name), lower(q.q)) THEN 2 END AS tier FROM part CROSS JOIN q WHERE q.q <> '') WHERE tier IS NOT NULL) WHERE place <= 8
+"""
+
+
 def company_index(spark, sf):
     part = _read(spark, sf, "part")
     rows = part.select(F.col("p_partkey").alias("position"), (F.col("p_partkey") % 300).cast("string").alias("cik"), F.col("p_name").alias("name"),
@@ -602,6 +621,7 @@ SELECT c_custkey, last_day(make_date(CAST(1990 + c_custkey % 30 + CASE WHEN c_cu
 QUERIES = {
     "sic_classify": (sic_classify, SIC),
     "entity_search": (entity_search, SEARCH),
+    "entity_search_index": (entity_search_index, SEARCH_INDEX),
     "company_index": (company_index, COMPANY_INDEX),
     "framework_overlay": (framework_overlay, OVERLAY),
     "doc_versions": (doc_versions, DOC_VERSIONS),

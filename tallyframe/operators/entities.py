@@ -45,25 +45,64 @@ def search(index: DataFrame, queries: list[str], limit: int = 8, aliases: DataFr
     (Spark limits the ranking before the shuffle), so a query that matches everything stays cheap.
     """
     asked = [q for q in dict.fromkeys(" ".join(text.split()) for text in queries) if q]
-    other = index.withColumn("tickers", F.array("ticker"))
-    if aliases is not None:
-        extra = aliases.groupBy("position").agg(F.collect_set("ticker").alias("more"))
-        other = other.join(extra, "position", "left").withColumn("tickers", F.array_union("tickers", F.coalesce("more", F.array().cast("array<string>"))))
-
-    def tier(q: Column) -> Column:
-        low, name = F.lower(q), F.lower("name")
-        return (
-            F.when(F.array_contains("tickers", F.upper(q)), 0)
-            .when(F.startswith(name, low) | F.startswith(F.lower("ticker"), low), 1).when(F.contains(name, low), 2)
-        )
-
-    tried = F.array(*[named(query=F.lit(q), tier=tier(F.lit(q))) for q in asked])
+    other = _with_tickers(index, aliases)
+    tried = F.array(*[named(query=F.lit(q), tier=_tier(F.lit(q))) for q in asked])
     hits = F.filter(tried, lambda h: h["tier"].isNotNull())
     matched = other.select("position", "ticker", "name", F.explode(hits).alias("h")).select("position", "ticker", "name", "h.*")
     best = Window.partitionBy("query").orderBy("tier", "position")
     return matched.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("query", "place", "ticker", "name", "tier")
 
 
+def _with_tickers(index: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    other = index.withColumn("tickers", F.array("ticker"))
+    if aliases is None:
+        return other
+    extra = aliases.groupBy("position").agg(F.collect_set("ticker").alias("more"))
+    return other.join(extra, "position", "left").withColumn("tickers", F.array_union("tickers", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+
+
+def _tier(q: Column) -> Column:
+    """0 for an exact ticker, 1 where name or ticker begins with the query, 2 where the name contains it, else null."""
+    low, name = F.lower(q), F.lower("name")
+    return F.when(F.array_contains("tickers", F.upper(q)), 0).when(F.startswith(name, low) | F.startswith(F.lower("ticker"), low), 1).when(F.contains(name, low), 2)
+
+
+GRAM = 3
+
+
+def _grams(texts: Column, lengths: range) -> Column:
+    """All distinct parts of the given lengths of an array of texts, in lower case."""
+    def parts(t: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(F.lower(t), i, F.lit(n)))
+
+    each = F.transform(texts, lambda t: F.flatten(F.array(*[parts(t, n) for n in lengths])))
+    return F.array_distinct(F.flatten(each))
+
+
+def gram_index(index: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(gram, position): which companies have a part of one to three letters in their name or tickers. Written once, it
+    answers any number of queries of `search_index`."""
+    texts = F.array_append("tickers", F.coalesce("name", F.lit("")))
+    return _with_tickers(index, aliases).select("position", F.explode(_grams(F.array_compact(texts), range(1, GRAM + 1))).alias("gram")).filter("gram <> ''")
+
+
+def search_index(queries: DataFrame, index: DataFrame, grams: DataFrame, limit: int = 8, aliases: DataFrame | None = None) -> DataFrame:
+    """What `search` gives, for a table of queries (query): each looks up its rarest gram and only what has it is tested.
+
+    A query costs as many rows as companies have its rarest part, not as there are companies. One that is not longer than
+    a gram is looked up whole.
+    """
+    said = F.regexp_replace(F.trim(F.regexp_replace("query", r"(?U)\s+", " ")), "^ | $", "")
+    asked = queries.select(said.alias("query")).filter("query <> ''").distinct()
+    parts = asked.select("query", F.explode(F.when(F.length("query") < GRAM, F.array(F.lower("query"))).otherwise(_grams(F.array("query"), range(GRAM, GRAM + 1)))).alias("gram"))
+    sizes = grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(sizes, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(grams, "gram").select("query", "position").join(_with_tickers(index, aliases), "position")
+    matched = found.select("query", "position", "ticker", "name", _tier(F.col("query")).alias("tier")).filter("tier is not null")
+    best = Window.partitionBy("query").orderBy("tier", "position")
+    return matched.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("query", "place", "ticker", "name", "tier")
+
+
 def config_violations(config: DataFrame, sources: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """(company_id, rule, detail) for every configuration that would mix up companies.
 
