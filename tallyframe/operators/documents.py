@@ -19,6 +19,7 @@ from ..sources.specs import Framework, Metric, metric_spec
 AGREEMENT = 0.005
 MIN_CHECKS = 3
 MIN_AGREEMENT = 0.9
+BARE_YEAR = r"^(?:19|20)\d{2}$"
 
 
 def plain(markup: Column) -> Column:
@@ -167,12 +168,12 @@ def _table_grid(rows: Column) -> Column:
     return F.aggregate(rows, empty, place, lambda acc: acc["grid"])
 
 
-def _is_header(row: Column) -> Column:
-    label = F.coalesce(F.get(row, F.lit(0))["text"], F.lit(""))
-    rest = F.transform(F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), lambda c: c["text"])
-    values = F.filter(rest, lambda t: (t != "") & ~t.isin("$", "%"))
-    numeric = F.filter(values, lambda t: printed_number(t).isNotNull() & ~t.rlike(r"^(?:19|20)\d{2}$"))
-    return (F.size(numeric) == 0) | ((label == "") & F.forall(values, lambda t: t.rlike(text.YEAR_PATTERN)))
+def _is_heading(row: Column) -> Column:
+    """Whether a row prints no figure (a bare year is none), or only years and no label."""
+    beside = F.filter(F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), lambda c: ~c["text"].isin("", "$", "%"))
+    prints_figure = F.exists(beside, lambda c: printed_number(c["text"]).isNotNull() & ~c["text"].rlike(BARE_YEAR))
+    unlabelled = F.coalesce(F.get(row, F.lit(0))["text"], F.lit("")) == ""
+    return ~prints_figure | (unlabelled & F.forall(beside, lambda c: c["text"].rlike(text.YEAR_PATTERN)))
 
 
 def table_cells(documents: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def table_cells(documents: DataFrame) -> DataFrame:
     grids = tables.select(*keep, F.col("t.no").alias("table_no"), lead.alias("lead"), _table_grid(rows).alias("grid")).withColumn(
         "grid", F.filter("grid", lambda r: F.exists(r, lambda c: c["text"] != "")))
     # Layout tables have no number row, or only one row; every slice is safe for them, as filters may run later.
-    split = grids.withColumn("first_body", F.coalesce(F.array_position(F.transform("grid", _is_header), F.lit(False)).cast("int"), F.lit(0)))
+    split = grids.withColumn("first_body", F.coalesce(F.array_position(F.transform("grid", _is_heading), F.lit(False)).cast("int"), F.lit(0)))
     split = split.filter((F.size("grid") >= 2) & (F.col("first_body") > 0)).withColumn("first_body", F.greatest("first_body", F.lit(1)))
     heads = F.flatten(F.slice("grid", F.lit(1), F.col("first_body") - 1))
     split = split.withColumn("heads", F.filter(heads, lambda c: c["text"] != "")).withColumn("body", F.slice("grid", F.col("first_body"), F.size("grid")))
