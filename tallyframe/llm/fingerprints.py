@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, with built-in functions only.
 
-A sketch keeps every distinct shingle hash in the lowest FRACTION of the hash range, and the least hash in any case so
-that no text with words has an empty one. How many hashes a sketch has follows the number of distinct shingles, so the
-part of one text that another, far longer one contains can be told from their sketches, and the sketch of texts put
-together is the union of theirs.
+A sketch keeps every distinct shingle hash in the lowest FRACTION of the hash range; where there is none it keeps the
+least hash, so that no text with words has an empty one. How many hashes a sketch has follows the number of distinct
+shingles, so the part of one text that another, far longer one contains can be told from their sketches. The sketch of
+all shingles of several texts follows from their sketches (`merged`): the union, without those of short texts that were
+only kept for want of others.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ SHINGLE_WORDS = 5
 FRACTION = 1 / 4
 # Ids are cut at quantiles and evenly between them. The ranges are sorted one by one; their first ids are broadcast,
 # at most QUANTILES * MOST_PARTS of them.
-QUANTILES = 64
-MOST_PARTS = 1024
-ROWS_IN_RANGE = 2000
+QUANTILES = 512
+MOST_PARTS = 128
+ROWS_IN_RANGE = 400
 
 
 def with_sketch(df: DataFrame, text: str, name: str, words: int = SHINGLE_WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -29,7 +30,8 @@ def with_sketch(df: DataFrame, text: str, name: str, words: int = SHINGLE_WORDS,
     """
     parts = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (words - 1), F.lit(1))), lambda i: F.shiftright(F.xxhash64(F.slice("_words", i, words)), 32).cast("int"))
-    limit = int(-(2**31) + fraction * 2**32)
+    limit = _limit(fraction)
+    # Where any hash is below the limit, the least one is.
     kept = F.array_append(F.filter("_shingles", lambda h: h < limit), F.array_min("_shingles"))
     df = df.withColumn("_words", F.transform(parts, lambda w: F.xxhash64(w))).withColumn("_shingles", shingle)
     none = F.array().cast("array<int>")
@@ -48,9 +50,15 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(sketches: Column) -> Column:
-    """An aggregate: the sketch of all texts of a group together."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches))))
+def merged(sketches: Column | str, fraction: float = FRACTION) -> Column:
+    """An aggregate: the sketch of all shingles of a group's texts, as long as no more texts are in a group than one row can hold."""
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches))))
+    below = F.filter(union, lambda h: h < _limit(fraction))
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(union, 1, 1))
+
+
+def _limit(fraction: float) -> int:
+    return int(-(2**31) + fraction * 2**32)
 
 
 def written(sketch: str) -> Column:
