@@ -57,14 +57,29 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumns({"rule": rule, "ruled": ruled})
 
 
+# Names below which others register their own: in a country's domain the usual second names. No list of all is known here.
+SHARED = r"^(?:ac|co|com|edu|gob|gov|ltd|mil|net|nom|or|org|plc|sch)\.[a-z]{2}$"
+ADDRESS = r"^(?:[0-9.]*|\[.*|.*:.*:.*)$"
+
+
+def parents_of(host: Column) -> Column:
+    """The host and the domains above it, nearest first: without user and port; an address has none above it, and no name
+    of one label or that is `SHARED` is one."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    labels = F.split(bare, "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i + 1, 1_000_000), "."))
+    domains = F.filter(above, lambda h: h.contains(".") & ~h.rlike(SHARED) & ~h.startswith("."))
+    chain = F.when(bare.rlike(ADDRESS), F.array(bare)).otherwise(F.concat(F.array(bare), domains))
+    return F.filter(F.array_distinct(F.concat(F.array(host), chain)), lambda h: h != "")
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """a, b, n: links between different hosts in the html of `pages` (host, html), and between hosts and their parent domains."""
+    """a, b, n: links between different hosts in the html of `pages` (host, html), and between hosts and the domains above them."""
     linked = pages.select(F.col("host").alias("a"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("b")).select("a", ascii_lower(F.col("b")).alias("b"))
     out = linked.filter("a != b and a != '' and b != ''").groupBy("a", "b").agg(F.count("*").alias("n"))
     out = stage(out, "links")
     hosts = pages.select("host").distinct().unionByName(out.select(F.col("b").alias("host"))).distinct()
-    above = F.filter(F.transform(F.sequence(F.lit(0), F.size(F.split("host", "[.]")) - 2), lambda i: F.array_join(F.slice(F.split("host", "[.]"), i + 1, 100_000), ".")), lambda h: h != "")
-    chains = hosts.filter("host like '%_.%_'").select(above.alias("h"))
+    chains = hosts.select(parents_of(F.col("host")).alias("h")).filter("size(h) > 1")
     parents = chains.select(F.explode(F.arrays_zip(F.slice("h", 1, F.size("h") - 1).alias("a"), F.slice("h", 2, F.size("h")).alias("b"))).alias("x")).select("x.a", "x.b").filter("a is not null and b is not null").distinct()
     both = parents.unionByName(parents.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("n", F.lit(1).cast("long"))
     return out.unionByName(both).groupBy("a", "b").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import queries, url_filter
 from tallyframe.llm.url_filter import Rule
@@ -122,3 +123,17 @@ def test_a_hot_host_does_not_end_what_a_small_seed_starts(spark):
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
     got = {r.host: r for r in url_filter.filter_urls(df).filter("host like 's%'").collect()}
     assert {got[f"s{i}.net"].verdict for i in range(5)} == {"block"}
+
+
+def test_domains_above_a_host(spark):
+    hosts = {"a.b.com": ["b.com"], "b.com": [], "com": [], "a.b.com:8080": ["a.b.com", "b.com"], "me@x.org": ["x.org"], "10.7.3.4": [], "10.7.3.4:80": ["10.7.3.4"], "[::1]": [], "[::1]:80": ["[::1]"],
+             "shop.example.co.uk": ["example.co.uk"], "a.com.au": [], "": [], "a..b.net": ["b.net"]}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.parents_of(F.col("host")).alias("p")).collect()
+    assert {r.host: r.p for r in rows} == {h: ([h] if h else []) + above for h, above in hosts.items()}
+
+
+def test_addresses_share_nothing(spark):
+    """10.7.3.4 and 99.1.3.4 end alike and are strangers; a port is the same host."""
+    pages = [(1, "http://10.7.3.4/x", None), (2, "http://99.1.3.4/x", None), (3, "http://a.bad.com/de/x", None), (4, "http://bad.com:8080/x", None)]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), (url_filter.Rule("block", "10.7.3.4/x"), url_filter.Rule("block", "a.bad.com/de"))).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block"}
