@@ -30,10 +30,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table in pieces, packed: null and empty texts are the end-of-document id alone, longer ones than a
+    sequence are cut, repeated rows are packed each, a table without rows packs nothing."""
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: null and empty texts are one group, repeated rows are copies of each other, ties stay by doc_id."""
     judged = exact_dedup.groups(exact_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text")))
     return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,6 +49,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: null texts have no words, null is a source of its own, repeated rows count each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,15 +71,18 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(n.taken, 0)::BIGINT A
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: null and empty texts are equal texts of 16 bytes, repeated rows are copies of each other."""
     placed = sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page: a null url, or one without `://`, has an empty host and path and is allowed; a null html has no links."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: null and empty texts have empty fingerprints, equal to each other; repeated rows follow each other."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     near = fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next.text", half))
@@ -88,12 +95,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: null texts and those without a letter are `und` with score 0, as all are without labels."""
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     scored = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return scored.select("doc_id", language.held_out().alias("held_out"), F.col("_language.lang_pred"), F.col("_language.score"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page: a null html is an empty payload, and small payloads are never revisits; repeated rows of a page refer to it."""
     written = warc.write(warc.planned(table(spark, sf_dir, "pages", "page_id", "url", "html")), files.new_folder(spark, "warc"))
     records = warc.read(written.select("path"), with_payload=False)
     return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
@@ -109,12 +118,13 @@ FROM f
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: texts without words have fingerprint zero and are linked like others; repeated rows share a group."""
     grouped = simhash.near_groups(simhash.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best documents for each benchmark item."""
+    """The 20 best documents for each benchmark item; items without a term that a document has get no rows, null texts have no terms."""
     found = ranked_search.index(table(spark, sf_dir, "documents", "doc_id", "text"))
     return ranked_search.search(found, table(spark, sf_dir, "benchmark", "item_id", "text"), 20)
 
@@ -134,10 +144,12 @@ SELECT item_id, rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 20
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; null texts are empty, and without labels all scores are 0.5."""
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language; null texts are empty, a null language is `und`, repeated rows count each."""
     return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"), 2000)
 
 
