@@ -60,23 +60,66 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: tup
     return whole.select(*own, *[(F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(inside)).alias(n) for n in sums])
 
 
+# A filter has FILTER_ROOM positions for each key, up to a bound (64 MB of bits) that may be broadcast. A table with more
+# keys gets a fuller filter: it lets more through that has to be compared and never loses anything.
+FILTER_ROOM = 16
+MOST_POSITIONS = 1 << 29
+FILTER_WORDS = 64  # 64-bit words in one row of a filter
+
+
+def filter_size(keys: int, most: int = MOST_POSITIONS) -> int:
+    return min(most, 1 << max(16, (FILTER_ROOM * keys).bit_length()))
+
+
+def filter_positions(size: int, *key: str) -> list[Column]:
+    """Two positions p1 and p2 of a key. Both lie in one row of the filter, so that a key is tested by one lookup."""
+    bits = 64 * FILTER_WORDS
+    block = F.pmod(F.xxhash64(*key), F.lit(size // bits))
+    return [(block * bits + F.pmod(F.xxhash64(*key, F.lit(i)), F.lit(bits))).alias(f"p{i}") for i in (1, 2)]
+
+
+def filter_rows(positions: DataFrame) -> DataFrame:
+    """block, words: a filter with the given positions (p) set."""
+    word = positions.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    entry = F.struct((F.col("w") % FILTER_WORDS).cast("int").alias("w"), "bits")
+    rows = word.groupBy((F.col("w") / FILTER_WORDS).cast("long").alias("block")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    return rows.select("block", F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("words"))
+
+
+def with_maybe(df: DataFrame, found: DataFrame, size: int, *key: str) -> DataFrame:
+    """df with _maybe: whether the filter (`filter_rows`, of `size` positions) holds the key of a row."""
+    bits = 64 * FILTER_WORDS
+    placed = df.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(filter_positions(size, *key))])
+    tested = placed.withColumn("_block", (F.col("_p0") / bits).cast("long")).join(F.broadcast(found.select(F.col("block").alias("_block"), F.col("words").alias("_words"))), "_block", "left")
+    inside = [F.expr(f"(element_at(_words, cast(_p{i} % {bits} div 64 as int) + 1) & shiftleft(1L, cast(_p{i} % 64 as int))) != 0") for i in (0, 1)]
+    return tested.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(inside[0] & inside[1], F.lit(False)).alias("_maybe"))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def row_key(df: DataFrame) -> tuple[Column, Column]:
     """128 bits of a row's whole content. Rows with the same key are the same row repeated."""
-    columns = [F.col(f"`{c}`") if not t.startswith("map") else F.to_json(f"`{c}`") for c, t in sorted(df.dtypes)]
+    # Maps, wherever they are in a column, have no hash; their text does.
+    columns = [F.col(f"`{c}`") if "map<" not in t else F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c, t in sorted(df.dtypes)]
     # A null adds nothing to the hash, so which columns are null is hashed as well.
     nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c, _ in sorted(df.dtypes)])
     return F.xxhash64(nulls, *columns), F.xxhash64(F.lit("second"), *reversed(columns), nulls)
 
 
 def carry(docs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Whole rows after decisions: `actions` has (_k1, _k2, _copies) per `row_key`.
+    """Whole rows after decisions: `actions` has (_k1, _k2, _copies) per `row_key` and is already written.
 
     Rows without an action pass as they are. All repeats of a row with an action are replaced by `_copies` of it
-    together, which is none for 0. Only rows with an action meet others, and repeats are combined before they move.
+    together, which is none for 0. Rows are tested against a Bloom filter of the actions' keys first: only those that it
+    holds move (all of the rows with an action and a few others), and their repeats are combined before they do.
     """
+    size = filter_size(actions.count())
+    found = stage(filter_rows(actions.select(F.explode(F.array(*filter_positions(size, "_k1", "_k2"))).alias("p"))), "filter")
     k1, k2 = row_key(docs)
-    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2")).join(actions, ["_k1", "_k2"], "left")
-    passed = known.filter(F.col("_copies").isNull()).select("_row")
-    one = known.filter(F.col("_copies") > 0).groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))
-    copied = one.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row")
+    tested = with_maybe(docs.select(whole_row(docs), k1.alias("_k1"), k2.alias("_k2")), found, size, "_k1", "_k2")
+    passed = tested.filter("not _maybe").select("_row")
+    one = tested.filter("_maybe").groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"), F.count("*").alias("_n")).join(actions, ["_k1", "_k2"], "left")
+    copied = one.select("_row", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", "_n").cast("int"))).alias("_copy")).filter("_copy > 0").select("_row")
     return passed.unionByName(copied).select("_row.*")

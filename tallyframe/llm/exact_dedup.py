@@ -11,13 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carry, row_key, stage, text_of
-
-# The filter has 16 to 32 positions a row; up to the bound it is broadcast (64 MB of bits), beyond it is joined.
-POSITIONS_PER_ROW = 16
-BROADCAST_POSITIONS = 1 << 29
-WORDS = 64  # 64-bit words in one row of the filter
-HASHES = 2
+from .common import filter_positions, filter_rows, filter_size, stage, text_of, whole_row, with_maybe
 
 
 def normalised(text: Column) -> Column:
@@ -34,32 +28,16 @@ def digests(docs: DataFrame, *carried: Column) -> DataFrame:
     return stage(thin.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 
-def _positions(size: int) -> list[Column]:
-    """Both lie in one row of the filter, so that a digest is tested by one lookup."""
-    block = F.pmod(F.xxhash64("text_sha256"), F.lit(size // (64 * WORDS)))
-    return [(block * (64 * WORDS) + F.pmod(F.xxhash64("text_sha256", F.lit(i)), F.lit(64 * WORDS))).alias(f"p{i}") for i in range(1, HASHES + 1)]
+def repeat_filter(thin: DataFrame, size: int) -> DataFrame:
+    """A filter of the positions that at least two rows hit."""
+    hit = thin.select(F.array_distinct(F.array(*filter_positions(size, "text_sha256"))).alias("p")).select(F.explode("p").alias("p"))
+    return filter_rows(hit.groupBy("p").count().filter("count > 1"))
 
 
-def repeat_filter(thin: DataFrame, size: int) -> DataFrame:
-    """block, words: the positions that at least two rows hit."""
-    hit = thin.select(F.array_distinct(F.array(*_positions(size))).alias("p")).select(F.explode("p").alias("p"))
-    twice = hit.groupBy("p").count().filter("count > 1")
-    word = twice.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    rows = word.groupBy((F.col("w") / WORDS).cast("long").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % WORDS).cast("int").alias("w"), "bits"))).alias("m"))
-    return rows.select("block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("words"))
-
-
-def possible_repeats(thin: DataFrame) -> DataFrame:
-    """thin with maybe: whether the filter holds the row's digest."""
-    size = 1 << max(16, (POSITIONS_PER_ROW * thin.count()).bit_length())
-    bloom = repeat_filter(thin, size)
-    placed = thin.select("*", *_positions(size)).withColumn("block", (F.col("p1") / (64 * WORDS)).cast("long"))
-    tested = placed.join(F.broadcast(bloom) if size <= BROADCAST_POSITIONS else bloom, "block", "left")
-    inside = [F.expr(f"(element_at(words, cast(p{i} % {64 * WORDS} div 64 as int) + 1) & shiftleft(1L, cast(p{i} % 64 as int))) != 0") for i in range(1, HASHES + 1)]
-    maybe = inside[0]
-    for x in inside[1:]:
-        maybe = maybe & x
-    return tested.select(*thin.columns, F.coalesce(maybe, F.lit(False)).alias("maybe"))
+def possible_repeats(thin: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`rows` (thin itself, or others with text_sha256) with _maybe: whether the filter of thin holds the row's digest."""
+    size = filter_size(thin.count())
+    return with_maybe(thin if rows is None else rows, stage(repeat_filter(thin, size), "filter"), size, "text_sha256")
 
 
 def _best(names: list[str]) -> Column:
@@ -74,17 +52,24 @@ def groups(thin: DataFrame) -> DataFrame:
     all rows of the group have none. No rows give no rows.
     """
     tested = stage(possible_repeats(thin), "tested")
-    maybe = tested.filter("maybe").drop("maybe")
+    maybe = tested.filter("_maybe").drop("_maybe")
     # Written, so that the join below has two plain inputs and a text with very many copies can be split.
     facts = stage(maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), _best(["doc_id", "uid"]).alias("best")), "repeats")
     judged = maybe.join(facts, "text_sha256").select(*thin.columns, F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
-    alone = tested.filter("not maybe").select(*thin.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = tested.filter("not _maybe").select(*thin.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return alone.unionByName(judged)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all their columns, with one row for each text."""
-    k1, k2 = row_key(docs)
-    judged = groups(digests(docs, k1.alias("_k1"), k2.alias("_k2"))).filter("group_size > 1")
-    actions = judged.groupBy("_k1", "_k2").agg(F.max(F.col("kept").cast("int")).alias("_copies"))
-    return carry(docs, actions)
+    """The rows of `docs`, all their columns, with one row for each text: that with the most code points, then the
+    smallest doc_id (null last), then any one of repeated rows.
+
+    Null and empty texts are one text. No rows give no rows. Rows whose digest the filter does not hold pass straight
+    through; of the others, each task sends the best row that it has for a text.
+    """
+    text = text_of()
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("doc_id"), F.length(text).cast("long").alias("points"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"))
+    tested = possible_repeats(stage(keyed.select("text_sha256"), "digests"), keyed)
+    first = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id")
+    best = tested.filter("_maybe").groupBy("text_sha256").agg(F.min_by("_row", first).alias("_row"))
+    return tested.filter("not _maybe").select("_row").unionByName(best.select("_row")).select("_row.*")

@@ -4,6 +4,9 @@ Two fingerprints that differ in at most two bits have a variant in common that d
 distinct fingerprint emits itself and its 64 one-bit variants; those that share a variant are joined to the least of
 them, verified, and the links' components are the groups. A variant meets at most 65 fingerprints whatever the data, and
 all that meet at one are within two bits of each other, so a star of links holds them together as all pairs would.
+
+`deduplicate`, the stage of the pipeline, has another contract (a similarity of 0.8 on five words, at which texts differ in
+some ten bits) and another method for it, which the second half of this module holds: bands of minima, verified.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import ascii_lower, carry, row_key, ship, stage, text_of
+from .common import ascii_lower, carry, filter_positions, filter_rows, filter_size, row_key, ship, stage, text_of, with_maybe
 from .components import components
 from .fingerprints import likeness, with_sketch
 
@@ -121,40 +124,79 @@ def band_keys(text: str | None, words: int = SIMILAR_WORDS, bands: int = bands_f
     return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], "<u8").view("<i8")
 
 
-def crowds(prints: DataFrame) -> DataFrame:
-    """(key, uid, rep) of all texts of prints (uid, keys) that meet others in a band; rep is the least of those that meet."""
+def crowded(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From prints (uid, _k1, _k2, keys), all of them written: (key, uid) of the texts that share a band with others, of
+    repeated rows (one _k1 and _k2) the least uid for all; these uids with their _k1 and _k2; and (a, b) from them to the repeats."""
     keyed = stage(prints.select("uid", F.explode("keys").alias("key")), "keys")
-    reps = keyed.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return stage(keyed.join(stage(reps, "representatives"), "key"), "crowds")
+    met = stage(keyed.groupBy("key").count().filter("count > 1").select("key"), "met")
+    held = stage(keyed.join(met, "key"), "crowded")
+    rows = stage(prints.select("uid", "_k1", "_k2").join(held.select("uid").distinct(), "uid"), "rows")
+    classes = stage(rows.groupBy("_k1", "_k2").agg(F.min("uid").alias("least")), "classes")
+    known = stage(rows.join(classes, ["_k1", "_k2"]).select("uid", "least"), "known")
+    each = stage(held.join(known, "uid").select("key", F.col("least").alias("uid")).distinct(), "crowds")
+    return each, classes.withColumnRenamed("least", "uid"), known.filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """(a, b): every text of crowds (key, uid, rep) with the least of each."""
-    return met.filter("uid != rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
+def crowds(held: DataFrame) -> DataFrame:
+    """(key, uid, rep) of all texts that meet others in a band (key, uid); rep is the one of them that meets most in all
+    its bands, so that a text which many were copied from stands for its copies."""
+    counted = stage(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counted")
+    meets = stage(held.join(counted, "key").groupBy("uid").agg(F.sum("n").alias("meets")), "meets")
+    ranked = stage(held.join(meets, "uid"), "ranked")
+    reps = ranked.groupBy("key").agg(F.max_by("uid", F.struct("meets", -F.col("uid"))).alias("rep"))
+    return stage(ranked.select("key", "uid").join(stage(reps, "representatives"), "key"), "crowds")
 
 
-def other_pairs(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): all pairs of texts that meet and that found (node, component) does not hold together, less the `first_pairs`.
+def first_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): every text of crowds (key, uid, rep) with the representative of each."""
+    return met.filter("uid != rep").select(F.least("rep", "uid").alias("a"), F.greatest("rep", "uid").alias("b")).distinct()
 
-    Of two texts in different components one at least is outside the component that most texts of their crowd are in,
-    so a large group of copies meets what is not of the group, and never itself.
-    """
-    placed = stage(met.join(found, met.uid == found.node, "left").select("key", "uid", "rep", F.coalesce("component", "uid").alias("component")), "placed")
+
+def unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(uid, component, apart) of the texts in crowds that found (node, component) does not hold together; apart: whether
+    the text is outside the component that most texts of one of its crowds are in. Of two texts that share a crowd and no
+    component, one at least is apart."""
+    placed = stage(met.join(found, met.uid == found.node, "left").select("key", "uid", F.coalesce("component", "uid").alias("component")), "placed")
     parts = placed.groupBy("key", "component").count()
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    split = stage(placed.join(stage(main, "main"), "key"), "split")
-    other = split.filter("component != main").select("key", F.col("uid").alias("_uid"), F.col("component").alias("_component"))
-    differ = (F.col("component") != F.col("_component")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("_uid")))
-    pairs = split.join(other, "key").filter(differ).filter("uid != rep and _uid != rep")
-    return pairs.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct()
+    split = placed.join(stage(main, "main"), "key")
+    return stage(split.groupBy("uid", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart")), "unsettled")
+
 
+def other_pairs(open_: DataFrame, held: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of `unsettled` texts in different components that may be as similar as asked for; one at least is
+    apart. held: (uid, s), the `shingle_sets`.
 
-def shingle_sets(docs: DataFrame, prints: DataFrame, uids: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """uid and s, all its shingles, for the `uids` asked for. docs: (_k1, _k2, _text)."""
-    asked = stage(uids.distinct().join(prints.select("uid", "_k1", "_k2"), "uid"), "asked")
-    # By key on both sides at every size: the texts asked for are a part of all and grow with them.
-    lowered = docs.select("_k1", "_k2", "_text").hint("merge").join(asked, ["_k1", "_k2"]).select("uid", ascii_lower(F.col("_text")).alias("_text"))
-    return stage(with_sketch(lowered, "_text", "s", words, 1.0).select("uid", "s"), "shingles").dropDuplicates(["uid"])
+    Exact: of two such texts the shingles in common are so many that, with the shingles of each in one order, rarest
+    first, both have one in common near their beginnings; and what each has before the first that is in common bounds how
+    many can be. So what is copied from one text and changed here and there meets only where few changes lie between.
+    """
+    sets = open_.join(held, "uid").select("uid", "component", "apart", F.size("s").alias("size"), F.explode("s").alias("h"))
+    # A shingle that one text alone has is in no pair, but comes before those that are.
+    often = stage(sets.groupBy("h").count().filter("count > 1").withColumnRenamed("count", "often"), "often")
+    known = stage(sets.join(often, "h"), "known")
+    whole = Window.partitionBy("uid")
+    place = F.col("size") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("often", "h")) - 1
+    least = F.ceil(F.col("size") * similarity - 1e-9)  # a text of no more shingles than this in common with any other has no partner
+    first = stage(known.select("uid", "component", "apart", "size", "h", place.alias("place")).filter(F.col("size") - F.col("place") >= least).drop("often"), "beginnings")
+    x = first.filter("apart").select(*[F.col(c).alias(f"{c}_a") for c in ("uid", "component", "size", "place")], "h")
+    y = first.select(*[F.col(c).alias(f"{c}_b") for c in ("uid", "component", "size", "place", "apart")], "h")
+    possible = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
+    once = ~F.col("apart_b") | (F.col("uid_a") < F.col("uid_b"))
+    both = x.join(y, "h").filter((F.col("component_a") != F.col("component_b")) & once & possible)
+    return both.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    """uid and s, all its shingles, for the rows asked for, already written. docs: (_k1, _k2, _text); asked: (uid, _k1, _k2), one a key, written.
+
+    Texts are tested against a Bloom filter of the keys asked for first, so that only those and a few others move.
+    """
+    size = filter_size(asked.count())
+    found = stage(filter_rows(asked.select(F.explode(F.array(*filter_positions(size, "_k1", "_k2"))).alias("p"))), "filter")
+    some = with_maybe(docs, found, size, "_k1", "_k2").filter("_maybe").groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"))
+    lowered = some.join(asked, ["_k1", "_k2"]).select("uid", ascii_lower(F.col("_text")).alias("_text"))
+    return stage(with_sketch(lowered, "_text", "s", words, 1.0).select("uid", "s"), "shingles")
 
 
 def similar(held: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -167,8 +209,10 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
     """The rows of `docs`, all their columns, with one row for each group of texts that are linked by similarity: that
     of the smallest doc_id (null last; of several, any one).
 
-    Texts that have a band in common are verified on all their shingles: first each with the least that it meets, then
-    all pairs that are not held together yet.
+    Null, empty and white texts have no words and are one group; a text with fewer words than a shingle is one shingle.
+    Of repeated rows one stays. No rows give no rows. Texts that have a band in common are compared on all their
+    shingles: first each with the one that stands for those it meets, then whatever is not held together yet with all
+    that it can be similar to.
     """
     ship(docs.sparkSession)
     bands = bands_for(similarity, miss)
@@ -182,12 +226,12 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
 
     schema = rows.drop("text").schema.add("keys", ArrayType(LongType()))
     prints = stage(rows.mapInArrow(hashed, schema).withColumn("uid", F.monotonically_increasing_id()), "prints")
-    met = crowds(prints)
-    texts = docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text"))
-    held = shingle_sets(texts, prints, met.select("uid"), words)
-    links = stage(similar(held, stage(first_pairs(met), "pairs"), similarity), "links")
+    crowd, classes, repeats = crowded(prints)
+    met = crowds(crowd)
+    held = shingle_sets(docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text")), classes, words)
+    links = stage(similar(held, stage(first_pairs(met), "pairs"), similarity).unionByName(repeats), "links")
     found = stage(components(links), "components")
-    rest = stage(other_pairs(met, found), "rest")
+    rest = stage(other_pairs(unsettled(met, found), held, similarity), "rest")
     if not rest.isEmpty():
         found = stage(components(links.unionByName(similar(held, rest, similarity))), "components")
     members = prints.join(found, prints.uid == found.node).select("component", "doc_id", "_k1", "_k2", "uid")

@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyframe.llm import components, exact_dedup, queries, simhash
+from tallyframe.llm import common, components, exact_dedup, mixing, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 EDGES = [
@@ -49,7 +50,7 @@ def test_filter_lets_no_repeat_through(spark):
     thin = exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
     small = exact_dedup.repeat_filter(thin, 1 << 12)
     assert small.count() == 1
-    tested = exact_dedup.possible_repeats(thin).filter("maybe").count()
+    tested = exact_dedup.possible_repeats(thin).filter("_maybe").count()
     assert 600 <= tested <= 700  # the 300 texts that occur twice, and few others
 
 
@@ -202,3 +203,68 @@ def test_true_pairs_in_a_crowd_of_merely_alike_texts(make_docs):
         rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(other))]
     kept = {r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()}
     assert kept == {d for d, _ in rows if d % 2 == 0}
+
+
+def test_pairs_that_stars_leave_against_all_pairs(spark):
+    """Copies of a few texts, changed in one to thirty places: of texts that nothing holds together yet, every pair that
+    is similar is a candidate, and few others are."""
+    draw = random.Random(12)
+    sets = {}
+    for _ in range(3):
+        base = [draw.getrandbits(30) for _ in range(120)]
+        for _ in range(40):
+            own = list(base)
+            for at in draw.sample(range(120), draw.randint(1, 30)):
+                own[at] = draw.getrandbits(30)
+            sets[len(sets)] = sorted(set(own[: draw.randint(90, 120)]))
+    component = {u: draw.choice([u, 1000 + u % 3]) for u in sets}
+    apart = {u: component[u] == u or draw.random() < 0.5 for u in sets}
+    held = spark.createDataFrame([(u, s) for u, s in sets.items()], "uid long, s array<int>")
+    open_ = spark.createDataFrame([(u, component[u], apart[u]) for u in sets], "uid long, component long, apart boolean")
+    got = {(r.a, r.b) for r in simhash.other_pairs(open_, held).collect()}
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    possible = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and (apart[a] or apart[b])}
+    want = {(a, b) for a, b in possible if alike(a, b) >= 0.8}
+    assert want and want <= got <= possible and len(got) < len(possible) / 4
+    assert {(r.a, r.b) for r in simhash.similar(held, spark.createDataFrame(sorted(got), "a long, b long")).collect()} == want
+
+
+def test_near_copies_of_one_text_without_pairs_of_all(spark, make_docs):
+    """A crowd of copies: whatever is linked at 0.8 is one group, what is changed too much stays."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for at in draw.sample(range(100), i % 12):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    kept = {r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        for a in least:
+            for b in least:
+                if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert kept == set(least.values())
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.deduplicate, simhash.deduplicate, mixing.mixture])
+def test_maps_inside_columns(spark, stage):
+    rows = [(1, "a b c d e f", "s", ({"k": 1},)), (1, "a b c d e f", "s", ({"k": 1},)), (2, "other text", None, (None,)), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra struct<m:map<string,int>>")
+    kept = stage(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2}
+
+
+def test_filter_holds_all_keys_and_few_others(spark):
+    keys = spark.range(500).select(F.col("id").alias("k"))
+    size = common.filter_size(500)
+    found = common.filter_rows(keys.select(F.explode(F.array(*common.filter_positions(size, "k"))).alias("p")))
+    tested = common.with_maybe(spark.range(5000).select(F.col("id").alias("k")), found, size, "k")
+    held = [r.k for r in tested.filter("_maybe").collect()]
+    assert {*range(500)} <= {*held} and len(held) < 560
+    # A filter that is far too small lets everything through and loses nothing.
+    full = common.filter_rows(keys.select(F.explode(F.array(*common.filter_positions(1 << 12, "k"))).alias("p")))
+    assert {*range(500)} <= {r.k for r in common.with_maybe(keys, full, 1 << 12, "k").filter("_maybe").collect()}
