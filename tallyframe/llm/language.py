@@ -20,16 +20,15 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import BinaryType
 
-from .common import ship
+from .common import ship, stage
 
 COLUMNS = 1 << 14
 LENGTHS = 4
 TRAIN_PER_LANGUAGE = 300
 TRAIN_ROWS = 4000
 LANDMARKS_PER_LANGUAGE = 48
-MAX_LANGUAGES = 400  # the most frequent are learned; a table of this size fits any worker
 RIDGE = 1e-3
 SHARPNESS = 3.0
 TEXTS_AT_ONCE = 128
@@ -130,25 +129,26 @@ def held_out() -> Column:
 def train(docs: DataFrame) -> Model | None:
     """A model from labelled rows that are not held out; None where there are none.
 
-    At most TRAIN_PER_LANGUAGE rows of each language, and TRAIN_ROWS in all, are chosen by a hash of their ids before
-    texts are read; of repeated ids any one row is read. The driver gets their n-gram columns, of which a text of any
-    length has at most COLUMNS.
+    Every language is learned that has such a row with a letter. At most TRAIN_PER_LANGUAGE rows of each, and TRAIN_ROWS
+    in all but for one of each, are chosen by a hash of their ids; of repeated ids any one row is read. The driver gets
+    one bit for each of COLUMNS n-gram columns of their texts, whatever their length.
     """
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    frequent = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not frequent:
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    lettered = stage(labelled.select("lang", "doc_id"), "lettered")
+    counted = stage(lettered.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    languages = counted.count()
+    if not languages:
         return None
-    each = min(TRAIN_PER_LANGUAGE, max(1, TRAIN_ROWS // len(frequent)))
+    each = min(TRAIN_PER_LANGUAGE, max(1, TRAIN_ROWS // languages))
     # Rows with a low hash are enough to choose from: some four times as many as are wanted meet in the window.
-    parts = F.create_map(*[F.lit(x) for lang, n in frequent.items() for x in (lang, min(1.0, 4 * each / n))])
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.select("lang", "doc_id", lot.alias("lot")).filter(F.col("lot") < F.element_at(parts, F.col("lang")))
+    drawn = lettered.join(counted, "lang").select("lang", "doc_id", "rows", lot.alias("lot")).filter(F.col("lot") * F.col("rows") < 4.0 * each)
     chosen = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))).filter(F.col("n") <= each).select("lang", "doc_id").distinct()
     ship(docs.sparkSession)
-    gram_columns = F.udf(lambda text: grams(text).tolist(), ArrayType(IntegerType()), useArrow=True)
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
-    sample = rows.select("doc_id", "lang", gram_columns("text").alias("grams")).groupBy("doc_id", "lang").agg(F.min("grams").alias("grams")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
-    return fit([np.array(r.grams, np.int64) for r in sample], [r.lang for r in sample]) if sample else None
+    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    bits = F.udf(lambda text: np.packbits(np.isin(np.arange(COLUMNS), grams(text))).tobytes(), BinaryType(), useArrow=True)
+    sample = rows.select("doc_id", "lang", bits("text").alias("grams")).groupBy("doc_id", "lang").agg(F.min("grams").alias("grams")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
+    return fit([np.flatnonzero(np.unpackbits(np.frombuffer(r.grams, np.uint8))) for r in sample], [r.lang for r in sample]) if sample else None
 
 
 def predict(docs: DataFrame, model: Model | None, name: str = "_language") -> DataFrame:
@@ -170,14 +170,20 @@ def predict(docs: DataFrame, model: Model | None, name: str = "_language") -> Da
                 score[usable] = likely.max(axis=1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn(name, classified(F.col("text")))
+    # Called so, a filter on the result does not score the texts a second time.
+    return docs.withColumn(name, classified.asNondeterministic()(F.col("text")))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all their columns, whose language can be told: those with a letter. The model is learned from
-    `docs` itself; where there is nothing to learn from, a letter is all that is asked for."""
+    """The rows of `docs`, all their columns, whose language can be told; where lang is null it becomes the language told.
+
+    Rejected are texts that the model finds no language for: null, empty and white texts and those without a letter. The
+    model is learned from `docs` itself; where there is nothing to learn from, a letter is all that is asked for and lang
+    stays null. Repeated rows are all kept. No rows give no rows.
+    """
     own, model = docs.columns, train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     scored = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text"), model)
-    return scored.filter(F.col("_language.lang_pred") != UNKNOWN).select("_row.*")
+    told = F.coalesce("_row.lang", F.col("_language.lang_pred"))
+    return scored.filter(F.col("_language.lang_pred") != UNKNOWN).select(*[told.alias("lang") if c == "lang" else F.col(f"_row.`{c}`") for c in own])

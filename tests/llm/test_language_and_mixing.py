@@ -62,6 +62,18 @@ def test_texts_without_letters(spark, make_docs):
     assert language.accepted(make_docs([])).collect() == []
 
 
+def test_every_language_is_learned_and_told(make_docs, monkeypatch):
+    """More languages than rows to learn from; a language whose first rows have no letter; languages told where none is stated."""
+    monkeypatch.setattr(language, "TRAIN_ROWS", 10)
+    names = [f"l{i:02d}" for i in range(26)]
+    rows = [(100 * i + k, ("1 2 3" if k < 30 and i == 0 else chr(97 + i) * 3 + " " + chr(97 + i) * (k % 5 + 1)), n) for i, n in enumerate(names) for k in range(40)]
+    rows += [(9000 + i, chr(97 + i) * 4, None) for i in range(26)] + [(9100, "12", None), (9101, None, None)]
+    docs = make_docs(rows)
+    assert language.train(docs).languages == names
+    kept = {r.doc_id: r.lang for r in language.accepted(docs).collect()}
+    assert kept == {d: lang or names[d - 9000] for d, t, lang in rows if t and any(c.isalpha() for c in t)}
+
+
 def test_texts_of_a_table_without_labels_are_kept(make_docs):
     docs = make_docs([(1, "text", None), (2, "é 1", None), (3, "12 -- 3", None), (4, None, None), (5, "", None), (None, "ж", None), (1, "text", None)])
     assert language.train(docs) is None
