@@ -1,9 +1,9 @@
 """The training-data pipeline over `documents`: each stage is written and the next reads it back.
 
 Language ID drops texts that no language is found for and tells that of those that state none. Exact and near deduplication
-keep one document of each group; near copies have 0.8 of their five-word shingles in common, which SimHash cannot find
-reliably, so that stage meets them by bands of minima (see README) under the name the pipeline gives it. Mixing repeats and
-leaves out documents until sources stand at their weights, and packing cuts what is left into full sequences.
+keep one document of each group; near copies have 0.8 of their five-word shingles in common. SimHash links within two bits
+are the first of them; those that a SimHash of 64 bits cannot find are completed by bands of minima, and every link is
+verified on all shingles (see README). Mixing repeats and leaves out documents until sources stand at their weights, and packing cuts what is left into full sequences.
 
 Every stage takes rows as they are: null and empty texts (dropped by the first stage), repeated rows, extra columns of any
 name and type, and tables without rows, which give tables without rows.

@@ -5,8 +5,9 @@ distinct fingerprint emits itself and its 64 one-bit variants; those that share
 them, verified, and the links' components are the groups. A variant meets at most 65 fingerprints whatever the data, and
 all that meet at one are within two bits of each other, so a star of links holds them together as all pairs would.
 
-`deduplicate`, the stage of the pipeline, has another contract (a similarity of 0.8 on five words, at which texts differ in
-some ten bits) and another method for it, which the second half of this module holds: bands of minima, verified.
+`deduplicate`, the stage of the pipeline, links texts with a similarity of 0.8 on five words. It starts from the same
+fingerprints and links, each verified on all shingles. Texts right at 0.8 differ in some ten bits, where no SimHash of 64
+bits meets them, so what it leaves is completed by bands of minima, which the second half of this module holds.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def near_groups(prints: DataFrame) -> DataFrame:
 
 # ---- near-duplicates by similarity ---------------------------------------------------------------------------------
 
-# Five words and a Jaccard similarity of 0.8. Texts that similar differ in some ten of 64 SimHash bits, so candidates
-# come from bands of minima instead: a minimum over all shingles is the same in two texts with a probability of their
+# Five words and a Jaccard similarity of 0.8. Texts that similar differ in some ten of 64 SimHash bits, so further
+# candidates come from bands of minima: a minimum over all shingles is the same in two texts with a probability of their
 # similarity, a band of BAND_ROWS minima with its power, whatever the number of texts.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -137,6 +138,20 @@ def crowded(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return each, classes.withColumnRenamed("least", "uid"), known.filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
 
 
+def simhash_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From prints (uid, _k1, _k2, fp, ...), written: the pairs (a, b) that SimHash meets, and uid, _k1, _k2 of the texts in
+    them. Repeated rows stand under their least uid. Texts of one fingerprint are paired with the least of them, which
+    stands for the fingerprint in the links to others."""
+    each = stage(prints.groupBy("_k1", "_k2").agg(F.min("uid").alias("uid"), F.first("fp").alias("fp")), "distinct")
+    least = stage(each.groupBy("fp").agg(F.min("uid").alias("least"), F.count("*").alias("n")), "fingerprints")
+    same = each.join(least.filter("n > 1"), "fp").filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
+    linked = links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    pairs = stage(same.unionByName(linked), "simhash-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    return pairs, each.join(met, "uid").select("uid", "_k1", "_k2")
+
+
 def crowds(held: DataFrame) -> DataFrame:
     """(key, uid, rep) of all texts that meet others in a band (key, uid); rep is the one of them that meets most in all
     its bands, so that a text which many were copied from stands for its copies."""
@@ -210,9 +225,9 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
     of the smallest doc_id (null last; of several, any one).
 
     Null, empty and white texts have no words and are one group; a text with fewer words than a shingle is one shingle.
-    Of repeated rows one stays. No rows give no rows. Texts that have a band in common are compared on all their
-    shingles: first each with the one that stands for those it meets, then whatever is not held together yet with all
-    that it can be similar to.
+    Of repeated rows one stays. No rows give no rows. Texts whose SimHash is within two bits, and texts that have a band
+    in common, are compared on all their shingles: first each with the one that stands for those it meets, then whatever
+    is not held together yet with all that it can be similar to.
     """
     ship(docs.sparkSession)
     bands = bands_for(similarity, miss)
@@ -221,15 +236,22 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([band_keys(t.as_py(), words, bands) for t in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys], [*batch.schema.names[:-1], "keys"])
-
-    schema = rows.drop("text").schema.add("keys", ArrayType(LongType()))
+            fps, keys = [], []
+            for t in batch.column("text"):
+                text = t.as_py()
+                fps.append(fingerprint_of(text)), keys.append(band_keys(text, words, bands))
+            made = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "fp", "keys"])
+
+    schema = rows.drop("text").schema.add("fp", "long").add("keys", ArrayType(LongType()))
     prints = stage(rows.mapInArrow(hashed, schema).withColumn("uid", F.monotonically_increasing_id()), "prints")
+    near, printed = simhash_pairs(prints)
     crowd, classes, repeats = crowded(prints)
     met = crowds(crowd)
-    held = shingle_sets(docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text")), classes, words)
-    links = stage(similar(held, stage(first_pairs(met), "pairs"), similarity).unionByName(repeats), "links")
+    asked = stage(classes.select("uid", "_k1", "_k2").unionByName(printed).distinct(), "asked")
+    held = shingle_sets(docs.select(k1.alias("_k1"), k2.alias("_k2"), text_of().alias("_text")), asked, words)
+    pairs = stage(near.unionByName(first_pairs(met)).distinct(), "pairs")
+    links = stage(similar(held, pairs, similarity).unionByName(repeats), "links")
     found = stage(components(links), "components")
     rest = stage(other_pairs(unsettled(met, found), held, similarity), "rest")
     if not rest.isEmpty():

@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 
 CACHED_PARTS = 600_000
 CACHED_LENGTH = 64
-# A batch of texts is worked on in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+# A batch of texts is worked on in slices of about so many bytes; one longer text is a slice of its own. The parts of a
+# slice take some twenty times its bytes.
+SLICE_BYTES = 2 << 20
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Up to U+024F, but for the dotted capital I, letters change case one by one and no two of them combine.

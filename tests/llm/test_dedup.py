@@ -268,3 +268,22 @@ def test_filter_holds_all_keys_and_few_others(spark):
     # A filter that is far too small lets everything through and loses nothing.
     full = common.filter_rows(keys.select(F.explode(F.array(*common.filter_positions(1 << 12, "k"))).alias("p")))
     assert {*range(500)} <= {r.k for r in common.with_maybe(keys, full, 1 << 12, "k").filter("_maybe").collect()}
+
+
+def test_near_copies_that_only_simhash_meets(make_docs):
+    """Copies whose SimHash is within two bits and that share no band are found, whatever bands there are."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    one = simhash.bands_for(miss=0.9)
+    assert one == 1
+    rows = []
+    while len(rows) < 20:
+        base = [word() for _ in range(150)]
+        other = list(base)
+        other[draw.randrange(150)] = word()
+        other[draw.randrange(150)] = word()
+        a, b = " ".join(base), " ".join(other)
+        if (sim(a) ^ sim(b)).bit_count() <= 2 and not {*simhash.band_keys(a, bands=one).tolist()} & {*simhash.band_keys(b, bands=one).tolist()}:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = {r.doc_id for r in simhash.deduplicate(make_docs(rows), miss=0.9).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
