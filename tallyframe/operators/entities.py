@@ -79,25 +79,49 @@ def _grams(texts: Column, lengths: range) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def gram_index(index: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(gram, position): which companies have a part of one to three letters in their name or tickers. Written once, it
-    answers any number of queries of `search_index`."""
-    texts = F.array_append("tickers", F.coalesce("name", F.lit("")))
-    return _with_tickers(index, aliases).select("position", F.explode(_grams(F.array_compact(texts), range(1, GRAM + 1))).alias("gram")).filter("gram <> ''")
+def _names(index: DataFrame) -> DataFrame:
+    """(low, first): every distinct name in lower case with the first position that has it."""
+    return index.filter("name is not null").groupBy(F.lower("name").alias("low")).agg(F.min("position").alias("first"))
+
+
+def _firsts(df: DataFrame, by: str, order: list, limit: int) -> DataFrame:
+    """The first `limit` rows of each `by`; Spark limits them in each task before they meet."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
+
+
+def gram_index(index: DataFrame) -> DataFrame:
+    """(gram, first): which distinct names, by the first position that has them, have a part of one to three letters.
+    Written once, it answers any number of queries of `search_index`."""
+    return _names(index).select("first", F.explode(_grams(F.array("low"), range(1, GRAM + 1))).alias("gram")).filter("gram <> ''")
 
 
 def search_index(queries: DataFrame, index: DataFrame, grams: DataFrame, limit: int = 8, aliases: DataFrame | None = None) -> DataFrame:
-    """What `search` gives, for a table of queries (query): each looks up its rarest gram and only what has it is tested.
+    """What `search` gives, for a table of queries (query).
 
-    A query costs as many rows as companies have its rarest part, not as there are companies. One that is not longer than
-    a gram is looked up whole.
+    A query meets tickers by their beginnings and names by its rarest gram, each distinct name once. Of what is alike for a
+    query (tickers with one beginning, companies of one name, names of one tier) only the first `limit` can be among its
+    best, so no more are kept. A query that is not longer than a gram is looked up whole.
     """
     said = F.regexp_replace(F.trim(F.regexp_replace("query", r"(?U)\s+", " ")), "^ | $", "")
     asked = queries.select(said.alias("query")).filter("query <> ''").distinct()
-    parts = asked.select("query", F.explode(F.when(F.length("query") < GRAM, F.array(F.lower("query"))).otherwise(_grams(F.array("query"), range(GRAM, GRAM + 1)))).alias("gram"))
+    low = F.lower("query")
+    # Tickers: whole ones in capitals, and all beginnings of the first one in small letters.
+    companies = _with_tickers(index, aliases)
+    ticker = F.lower(F.coalesce("ticker", F.lit("")))
+    begun = F.transform(F.sequence(F.lit(1), F.greatest(F.length(ticker), F.lit(1))), lambda i: F.concat(F.lit("b"), F.substr(ticker, F.lit(1), i)))
+    whole = F.transform(F.array_compact("tickers"), lambda t: F.concat(F.lit("w"), t))
+    keys = _firsts(companies.select("position", F.explode(F.array_distinct(F.concat(whole, begun))).alias("key")), "key", ["position"], limit)
+    by_key = asked.select("query", F.explode(F.array(F.concat(F.lit("w"), F.upper("query")), F.concat(F.lit("b"), low))).alias("key"))
+    by_ticker = by_key.join(keys, "key").select("query", "position")
+    # Names: those with the rarest gram of the query are tested.
+    parts = asked.select("query", F.explode(F.when(F.length(low) < GRAM, F.array(low)).otherwise(_grams(F.array("query"), range(GRAM, GRAM + 1)))).alias("gram"))
     sizes = grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = parts.join(sizes, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    found = rarest.join(grams, "gram").select("query", "position").join(_with_tickers(index, aliases), "position")
+    tested = rarest.join(grams, "gram").join(_names(index), "first").filter(F.contains("low", low))
+    named_best = _firsts(tested.select("query", "low", "first", F.startswith("low", low).alias("begins")), "query", [F.desc("begins"), "first"], limit)
+    of_name = _firsts(index.filter("name is not null").select("position", F.lower("name").alias("low")), "low", ["position"], limit)
+    by_name = named_best.join(of_name, "low").select("query", "position")
+    found = by_ticker.unionByName(by_name).distinct().join(companies, "position")
     matched = found.select("query", "position", "ticker", "name", _tier(F.col("query")).alias("tier")).filter("tier is not null")
     best = Window.partitionBy("query").orderBy("tier", "position")
     return matched.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select("query", "place", "ticker", "name", "tier")

@@ -96,3 +96,18 @@ def test_constraints(make_facts):
     facts = make_facts([("revenue", "FY2024", 1, {"unit": "EUR"}), ("revenue", "FY2023", 1, {"inputs": ["fact_1"]}), ("revenue", "FY2022", 1, {"accession": "x"})])
     assert {r.rule for r in constraints.fact_violations(facts).collect()} == {"unit_against_currency", "reported_with_inputs", "bad_accession"}
     assert constraints.duplicate_current(facts.unionByName(facts)).count() == 3
+
+
+def test_index_search_by_distinct_names_gives_what_a_scan_gives(spark):
+    """Companies of few names and many tickers: the index grows with the names, and answers are those of a scan."""
+    names = ["Red ring", "RED RING", "small widget", "Widget red", None, "p2 holdings", "x"]
+    rows = [(i, f"P{i}" if i % 11 else f"p{i}", names[i % 7]) for i in range(400)]
+    index = spark.createDataFrame(rows, "position long, ticker string, name string")
+    more = spark.createDataFrame([("RING", 399), ("P2", 398), ("P20", 3)], "ticker string, position long")
+    asked = ["p2", "P20", "p", "ring", "RED", "d r", "e", "x", "widget", "Ring", " small  widget ", "p399", "zzz", "", "holdings", "p22"]
+    grams = entities.gram_index(index)
+    assert grams.count() == entities.gram_index(index.filter("position < 7")).count()
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    for aliases in (None, more):
+        got = entities.search_index(queries, index, grams, aliases=aliases).collect()
+        assert got and sorted(got) == sorted(entities.search(index, asked, aliases=aliases).collect())
