@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SHIPPED: set[str] = set()
 
+# Texts reach Python workers in batches of about so many bytes. By rows alone a batch of texts has tens of megabytes, which
+# the executor and the worker hold once each, and more while they are turned into strings.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to Python workers, once per application, for clusters that were not given it at the start."""
+    """Gives this package to Python workers, once per application, for clusters that were not given it at the start.
+    Batches of a session that sets no size of its own get BATCH_BYTES."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(_BATCH_BYTES_KEY, str(BATCH_BYTES))
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         package = Path(__file__).resolve().parents[1]
@@ -28,6 +38,25 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(held)
 
 
+# What tasks of an operator keep in their Python worker for its next tasks, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    return _KEPT.setdefault(operator, {})
+
+
+def give_back(operator: str | None = None) -> None:
+    """Called where a task ends: what other operators kept in this worker goes, and memory that nothing uses returns to
+    the system. Workers live on between tasks and stages, and what they hold counts beside the executor's heap."""
+    for name in [n for n in _KEPT if n != operator]:
+        del _KEPT[name]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

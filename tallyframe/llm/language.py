@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import ship, stage
+from .common import give_back, ship, stage
 
 COLUMNS = 1 << 14
 LENGTHS = 4
@@ -169,6 +169,7 @@ def predict(docs: DataFrame, model: Model | None, name: str = "_language") -> Da
                 lang[usable] = np.array(scorer.languages, object)[likely.argmax(axis=1)]
                 score[usable] = likely.max(axis=1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        give_back()
 
     # Called so, a filter on the result does not score the texts a second time.
     return docs.withColumn(name, classified.asNondeterministic()(F.col("text")))

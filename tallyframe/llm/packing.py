@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import running, ship, stage, text_of
-from .tokens import encoder
+from .common import give_back, running, ship, stage, text_of
+from .tokens import OPERATOR, encoder
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -142,6 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, *carried: Column, capacity: int = SE
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate(tokens).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back(OPERATOR)
 
     ship(docs.sparkSession)
     inner = docs.select("doc_id", *carried, text_of().alias("_text"))

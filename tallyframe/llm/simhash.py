@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import ascii_lower, carry, filter_positions, filter_rows, filter_size, row_key, ship, stage, text_of, with_maybe
+from .common import ascii_lower, carry, filter_positions, filter_rows, filter_size, give_back, row_key, ship, stage, text_of, with_maybe
 from .components import components
 from .fingerprints import likeness, with_sketch
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, *carried: Column, words: int = SHINGLE_WORDS)
         for batch in batches:
             fps = pa.array([fingerprint_of(t.as_py(), words) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*batch.schema.names[:-1], "fp"])
+        give_back()
 
     ship(docs.sparkSession)
     inner = docs.select("doc_id", *carried, "text")
@@ -242,6 +243,7 @@ def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float =
                 fps.append(fingerprint_of(text)), keys.append(band_keys(text, words, bands))
             made = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "fp", "keys"])
+        give_back()
 
     schema = rows.drop("text").schema.add("fp", "long").add("keys", ArrayType(LongType()))
     prints = stage(rows.mapInArrow(hashed, schema).withColumn("uid", F.monotonically_increasing_id()), "prints")

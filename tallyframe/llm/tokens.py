@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
+OPERATOR = "tokens"
 CACHED_PARTS = 600_000
 CACHED_LENGTH = 64
 # A batch of texts is worked on in slices of about so many bytes; one longer text is a slice of its own. The parts of a
@@ -114,13 +117,10 @@ class TextEncoder:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
 
 
-_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
-
-
 def encoder(path: str, special_as_text: bool = False) -> TextEncoder:
-    """The encoder of this Python worker, kept from task to task."""
-    key = (path, special_as_text)
-    if key not in _ENCODERS:
+    """The encoder of this Python worker, kept from task to task until another operator's tasks run there."""
+    key, held = (path, special_as_text), kept(OPERATOR)
+    if key not in held:
         pa.set_cpu_count(1)
-        _ENCODERS[key] = TextEncoder(path, special_as_text)
-    return _ENCODERS[key]
+        held[key] = TextEncoder(path, special_as_text)
+    return held[key]
