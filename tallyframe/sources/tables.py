@@ -79,8 +79,8 @@ def _money(column: Column) -> Column:
 MEASURES = ("gross", "disc", "net", "tax", "qty", "net_r")
 
 
-def _year_to_date(spark: SparkSession, sf_dir: str, history: bool) -> DataFrame:
-    """One row per supplier, year and quarter i with year-to-date sums up to i; absent quarters are zero.
+def _year_to_date(spark: SparkSession, sf_dir: str, history: bool, upto_quarters: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """One row per supplier, year and quarter i of `upto_quarters` with year-to-date sums up to i; absent quarters are zero.
 
     Quarters become an array per supplier and year, so year-to-date sums need no further shuffle. With `history`,
     the row also carries running totals over years, the all-years net and the first year.
@@ -101,7 +101,7 @@ def _year_to_date(spark: SparkSession, sf_dir: str, history: bool) -> DataFrame:
         )
         extra = ["run_gross", "run_disc", "run_net", "run_tax", "all_net", "y0"]
     upto = lambda m: F.aggregate(F.slice(m, F.lit(1), F.col("i")), F.lit(0).cast(MONEY), lambda a, v: _money(a + v)).alias(m)
-    return years.withColumn("i", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]))).select("co", "y", "i", *[upto(m) for m in MEASURES], *extra)
+    return years.withColumn("i", F.explode(F.array(*[F.lit(i) for i in upto_quarters]))).select("co", "y", "i", *[upto(m) for m in MEASURES], *extra)
 
 
 def _measures() -> dict[str, Column]:
@@ -121,17 +121,18 @@ def accession(co: Column, year: Column, sequence: Column) -> Column:
     return F.concat_ws("-", F.lpad(co.cast("string"), 10, "0"), F.lpad((year % 100).cast("string"), 2, "0"), F.lpad(sequence.cast("string"), 6, "0"))
 
 
-def observations(spark: SparkSession, sf_dir: str, metrics: list[str], faults: tuple[str, ...] = ()) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, metrics: list[str], faults: tuple[str, ...] = (), full_years: bool = False) -> DataFrame:
     """Observations of the chosen metrics, with the irregularities real filings have.
 
     Always: year-to-date flows, annual values refiled a year later (revenue restated for every fifth supplier), a
     second revenue tag before 1998 for every fourth supplier, euros for some, an 8-K row for some, shares tagged in
     money for some, opening cash dated three days early for some, and assets that do not tie for every ninth.
     faults: 'gap' drops FY1998 revenue of every sixth supplier; 'scale' multiplies FY1999 revenue of every
-    eleventh by a thousand.
+    eleventh by a thousand. full_years: only what covers a year or stands at its end, for readers of nothing else; all
+    lines count, but the year-to-date rows of the other quarters are not made.
     """
     history = any(m in BALANCES or m == "operating_income" for m in metrics)
-    rows = _year_to_date(spark, sf_dir, history)
+    rows = _year_to_date(spark, sf_dir, history, (4,) if full_years else (1, 2, 3, 4))
     measure = _measures()
     co, y, i = F.col("co"), F.col("y"), F.col("i")
     jan1 = F.make_date(y, F.lit(1), F.lit(1))
