@@ -145,12 +145,16 @@ UNION ALL SELECT 'fcv', 4 * count(DISTINCT co) FROM ann
 )
 
 
-def _driver_run(spark, sf):
+def _driver_inputs(spark, sf):
     metrics = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"]
     facts = stage(annual(spark, sf, metrics), "facts")
     gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
     events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), ["operating_margin", "pretax_conversion", "effective_tax_rate"])
-    rates = lineage.facts_under(analytics.analytic_values(events))
+    return facts, lineage.facts_under(stage(analytics.analytic_values(events), "values"))
+
+
+def _driver_run(spark, sf):
+    facts, rates = _driver_inputs(spark, sf)
     return forecast.run_forecast(facts, frameworks(), rates=rates, years=HORIZON, only=("net_income",))
 
 
@@ -182,7 +186,8 @@ NOT_PROJECTED = sql("SELECT metric_id, reason, count(*) AS n FROM out WHERE reas
 
 
 def unseeded_assumptions(spark, sf):
-    return _driver_run(spark, sf).unseeded
+    facts, rates = _driver_inputs(spark, sf)
+    return forecast.unseeded(facts, frameworks(), rates=rates, only=("net_income",))
 
 
 UNSEEDED = sql(

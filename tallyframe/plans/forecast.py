@@ -279,6 +279,20 @@ class Forecast:
         return self.events.filter(F.col("reason").isNotNull() & (F.col("scenario") == BASE)).groupBy("company_id", "metric_id", "reason").agg(F.count("*").alias("n"))
 
 
+def _seeding(facts: DataFrame, frameworks: dict[str, Framework], rates: DataFrame | None, plans: list[Plan]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row per company, seeded assumptions, keys without a seed); the rates are computed once for both."""
+    points = stage(annual_points(facts), "annual")
+    frame = base_frame(points, frameworks)
+    if rates is not None:
+        rates = stage(rates.join(points.select("company_id", "base_year").distinct(), "company_id"), "rates")
+    return frame, *seeded_assumptions(frame, seed_candidates(points, rates), key_table(facts.sparkSession, plans))
+
+
+def unseeded(facts: DataFrame, frameworks: dict[str, Framework], *, rates: DataFrame | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """`Forecast.unseeded` of a run on the same facts and rates, without projecting anything."""
+    return _seeding(facts, frameworks, rates, all_plans(frameworks, only))[2]
+
+
 def run_forecast(
     facts: DataFrame, frameworks: dict[str, Framework], *, rates: DataFrame | None = None, analyst: DataFrame | None = None,
     scenarios: DataFrame | None = None, years: int = 5, only: tuple[str, ...] | None = None,
@@ -287,11 +301,7 @@ def run_forecast(
     analyst: authored assumptions. scenarios: (company_id, scenario) beyond the base case."""
     spark = facts.sparkSession
     plans = all_plans(frameworks, only)
-    points = stage(annual_points(facts), "annual")
-    frame = base_frame(points, frameworks)
-    if rates is not None:
-        rates = rates.join(points.select("company_id", "base_year").distinct(), "company_id")
-    seeds, unseeded = seeded_assumptions(frame, seed_candidates(points, rates), key_table(spark, plans))
+    frame, seeds, missing = _seeding(facts, frameworks, rates, plans)
     everything = seeds if analyst is None else seeds.unionByName(analyst)
     everything = stage(everything.select(*[c.split(" ")[0] for c in ASSUMPTIONS.split(", ")]), "assumptions")
 
@@ -308,4 +318,4 @@ def run_forecast(
     )
     ready = stage(names.join(by_scenario, ["company_id", "scenario"], "left").withColumn(
         "asm", F.coalesce("asm", F.create_map().cast("map<string,struct<value:double,type:string,reason:string>>"))), "scenarios")
-    return Forecast(project(ready, plans, years), everything, unseeded, plans, ready)
+    return Forecast(project(ready, plans, years), everything, missing, plans, ready)
