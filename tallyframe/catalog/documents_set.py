@@ -590,7 +590,7 @@ def stream_snapshots(spark, sf):
     snapshots = stage(_snapshots(spark, sf), "snapshots")
     broken = snapshots.withColumn("json", F.regexp_replace("json", r'"end":"', '"end":"x'))
     earlier = snapshots.withColumn("json", F.regexp_replace("json", r'"end":"2001-', '"end":"x'))
-    files = 4
+    files = max(4, spark.sparkContext.defaultParallelism)  # a batch is all files of one arrival, read by as many tasks as there are cores
     for batch in (broken, earlier, snapshots):
         batch.repartition(files).write.mode("append").parquet(f"{folder}/landing")
     stream = spark.readStream.schema("json string").option("maxFilesPerTrigger", files).parquet(f"{folder}/landing")

@@ -12,6 +12,8 @@ from ..schemas import FACTS, MONEY
 
 # A number as JSON writes it: sign and digits, decimals, exponent.
 NUMBER = r"^(-?\d+)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
+# The usual ones: no exponent and no more places than MONEY has, so that nothing else has to be taken from the text.
+PLAIN = r"^-?\d+(?:\.\d{0,8})?$"
 PLACES = 8  # of MONEY
 
 # Values stay text until they are cast, so no digit is lost on the way.
@@ -42,8 +44,9 @@ def flatten_companyfacts(snapshots: DataFrame, company: Column | None = None) ->
     bad ones come from one pass.
     """
     who = F.col("cik") if company is None else company
+    # The outer form: for the inner one Spark puts a test of `facts` in front of the parser, which then parses once more for each of its terms.
     concepts = (
-        snapshots.withColumn("company_id", who).select("company_id", F.explode("facts").alias("taxonomy", "concepts"))
+        snapshots.withColumn("company_id", who).select("company_id", F.explode_outer("facts").alias("taxonomy", "concepts")).filter("taxonomy IS NOT NULL")
         .select("company_id", "taxonomy", F.explode("concepts").alias("concept", "body"))
     )
     units = concepts.select("company_id", "taxonomy", "concept", F.col("body.units").isNull().alias("no_units"), F.explode_outer("body.units").alias("unit", "rows"))
@@ -58,9 +61,10 @@ def checked(tagged: DataFrame) -> DataFrame:
     Rows of `adapters` that have a `problem` are malformed, too.
     """
     written = lambda group: F.regexp_extract("val", NUMBER, group)
-    is_number = F.coalesce(F.col("val").rlike(NUMBER), F.lit(False))
+    plain = F.coalesce(F.col("val").rlike(PLAIN), F.lit(False))
+    is_number = plain | F.coalesce(F.col("val").rlike(NUMBER), F.lit(False))
     places = F.length(F.rtrim(written(2), F.lit("0"))) - F.coalesce(written(3).try_cast("int"), F.lit(0))
-    number = F.when(is_number & (places <= PLACES), F.col("val").try_cast(MONEY))
+    number = F.when(plain | (is_number & (places <= PLACES)), F.col("val").try_cast(MONEY))
     end, filed = F.col("end").try_cast("date"), F.col("filed").try_cast("date")
     has_start = F.coalesce(F.col("start"), F.lit("")) != ""
     start = F.when(has_start, F.col("start").try_cast("date"))
