@@ -356,6 +356,8 @@ def _pages(spark, sf) -> DataFrame:
 
     before = F.lag(F.struct("y", "net", "disc")).over(Window.partitionBy("co").orderBy("y"))
     rows = years.withColumn("b", before).filter(F.col("b.y") == F.col("y") - 1)
+    # A page is a few numbers here and long to read, so rows are spread by what readers can do at once and not by their bytes.
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, "co", "y")
     thousand = lambda c: F.format_number(F.round(F.col(c) / 1000, 0).cast("long"), 0)
     html = F.format_string(
         "<!DOCTYPE html><html><body><xbrli:context id=\"d\"><xbrli:period><xbrli:startDate>%1$s-01-01</xbrli:startDate><xbrli:endDate>%1$s-12-31</xbrli:endDate></xbrli:period></xbrli:context>"

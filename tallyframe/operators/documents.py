@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, ids, text
-from ..functions.arrays import named
+from ..functions.arrays import named, once
 from ..functions.numeric import clean_text, printed_number, tagged_number
 from ..schemas import FACT_COLUMNS, MONEY
 from ..sources.specs import Framework, Metric, metric_spec
@@ -193,10 +193,10 @@ def table_cells(documents: DataFrame) -> DataFrame:
     blocks = F.filter(F.transform(F.split(before, r"(?i)</(?:p|div|h\d|li|span)>|<br\s*/?>"), plain), lambda b: b != "")
     lead = F.array_join(F.slice(blocks, F.greatest(F.size(blocks) - 2, F.lit(1)), F.lit(3)), " ")
     rows = F.regexp_extract_all(F.col("t.body"), F.lit(_ROW), F.lit(1))
-    grids = tables.select(*keep, F.col("t.no").alias("table_no"), lead.alias("lead"), _table_grid(rows).alias("grid")).withColumn(
-        "grid", F.filter("grid", lambda r: F.exists(r, lambda c: c["text"] != "")))
+    grid = F.filter(_table_grid(rows), lambda r: F.exists(r, lambda c: c["text"] != ""))
+    grids = tables.select(*keep, F.col("t.no").alias("table_no"), lead.alias("lead"), once(grid).alias("grid"))
     # Layout tables have no number row, or only one row; every slice is safe for them, as filters may run later.
-    split = grids.withColumn("first_body", F.coalesce(F.array_position(F.transform("grid", _is_heading), F.lit(False)).cast("int"), F.lit(0)))
+    split = grids.select("*", once(F.coalesce(F.array_position(F.transform("grid", _is_heading), F.lit(False)).cast("int"), F.lit(0))).alias("first_body"))
     split = split.filter((F.size("grid") >= 2) & (F.col("first_body") > 0)).withColumn("first_body", F.greatest("first_body", F.lit(1)))
     heads = F.flatten(F.slice("grid", F.lit(1), F.col("first_body") - 1))
     split = split.withColumn("heads", F.filter(heads, lambda c: c["text"] != "")).withColumn("body", F.slice("grid", F.col("first_body"), F.size("grid")))
@@ -209,7 +209,7 @@ def table_cells(documents: DataFrame) -> DataFrame:
     following = F.get("row", F.col("cell_no") + 1)["text"]
     return cells.select(
         *keep, "table_no", "row_no", "cell_no", "scale", text.without_footnotes(F.col("label")).alias("label"), text.normalize_label(F.col("label")).alias("row_key"),
-        printed_number(F.col("cell.text")).alias("value"), F.col("cell.text").alias("raw"), heading.alias("heading"), text.last_year_in(heading).alias("year"),
+        once(printed_number(F.col("cell.text"))).alias("value"), F.col("cell.text").alias("raw"), heading.alias("heading"), text.last_year_in(heading).alias("year"),
         (F.col("cell.text").contains("%") | (F.coalesce(following, F.lit("")) == "%")).alias("percent"),
     ).filter("value IS NOT NULL")
 
