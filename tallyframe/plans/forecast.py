@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.arrays import named
 from ..functions.formula import formula
 from ..operators.analytics import growth_refusal
 from ..schemas import ASSUMPTIONS
@@ -135,19 +136,21 @@ def resolve_assumptions(demands: DataFrame, assumptions: DataFrame) -> DataFrame
     Higher rungs win; inside a rung an assumption pinned to the year beats one for all years; an assumption that was
     declared without a value still wins its rung and then refuses.
     """
-    rung = F.create_map(*[F.lit(x) for pair in LADDER.items() for x in pair])[F.col("a_type")]
-    declared = assumptions.select(
-        "company_id", "key", F.col("value").alias("a_value"), F.col("period").alias("a_period"), F.col("type").alias("a_type"),
-        F.col("scenario").alias("a_scenario"), F.coalesce("source_document_id", F.lit("")).alias("a_document"),
-    )
-    applies = ((F.col("a_type") != "scenario") | (F.col("a_scenario") == F.col("scenario"))) & (
-        F.col("a_period").isNull() | (F.col("a_period") == F.concat(F.lit("FY"), F.col("fiscal_year").cast("string")))
-    )
-    joined = demands.join(declared, ["company_id", "key"], "left")
-    order = F.struct(rung, F.col("a_period").isNull(), (F.col("a_type") == "derived"), "a_document")
-    best = joined.groupBy("company_id", "scenario", "key", "fiscal_year").agg(
-        F.min_by(F.struct("a_value", "a_type", F.col("a_period").isNotNull().alias("pinned")), F.when(applies, order)).alias("best")
-    )
+    rung = F.create_map(*[F.lit(x) for pair in LADDER.items() for x in pair])[F.col("type")]
+    document = F.coalesce("source_document_id", F.lit(""))
+    # Both sides are one row a company and key before they meet, so what applies is picked inside a row and the pairs are never sorted.
+    declared = assumptions.groupBy("company_id", "key").agg(F.collect_list(F.struct(
+        F.struct(rung.alias("rung"), F.col("period").isNull().alias("floating"), (F.col("type") == "derived").alias("derived"), document.alias("document")).alias("order"),
+        F.col("value").alias("a_value"), F.col("type").alias("a_type"), F.col("period").alias("a_period"), F.col("scenario").alias("a_scenario"))).alias("declared"))
+    asked = demands.groupBy("company_id", "key").agg(F.collect_set(F.struct("scenario", "fiscal_year")).alias("asked"))
+    each = asked.join(declared, ["company_id", "key"], "left").select("company_id", "key", "declared", F.explode("asked").alias("d")).select("company_id", "d.scenario", "key", "d.fiscal_year", "declared")
+
+    def applies(a: Column) -> Column:
+        ours = (a["a_type"] != "scenario") | (a["a_scenario"] == F.col("scenario"))
+        return ours & (a["a_period"].isNull() | (a["a_period"] == F.concat(F.lit("FY"), F.col("fiscal_year").cast("string"))))
+
+    ranked = F.transform(F.filter("declared", applies), lambda a: named(order=a["order"], a_value=a["a_value"], a_type=a["a_type"], pinned=a["a_period"].isNotNull()))
+    best = each.select("company_id", "scenario", "key", "fiscal_year", F.array_min(ranked).alias("best"))
     reason = F.when(F.col("best").isNull(), F.concat(F.lit("assumption_missing:"), "key")).when(
         F.col("best.a_value").isNull(), F.concat(F.lit("assumption_unset:"), "key")
     )
