@@ -216,7 +216,7 @@ def _landed(spark, sf) -> str:
 def adapter_observations(spark, sf):
     """The same snapshots as files, read by an adapter: the observations of companyfacts_flatten."""
     adapters.register(spark)
-    flat = filings.checked(spark.read.format("tagged_values").option("partitionBytes", 1 << 16).load(_landed(spark, sf)))
+    flat = filings.checked(spark.read.format("tagged_values").option("minPartitions", 2 * spark.sparkContext.defaultParallelism).load(_landed(spark, sf)))
     return filings.observations_of(flat).select("company_id", "concept", "unit", dbl("value"), "period_start", "period_end", "accession", "filed")
 
 

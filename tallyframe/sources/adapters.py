@@ -125,10 +125,11 @@ def listed(path: str) -> list[Landed]:
     return sorted(Landed(i.mtime_ns or 0, f"{scheme}{i.path}", i.size or 0) for i in shown)
 
 
-def dealt(files: Iterable[Landed], most: int) -> list[Share]:
-    """Files in shares of about `most` bytes, largest first into the share with the most room; a larger file has a share of its own."""
+def dealt(files: Iterable[Landed], most: int, least: int = 1) -> list[Share]:
+    """Files in shares of about `most` bytes, largest first into the share with the most room; a larger file has a share of its own.
+    There are at least `least` shares, as far as there are files."""
     ordered = sorted(files, key=lambda f: (-f.size, f.url))
-    shares = max(1, -(-sum(f.size for f in ordered) // most))
+    shares = max(1, min(least, len(ordered)), -(-sum(f.size for f in ordered) // most))
     held: list[list] = [[0, n, []] for n in range(shares)]
     for f in ordered:
         size, n, urls = held[0]
@@ -148,6 +149,7 @@ class _Reading:
     def __init__(self, options: dict[str, str]):
         self.path, self.names = options["path"], [n for n in options.get("adapters", ",".join(SHIPPED)).split(",") if n.strip()]
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
+        self.least = int(options.get("minpartitions", options.get("minPartitions", 1)))
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         adapters, held = load(self.names), []
@@ -185,7 +187,7 @@ def tagged(url: str, adapters: list[Adapter]) -> Iterator[tuple[str | None, ...]
 
 class TaggedReader(_Reading, DataSourceReader):
     def partitions(self) -> list[Share]:
-        return dealt(listed(self.path), self.most) or [Share(())]
+        return dealt(listed(self.path), self.most, self.least) or [Share(())]
 
 
 class TaggedStream(_Reading, DataSourceStreamReader):
@@ -201,11 +203,12 @@ class TaggedStream(_Reading, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
         low, high = ((o["at"], o["url"]) for o in (start, end))
-        return dealt([f for f in listed(self.path) if low < (f.at, f.url) <= high], self.most)
+        return dealt([f for f in listed(self.path) if low < (f.at, f.url) <= high], self.most, self.least)
 
 
 class TaggedValues(DataSource):
-    """Format `tagged_values`; options: adapters (module:Class, comma separated; the shipped ones by default) and partitionBytes."""
+    """Format `tagged_values`; options: adapters (module:Class, comma separated; the shipped ones by default), partitionBytes (at most so many a task)
+    and minPartitions (at least so many tasks, where there are as many files)."""
 
     @classmethod
     def name(cls) -> str:
