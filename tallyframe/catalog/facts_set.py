@@ -228,7 +228,7 @@ GROUP BY 1
 def derivation_counters(spark, sf):
     facts = stage(current(spark, sf, ["revenue", "cost_of_revenue", "diluted_shares"]), "current")
     interim = stage(derive.interim_events(facts, frameworks()), "interim")
-    events = derive.formula_events(facts.unionByName(derive.interim_facts(interim)), frameworks())
+    events = derive.formula_events(facts.unionByName(derive.interim_facts(interim)), frameworks(), traced=False)
     return derive.derivation_counts(facts, interim, events, frameworks()).groupBy("event").agg(F.sum("n").alias("n"))
 
 

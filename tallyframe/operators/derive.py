@@ -121,7 +121,7 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _formula_event(metric: Metric) -> Column:
+def _formula_event(metric: Metric, traced: bool = True) -> Column:
     parsed = formula(metric.derivation)
     cells = {n: F.col("m")[n] for n in parsed.names}
     terms, existing = list(cells.values()), F.col("m")[metric.id]
@@ -162,10 +162,14 @@ def _formula_event(metric: Metric) -> Column:
         calendar.period_label(F.col("fiscal_year"), F.col("fiscal_period")), "derived",
         F.concat_ws("|", F.lit(metric.derivation), ids.joined_sorted(inputs)),
     )
+    if not traced:
+        new_id = F.lit(None).cast("string")
     cell = F.struct(
         new_id.alias("fact_id"), exact.alias("value"), loose.alias("value_f"), unit.alias("unit"),
         (currency if needs_currency else F.lit(None).cast("string")).alias("currency"), F.lit(True).alias("derived"),
     )
+    if not traced:
+        return F.when(outcome.isNotNull(), F.struct(F.lit(metric.id).alias("metric_id"), outcome.alias("outcome"), F.when(outcome == "derived", cell).alias("cell")))
     return F.when(
         outcome.isNotNull(),
         F.struct(
@@ -176,8 +180,12 @@ def _formula_event(metric: Metric) -> Column:
     )
 
 
-def formula_events(facts: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
-    """One row per (company, anchor period, formula metric) that had any input, layer by dependency layer."""
+def formula_events(facts: DataFrame, frameworks: dict[str, Framework], traced: bool = True) -> DataFrame:
+    """One row per (company, anchor period, formula metric) that had any input, layer by dependency layer.
+
+    Not traced: outcomes alone, for who only counts them; ids, inputs, notes and tolerances are not worked out where no
+    outcome stands on them.
+    """
     keys = ["company_id", "framework", "period_type", "period_start", "period_end"]
     anchors = anchor_frame(facts, keys)
     found = []
@@ -188,7 +196,7 @@ def formula_events(facts: DataFrame, frameworks: dict[str, Framework]) -> DataFr
         frame = anchors.filter(F.col("framework") == framework.name)
         layers = ordered_layers({mid: formula(m.derivation).names for mid, m in derived.items()})
         for depth, layer in enumerate(layers):
-            frame = frame.withColumn(f"_l{depth}", F.array_compact(F.array(*[_formula_event(derived[mid]) for mid in layer])))
+            frame = frame.withColumn(f"_l{depth}", F.array_compact(F.array(*[_formula_event(derived[mid], traced) for mid in layer])))
             if depth + 1 < len(layers):
                 fresh = F.filter(f"_l{depth}", lambda e: e["cell"].isNotNull())
                 frame = frame.withColumn(
