@@ -194,12 +194,36 @@ def broken_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or leading into one.
 
+    Nodes that nobody rests on are set aside first, and again as long as that takes half of the edges: no other node
+    depends on them, and they lead into a cycle where one of their parents does. Most edges move once for that.
+    """
+    levels = [stage(edges.select("child", "parent"), "edges")]
+    size = levels[0].count()
+    while size:
+        inner = stage(levels[-1].join(levels[-1].select(F.col("parent").alias("child")).distinct(), "child", "left_semi").distinct(), "inner")
+        before, size = size, inner.count()
+        levels.append(inner)
+        if 2 * size > before:
+            break
+    if not size:
+        return levels[-1].select(F.col("child").alias("node_id"))
+    found = _circling(levels.pop())
+    for level in reversed(levels):
+        # A node leads into a cycle if and only if a parent of it does, so the level's children are all there is to add.
+        found = level.join(found.select(F.col("node_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node_id")).distinct()
+        found = stage(found, "cyclic")
+    return found
+
+
+def _circling(edges: DataFrame) -> DataFrame:
+    """`cyclic_nodes` by peeling from the parents' side.
+
     Nodes whose parents are all settled go, and with them their edges; a node with a single parent left shares its fate
     and is bridged, chains of any length at once by doubling; a node over a known cycle is known too. Only edges of nodes
     that are still open are written again. When a round changes nothing, every open node has an open parent: all are
     above cycles. A known node is held as an edge to itself.
     """
-    left = stage(edges.select("child", "parent").distinct(), "open")
+    left = edges
     bridged: list[DataFrame] = []
     before = None
     while True:
@@ -226,13 +250,12 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 def _bridged(single: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From single (node, to), one row a node: where each chain of them ends (node, to), and (node) of those that never do.
 
-    In every step an open chain takes the way of the node it has come to, so steps double; one that is still open when
-    more steps were taken than there are nodes runs in a circle.
+    In every step an open chain takes the way of the node it has come to, so steps double. The links of a chain that ends
+    have every distance to its end up to its own, so while there are any, each step ends some; when one ends none, all
+    that are open run in circles.
     """
-    size = single.count()
     open_, ended = single, []
-    length = 1
-    while size and length <= 2 * size:
+    while True:
         onward = open_.select(F.col("node").alias("to"), F.col("to").alias("next"))
         # Chains that come to an ended one end where it does.
         for e in ended:
@@ -240,9 +263,9 @@ def _bridged(single: DataFrame) -> tuple[DataFrame, DataFrame]:
         stepped = stage(open_.join(onward, "to", "left").select("node", "to", "next"), "stepped")
         ended.append(stepped.filter("next is null").select("node", "to"))
         open_ = stepped.filter("next is not null").select("node", F.col("next").alias("to"))
-        if open_.isEmpty():
+        of, done = stepped.agg(F.count("*"), F.count_if(F.col("next").isNull())).first()
+        if not done or done == of:
             break
-        length *= 2
     result = single.filter("false")
     for e in ended:
         result = result.unionByName(e)

@@ -51,3 +51,15 @@ def test_long_chains_take_few_steps(spark, monkeypatch):
     found = lineage.cyclic_nodes(frame.unionByName(looped))
     assert found.count() == n and found.filter("node_id not like 'b%'").isEmpty()
     assert len(steps) < 45
+
+
+def test_nodes_that_nobody_rests_on_do_not_walk(spark, monkeypatch):
+    """1,000 leaves over a chain into a circle and over a root: only the inner edges are peeled, and what circles is told at once."""
+    frame = spark.createDataFrame([(f"l{i}", ("a0", "r")[i % 2]) for i in range(1000)] + [(f"a{i}", f"a{i + 1}") for i in range(20)] + [("a20", "a19"), ("r", "top"), (None, "a0")], "child string, parent string")
+    sizes, steps = [], []
+    circling, whole = lineage._circling, lineage.stage
+    monkeypatch.setattr(lineage, "_circling", lambda df: sizes.append(df.count()) or circling(df))
+    monkeypatch.setattr(lineage, "stage", lambda df, name="stage": steps.append(name) or whole(df, name))
+    found = [r.node_id for r in lineage.cyclic_nodes(frame).collect()]
+    assert len(found) == len(set(found)) and set(found) == {None} | {f"l{i}" for i in range(0, 1000, 2)} | {f"a{i}" for i in range(21)}
+    assert sizes and sizes[0] <= 22 and steps.count("stepped") <= 2
