@@ -24,9 +24,9 @@ def extended(name: str, analytics: tuple[specs.Analytic, ...] = (), checks_: tup
     return {name: replace(base, analytics=base.analytics | {a.id: a for a in analytics}, checks=base.checks | {c.id: c for c in checks_})}
 
 
-def mapped(spark: SparkSession, sf: str, metrics: list[str], faults: tuple[str, ...] = (), fw=None, framework: str = "generic", full_years: bool = False) -> DataFrame:
+def mapped(spark: SparkSession, sf: str, metrics: list[str], faults: tuple[str, ...] = (), fw=None, framework: str = "generic", full_years: bool = False, compacted: bool = True) -> DataFrame:
     fw = fw or frameworks(framework)
-    return extract.map_observations(tables.observations(spark, sf, metrics, faults, full_years), tables.entities(spark, sf, framework), fw)
+    return extract.map_observations(tables.observations(spark, sf, metrics, faults, full_years), tables.entities(spark, sf, framework), fw, compacted)
 
 
 def disclosed(spark, sf, metrics, faults=(), framework="generic") -> DataFrame:
@@ -42,13 +42,13 @@ def annual_current(spark, sf, metrics, faults=(), framework="generic") -> DataFr
 
 
 def annual(spark, sf, metrics, faults=(), framework="generic", fw=None, formulas: bool = True) -> DataFrame:
-    """Current full-year facts and the formula metrics over them. The filter sits in front of every aggregation, since
-    the dates of an observation already decide its period, and year-to-date rows of other quarters are not made."""
-    found = extract.disclosures(mapped(spark, sf, metrics, faults, framework=framework, full_years=True).filter("fiscal_period = 'FY'"))
-    years = extract.current_facts(extract.to_facts(found))
+    """Current full-year facts and the formula metrics over them (of `fw`, where a reader needs only some). Year-to-date
+    rows of other quarters are not made, so the filter drops little and reads what was stored. A row of these tables is
+    filed once, so there is nothing to compact before it is mapped."""
+    years = extract.current_of(mapped(spark, sf, metrics, faults, framework=framework, full_years=True, compacted=False))
     if not formulas:
-        return years
-    years = stage(years, "annual")
+        return years.filter("fiscal_period = 'FY'")
+    years = stage(years, "annual").filter("fiscal_period = 'FY'")
     return years.unionByName(derive.formula_facts(derive.formula_events(years, fw or frameworks(framework))))
 
 

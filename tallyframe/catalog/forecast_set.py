@@ -89,7 +89,7 @@ _CUR = "CASE WHEN CAST(substr(company_id, 4) AS INTEGER) % 10 = 3 THEN 'EUR' ELS
 
 
 def forecast_base(spark, sf):
-    facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"])
+    facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"], fw=projection.narrowed(frameworks(), ("free_cash_flow",)))
     run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("free_cash_flow",))
     return _shown(run.events, 1)
 
@@ -110,7 +110,7 @@ UNION ALL SELECT company_id, 'base', 'free_cash_flow', any_value(base_y) + k, ro
 
 def forecast_lines(spark, sf):
     """Projected lines as a reader gets them: one per metric with its points in order."""
-    facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"])
+    facts = annual(spark, sf, ["operating_cash_flow", "capital_expenditure", "operating_income"], fw=projection.narrowed(frameworks(), ("free_cash_flow",)))
     run = forecast.run_forecast(facts, frameworks(), years=HORIZON, only=("free_cash_flow",))
     lines = views.forecast_view(run.values, run.frame, run.plans)
     last = F.element_at("points", -1)
@@ -146,10 +146,10 @@ UNION ALL SELECT 'fcv', 4 * count(DISTINCT co) FROM ann
 
 
 def _driver_inputs(spark, sf):
-    metrics = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"]
+    metrics, rates = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"], ["operating_margin", "pretax_conversion", "effective_tax_rate"]
     facts = stage(annual(spark, sf, metrics), "facts")
     gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
-    events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), ["operating_margin", "pretax_conversion", "effective_tax_rate"])
+    events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), rates)
     return facts, lineage.facts_under(stage(analytics.analytic_values(events), "values"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Inclusive day counts for each kind of period, and the 52/53-week spillover into the next month.
@@ -33,19 +33,16 @@ def fiscal_year_of(year: Column, month: Column, fye_month: Column, convention: C
     return F.when(names_start, ends_in - 1).otherwise(ends_in)
 
 
-def classify(start: Column, end: Column, fye_month: Column, convention: Column) -> Column:
-    """struct<fiscal_year, fiscal_period, skip_reason>; exactly one of fiscal_period and skip_reason is set.
+def _offset(month_end: Column, fye_month: Column) -> Column:
+    return F.pmod(F.month(month_end) - fye_month, F.lit(12))
 
-    The source's own fy/fp fields describe the filing rather than the value's period, so they are never read.
-    """
-    shifted = effective_month_end(end)
-    year, month = F.year(shifted), F.month(shifted)
-    offset = F.pmod(month - fye_month, F.lit(12))
+
+def _verdict(start: Column, end: Column, offset: Column) -> Column:
+    """A period code or, prefixed with '!', the reason there is none."""
     quarter = F.when(offset == 0, 4).otherwise((offset / 3).cast("int"))
     days = days_inclusive(start, end)
     quarter_code = F.concat(F.lit("Q"), quarter.cast("string"))
-    # Each branch yields either a period code or, prefixed with '!', the reason there is none.
-    verdict = (
+    return (
         F.when(offset % 3 != 0, "!period_end_not_fiscal_quarter_end")
         .when(start.isNull(), F.when(quarter == 4, "FY").otherwise(quarter_code))
         .when(start >= end, "!invalid_period_dates")
@@ -58,14 +55,35 @@ def classify(start: Column, end: Column, fye_month: Column, convention: Column)
         .when(within(days, NINE_MONTH_DAYS), F.when(quarter == 3, "9M").otherwise("!nine_month_not_ending_at_fiscal_q3"))
         .otherwise("!unsupported_duration")
     )
+
+
+def _period(verdict: Column, month_end: Column, fye_month: Column, convention: Column) -> Column:
     refused = verdict.startswith("!")
     return F.struct(
-        F.when(~refused, fiscal_year_of(year, month, fye_month, convention)).cast("int").alias("fiscal_year"),
+        F.when(~refused, fiscal_year_of(F.year(month_end), F.month(month_end), fye_month, convention)).cast("int").alias("fiscal_year"),
         F.when(~refused, verdict).alias("fiscal_period"),
         F.when(refused, F.substring(verdict, 2, 100)).alias("skip_reason"),
     )
 
 
+def classify(start: Column, end: Column, fye_month: Column, convention: Column) -> Column:
+    """struct<fiscal_year, fiscal_period, skip_reason>; exactly one of fiscal_period and skip_reason is set.
+
+    The source's own fy/fp fields describe the filing rather than the value's period, so they are never read.
+    """
+    month_end = effective_month_end(end)
+    return _period(_verdict(start, end, _offset(month_end, fye_month)), month_end, fye_month, convention)
+
+
+def with_period(df: DataFrame) -> DataFrame:
+    """`classify` of period_start, period_end, fye_month and convention as column `period`. What its parts share is a
+    column of its own, since an expression is worked out as often as others mention it."""
+    col = F.col
+    staged = df.withColumn("_month_end", effective_month_end(col("period_end"))).withColumn("_offset", _offset(col("_month_end"), col("fye_month")))
+    staged = staged.withColumn("_verdict", _verdict(col("period_start"), col("period_end"), col("_offset")))
+    return staged.withColumn("period", _period(col("_verdict"), col("_month_end"), col("fye_month"), col("convention"))).drop("_month_end", "_offset", "_verdict")
+
+
 def period_label(fiscal_year: Column, fiscal_period: Column) -> Column:
     year = fiscal_year.cast("string")
     return F.when(fiscal_period == "FY", F.concat(F.lit("FY"), year)).otherwise(F.concat(fiscal_period, F.lit("-"), year))

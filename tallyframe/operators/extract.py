@@ -53,19 +53,20 @@ def compact(observations: DataFrame) -> DataFrame:
     return observations.groupBy(*keys).agg(F.min("filed").alias("filed"), F.count("*").alias("n"))
 
 
-def map_observations(observations: DataFrame, entities: DataFrame, frameworks: dict[str, Framework]) -> DataFrame:
+def map_observations(observations: DataFrame, entities: DataFrame, frameworks: dict[str, Framework], compacted: bool = True) -> DataFrame:
     """One row per (observation, metric it could feed), with the reason when it is refused.
 
     `lead` marks one row per observation: a refusal that concerns the observation itself counts there only, while a
-    refusal by a metric counts for every metric. `n` is the number of raw observations behind a row.
+    refusal by a metric counts for every metric. `n` is the number of raw observations behind a row. Not compacted: every
+    raw observation is a row, for sources that hardly repeat any and readers that group the rows themselves.
     """
     who = entities.select("company_id", "framework", "fye_month", "convention", "reporting_currency")
     dated = (
-        compact(observations)
+        (compact(observations) if compacted else observations.withColumn("n", F.lit(1)))
         .join(who, "company_id")
         .withColumn("qname", F.concat_ws(":", "taxonomy", "concept"))
         .withColumn("period_type", F.when(F.col("period_start").isNull(), "instant").otherwise("duration"))
-        .withColumn("period", calendar.classify(F.col("period_start"), F.col("period_end"), F.col("fye_month"), F.col("convention")))
+        .transform(calendar.with_period)
         .join(concept_targets(observations.sparkSession, frameworks), ["framework", "qname"], "left")
     )
     refused = (
@@ -96,22 +97,23 @@ def map_observations(observations: DataFrame, entities: DataFrame, frameworks: d
     )
 
 
+VALUE_KEY = [*PERIOD_KEY, "framework", "reporting_currency", "fiscal_year", "fiscal_period", "qname", "rank", "ranks", "unit", "value"]
+
+
+def _values(mapped: DataFrame) -> DataFrame:
+    """One row per distinct disclosed value: its first filing and how many others repeat it."""
+    first = F.min(F.struct("filed", "accession", "form", "frame"))
+    # A filing may hold a value more than once, with and without a frame; only other filings repeat it.
+    filings = mapped.filter("reason IS NULL").groupBy(*VALUE_KEY, "accession").agg(first.alias("first"))
+    found = filings.groupBy(*VALUE_KEY).agg(F.min("first").alias("first"), (F.count("*") - 1).alias("repeats"))
+    return found.select(*VALUE_KEY, "first.filed", "first.accession", "first.form", "first.frame", "repeats")
+
+
 def disclosures(mapped: DataFrame) -> DataFrame:
     """One row per distinct disclosed (unit, value) of a metric and period: who disclosed it first, how often it was
     repeated, and the best concept rank seen for the period."""
-    keys = [*PERIOD_KEY, "framework", "reporting_currency", "fiscal_year", "fiscal_period", "qname", "rank", "ranks", "unit", "value"]
-    first = F.min(F.struct("filed", "accession", "form", "frame"))
-    # A filing may hold a value more than once, with and without a frame; only other filings repeat it.
-    filings = mapped.filter("reason IS NULL").groupBy(*keys, "accession").agg(first.alias("first"))
-    found = filings.groupBy(*keys).agg(F.min("first").alias("first"), (F.count("*") - 1).alias("repeats"))
     same_period = Window.partitionBy(*PERIOD_KEY)
-    return (
-        found.select(
-            *keys, "first.filed", "first.accession", "first.form", "first.frame", "repeats"
-        )
-        .withColumn("best_rank", F.min("rank").over(same_period))
-        .withColumn("chosen", F.col("rank") == F.col("best_rank"))
-    )
+    return _values(mapped).withColumn("best_rank", F.min("rank").over(same_period)).withColumn("chosen", F.col("rank") == F.col("best_rank"))
 
 
 def to_facts(disclosed: DataFrame, document: Column | None = None) -> DataFrame:
@@ -140,13 +142,27 @@ def extract_facts(observations: DataFrame, entities: DataFrame, frameworks: dict
     return to_facts(disclosures(map_observations(observations, entities, frameworks)))
 
 
+def _latest() -> list[Column]:
+    return [F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("accession", F.lit(""))]
+
+
 def current_facts(facts: DataFrame) -> DataFrame:
     """One fact per (company, metric, period): the latest filed disclosure; ties go by accession, then unit, value and id. Unit is not part of the key."""
     payload = [c for c in facts.columns if c not in PERIOD_KEY]
-    newest = F.max_by(F.struct(*payload), F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.coalesce("accession", F.lit("")), F.coalesce("unit", F.lit("")), "value", "fact_id"))
+    newest = F.max_by(F.struct(*payload), F.struct(*_latest(), F.coalesce("unit", F.lit("")), "value", "fact_id"))
     return facts.filter("provenance = 'reported'").groupBy(*PERIOD_KEY).agg(newest.alias("f")).select(*PERIOD_KEY, "f.*").select(*facts.columns)
 
 
+def current_of(mapped: DataFrame) -> DataFrame:
+    """`current_facts` of the disclosures of mapped observations, picked before they become facts: per period the latest
+    value of its best-ranked concept in one aggregation, so that ids and notes are worked out for what stays alone."""
+    values = _values(mapped)
+    payload = [c for c in values.columns if c not in PERIOD_KEY]
+    newest = F.max_by(F.struct(*payload), F.struct(-F.col("rank"), *_latest(), F.coalesce(canonical_unit(F.col("unit")), F.lit("")), "value"))
+    picked = values.groupBy(*PERIOD_KEY).agg(newest.alias("d")).select(*PERIOD_KEY, "d.*")
+    return to_facts(picked.withColumn("chosen", F.lit(True)))
+
+
 # ---- extraction report ------------------------------------------------------------------------------------------
 
 

@@ -95,13 +95,15 @@ def _seed_rows(recent: DataFrame, space: str) -> DataFrame:
     )
 
 
-def seed_candidates(points: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def seed_candidates(points: DataFrame, rates: DataFrame | None = None, wanted: dict[str, set[str]] | None = None) -> DataFrame:
     """Growth and level seeds of every metric and level seeds of every analytic, from the three years ending at the
-    base year. rates: (company_id, analytic_id, fiscal_year, value, fact_ids) with the base year of the company."""
+    base year. rates: (company_id, analytic_id, fiscal_year, value, fact_ids) with the base year of the company.
+    wanted: names by space, for who reads no others."""
+    asked = lambda df, name, space: df if wanted is None else df.filter(F.col(name).isin(*sorted(wanted.get(space, ()))))
     metric_points = points.select("company_id", "base_year", "metric_id", "fiscal_year", "value", F.array("fact_id").alias("fact_ids"))
-    recent = _recent(metric_points, "metric_id")
-    seeds = _seed_rows(recent, "growth").unionByName(_seed_rows(recent, "level"))
-    return seeds if rates is None else seeds.unionByName(_seed_rows(_recent(rates, "analytic_id"), "rate"))
+    growth, level = (_seed_rows(_recent(asked(metric_points, "metric_id", space), "metric_id"), space) for space in ("growth", "level"))
+    seeds = growth.unionByName(level)
+    return seeds if rates is None else seeds.unionByName(_seed_rows(_recent(asked(rates, "analytic_id", "rate"), "analytic_id"), "rate"))
 
 
 def seeded_assumptions(frame: DataFrame, seeds: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +290,10 @@ def _seeding(facts: DataFrame, frameworks: dict[str, Framework], rates: DataFram
     frame = base_frame(points, frameworks)
     if rates is not None:
         rates = stage(rates.join(points.select("company_id", "base_year").distinct(), "company_id"), "rates")
-    return frame, *seeded_assumptions(frame, seed_candidates(points, rates), key_table(facts.sparkSession, plans))
+    wanted: dict[str, set[str]] = {}
+    for space, name in {tuple(k.split(".", 1)) for p in plans for k in p.keys}:
+        wanted.setdefault(space, set()).add(name)
+    return frame, *seeded_assumptions(frame, seed_candidates(points, rates, wanted), key_table(facts.sparkSession, plans))
 
 
 def unseeded(facts: DataFrame, frameworks: dict[str, Framework], *, rates: DataFrame | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -321,4 +326,6 @@ def run_forecast(
     )
     ready = stage(names.join(by_scenario, ["company_id", "scenario"], "left").withColumn(
         "asm", F.coalesce("asm", F.create_map().cast("map<string,struct<value:double,type:string,reason:string>>"))), "scenarios")
-    return Forecast(project(ready, plans, years), everything, missing, plans, ready)
+    # A row is small but dear to project, so rows are dealt over all cores however few files they fill.
+    spread = max(spark.sparkContext.defaultParallelism, ready.rdd.getNumPartitions())
+    return Forecast(project(ready.repartition(spread, "company_id", "scenario"), plans, years), everything, missing, plans, ready)

@@ -173,20 +173,21 @@ def observations(spark: SparkSession, sf_dir: str, metrics: list[str], faults: t
                 # The balance the first year opens with, dated early for every seventh supplier.
                 opening = F.make_date(y - 1, F.lit(12), F.when(co % 7 == 0, 28).otherwise(31))
                 items.append(item(tag, currency, F.lit(0), F.lit(0), no_start, opening, "balance", annual & (y == F.col("y0"))))
-    tagged = rows.select("co", "y", "i", F.explode(F.array_compact(F.array(*items))).alias("e"))
+    # Nulls are dropped after the arrays are taken apart, in compiled code; array_compact runs uncompiled with all inside it.
+    tagged = rows.select("co", "y", "i", F.explode(F.array(*items)).alias("e")).filter("e IS NOT NULL")
 
     def filing(form: str, filed: Column, seq: Column | int, restated: bool, when: Column) -> Column:
         number = F.lit(seq) if isinstance(seq, int) else seq
         return F.when(when, F.struct(F.lit(form).alias("form"), filed.alias("filed"), number.cast("int").alias("seq"), F.lit(restated).alias("restated")))
 
     kind, filed_10k = F.col("e.kind"), F.make_date(y + 1, F.lit(2), F.lit(20))
-    filings = F.array_compact(F.array(
+    filings = F.array(
         filing("10-Q", F.date_add(F.col("e.period_end"), 40), i, False, ~annual),
         filing("10-K", filed_10k, 4, False, annual),
         filing("10-K", F.make_date(y + 2, F.lit(2), F.lit(20)), 5, True, annual & (kind != "balance")),
         filing("8-K", filed_10k, 9, False, annual & (kind == "revenue") & (co % 8 == 0)),
-    ))
-    filed = tagged.select("co", "y", "e", F.explode(filings).alias("f"))
+    )
+    filed = tagged.select("co", "y", "e", F.explode(filings).alias("f")).filter("f IS NOT NULL")
     return filed.select(
         F.concat(F.lit("co-"), co.cast("string")).alias("company_id"), F.lit("us-gaap").alias("taxonomy"), "e.concept", "e.unit",
         F.when(F.col("f.restated"), F.col("e.again")).otherwise(F.col("e.value")).alias("value"), "e.period_start", "e.period_end",
