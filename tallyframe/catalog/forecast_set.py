@@ -147,7 +147,7 @@ UNION ALL SELECT 'fcv', 4 * count(DISTINCT co) FROM ann
 
 def _driver_inputs(spark, sf):
     metrics, rates = ["revenue", "operating_income", "pre_tax_income", "income_tax_expense"], ["operating_margin", "pretax_conversion", "effective_tax_rate"]
-    facts = stage(annual(spark, sf, metrics), "facts")
+    facts = stage(annual(spark, sf, metrics, fw=projection.narrowed(frameworks(), ("net_income",), tuple(rates))), "facts")
     gated = facts.withColumn("blocked", F.lit(None).cast("string")).withColumn("flags", F.array().cast("array<string>"))
     events = analytics.analytic_events(analytics.annual_frame(gated), frameworks(), rates)
     return facts, lineage.facts_under(stage(analytics.analytic_values(events), "values"))

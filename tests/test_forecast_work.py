@@ -47,3 +47,11 @@ def test_only_what_a_forecast_reads_is_derived_and_seeded(spark, make_facts):
     every, some = forecast.seed_candidates(points), forecast.seed_candidates(points, wanted={"growth": {"revenue"}})
     assert some.collect() == every.filter("space = 'growth' AND name = 'revenue'").collect() and every.count() == 4
     assert forecast_set.forecast_lines(spark, SF).count() > 0
+
+
+def test_drivers_derive_only_what_they_read(spark, monkeypatch):
+    given = []
+    whole = forecast_set.annual
+    monkeypatch.setattr(forecast_set, "annual", lambda *args, **named: given.append(named.get("fw")) or whole(*args, **named))
+    forecast_set._driver_inputs(spark, SF)
+    assert [m for m, s in given[0]["generic"].metrics.items() if s.derivation] == ["net_income"]
